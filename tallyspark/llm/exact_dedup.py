@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, id_text, join_classes, shared_dir, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows whose state one store holds, about.
+STORE_ROWS = 1_000_000
 #: Copies of one text that a single task compares with the row that stays.
 SALT_ROWS = 2_000
 
@@ -40,7 +42,7 @@ def ledger(docs: DataFrame, key: Callable[[Column], Column] = whole) -> DataFram
     return with_digest(docs, key).select("doc_id", "sha", "digest", F.col("doc_id").alias("locator"))
 
 
-def stream_state(spark: SparkSession, ledger_path: str, work: str, files_per_trigger: int = 4096) -> DataFrame:
+def stream_state(spark: SparkSession, ledger_path: str, work: str, files_per_trigger: int = 4096, partitions: int = 8) -> DataFrame:
     """Feeds new ledger files through the stateful query and returns the newest state of every digest.
 
     The same `work` folder continues from its checkpoint: a second call after files were added reads only those.
@@ -49,8 +51,14 @@ def stream_state(spark: SparkSession, ledger_path: str, work: str, files_per_tri
     keys = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+        "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "2",
+        "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
+        # each partition is a store of its own; their number is fixed by the first batch
+        "spark.sql.shuffle.partitions": str(partitions),
     }
     before = {k: spark.conf.get(k, None) for k in keys}
     for k, v in keys.items():
@@ -98,7 +106,8 @@ def assign(docs: DataFrame, key: Callable[[Column], Column] = whole, files_per_t
     entries = stored(ledger(docs, key), f"{work}/ledger")
     total = entries.count()
     if total:
-        state = stream_state(spark, f"{work}/ledger", f"{work}/stream", files_per_trigger)
+        stores = max(8, -(-total // STORE_ROWS))
+        state = stream_state(spark, f"{work}/ledger", f"{work}/stream", files_per_trigger, stores)
         out = join_classes(entries, state, "digest", "group_size", total).select("doc_id", "digest", "sha", "keep_id", "group_size")
         if (shared := collisions(docs, state, key, total)) is not None:
             # a digest that different texts share: its rows are classed by their bytes
