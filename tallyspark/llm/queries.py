@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dedup
+from . import decontaminate, exact_dedup, langid, mix, near_dedup, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +22,48 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "n_blocks")
+
+
+def fold_of(n: int) -> Column:
+    """crc32 of the identifier as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold_of(4) == 2, F.lit(False))
+    d = docs.select("doc_id", "text", held_out.alias("held_out"))
+    out = langid.predict(d, langid.dictionaries(docs, ~held_out))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "confident")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold_of(5) == 0, F.lit(False))
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_decontaminate": op4_decontaminate,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_mix": op6_mix,
+        "op7_language_id": op7_language_id,
+        "op8_toxicity": op8_toxicity,
         "op9_near_dedup": op9_near_dedup,
+        "op10_quality": op10_quality,
     }
 
 
