@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import RAW_WORD, arrow_rows, id_text, join_classes, shared_dir, stored, words_of
@@ -223,7 +223,7 @@ def components(pairs: DataFrame, work: str) -> DataFrame:
         before = now
 
 
-def bits_apart(x1: str, x2: str, y1: str, y2: str) -> F.Column:
+def bits_apart(x1: str, x2: str, y1: str, y2: str) -> Column:
     """Bits in which two 128-bit sketches differ."""
     return F.bit_count(F.col(x1).bitwiseXOR(F.col(y1))) + F.bit_count(F.col(x2).bitwiseXOR(F.col(y2)))
 
