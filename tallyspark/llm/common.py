@@ -79,3 +79,26 @@ def join_classes(left: DataFrame, classes: DataFrame, key: str, rows: str, total
     lt = light.select(F.col(key).cast("string").alias("_key"), *[F.col(c).alias(f"_l_{c}") for c in cols])
     out = out.join(lt, "_key", "left")
     return out.select(*left.columns, *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_l_{c}")).alias(c) for c in cols])
+
+
+#: Bits of the largest key filter: 128 MB when broadcast.
+FILTER_BITS = 1 << 30
+
+
+def maybe_among(left: DataFrame, key: str, keys: DataFrame, count: int, name: str = "_maybe") -> DataFrame:
+    """Adds a boolean: false only where left's key is certainly not among keys (one column of the same name, no nulls).
+
+    The keys travel as one bitmap of their hashes, 16 bits a key up to FILTER_BITS, so what is broadcast is bounded for any
+    number of keys; past that more rows are merely undecided. Undecided rows go on to an exact join, the others need no shuffle.
+    """
+    bits = 1 << 15
+    while bits < min(FILTER_BITS, 16 * count):
+        bits *= 2
+    h = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    maps = keys.select(F.bitmap_bucket_number(h).alias("_bucket"), F.bitmap_bit_position(h).alias("_at"))
+    maps = maps.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    at = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2.0), at % 8)).cast("int") % 2 == 1, F.lit(False))
+    out = left.withColumn("_bucket", F.bitmap_bucket_number(h)).join(F.broadcast(maps), "_bucket", "left")
+    return out.withColumn(name, hit).drop("_bucket", "_bits")

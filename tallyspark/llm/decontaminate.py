@@ -138,15 +138,14 @@ SPANS = "doc_id long, n_words long, longest long, spans array<struct<start:long,
 
 
 def _scan(docs: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(automaton)  # bounded by block_words
+    """The automaton travels with the function: its size is bounded by block_words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = held.value
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 words = words_of(text)
-                spans, items, longest = a.scan(words)
+                spans, items, longest = automaton.scan(words)
                 rows.append((doc_id, len(words), longest, [{"start": s, "end": e} for s, e in spans], sorted(items)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "longest", "spans", "items"])
 
@@ -206,14 +205,14 @@ def clean(
     automata = list(itertools.islice(blocks_of(benchmark, window, block_words), 2))
     spans = "array<struct<start:long,end:long>>"
     if len(automata) == 1:
-        held = docs.sparkSession.sparkContext.broadcast(automata[0])  # bounded by block_words
+        automaton = automata[0]  # bounded by block_words
 
         @F.pandas_udf(f"struct<spans:{spans},share:double>")
         def hits(texts: pd.Series) -> pd.DataFrame:
             rows = []
             for text in texts:
                 words = words_of(text)
-                s = held.value.scan(words)[0]
+                s = automaton.scan(words)[0]
                 rows.append(([{"start": x, "end": y} for x, y in s], sum(y - x for x, y in s) / max(1, len(words))))
             return pd.DataFrame(rows, columns=["spans", "share"])
 

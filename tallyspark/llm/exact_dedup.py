@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_text, join_classes, shared_dir, stored
+from .common import ascii_lower, id_text, join_classes, maybe_among, shared_dir, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows whose state one store holds, about.
@@ -55,6 +55,8 @@ def stream_state(spark: SparkSession, ledger_path: str, work: str, files_per_tri
         "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
         "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "2",
         "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+        # otherwise every store reserves 4 MB of disk for its manifest, however little it holds
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
         # each partition is a store of its own; their number is fixed by the first batch
@@ -126,10 +128,13 @@ def collisions(docs: DataFrame, state: DataFrame, key: Callable[[Column], Column
 
     Rows of one digest are dealt over as many salts as its size asks for, and the retained row goes to each of them.
     """
-    multi = state.where(F.col("group_size") > 1)
+    multi = stored(state.where(F.col("group_size") > 1))
+    if not (groups := multi.count()):
+        return None
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
-    hits = join_classes(with_digest(docs, key).drop("sha"), multi, "digest", "group_size", total)
-    hits = hits.where(F.col("group_size").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
+    texts = maybe_among(with_digest(docs, key).drop("sha"), "digest", multi.select("digest"), groups).where("_maybe").drop("_maybe")
+    hits = join_classes(texts, multi, "digest", "group_size", total).where(F.col("group_size").isNotNull())
+    hits = stored(hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")))
     kept = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_locator")))
     kept = kept.groupBy("digest").agg(F.min("norm").alias("kept_norm"), F.max(salts).alias("salts"))
     kept = kept.select("digest", "kept_norm", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -139,12 +144,20 @@ def collisions(docs: DataFrame, state: DataFrame, key: Callable[[Column], Column
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; one of rows that repeat both identifier and text."""
+    """The rows of docs that stay, with all their columns; one of rows that repeat both identifier and text.
+
+    Rows that certainly have no copy pass without a shuffle; only the others are joined and counted.
+    """
 
     def row_key(doc_id: Column, sha: Column) -> Column:
         return F.concat_ws(":", sha, doc_id)
 
-    staying = assign(docs).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_row_key")).distinct()
+    judged = assign(docs).where("group_size > 1")
+    copies = judged.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_row_key"), "kept")
+    copies = stored(copies.groupBy("_row_key").agg(F.max("kept").alias("kept")))
     keyed = docs.withColumn("_row_key", row_key(docs["doc_id"], F.sha2(ascii_lower(docs["text"]), 256)))
+    keyed = maybe_among(keyed, "_row_key", copies.select("_row_key"), copies.count())
     first = F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))
-    return keyed.join(staying, "_row_key").withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
+    some = keyed.where("_maybe").join(copies.where("not kept").select("_row_key"), "_row_key", "left_anti")
+    some = some.withColumn("_nth", first).where("_nth = 1")
+    return keyed.where("not _maybe").select(*docs.columns).unionByName(some.select(*docs.columns))

@@ -24,8 +24,10 @@ from .common import arrow_rows
 
 DICT_BYTES, DICTS = 24_000, 3
 BLOCK_BYTES = 4_096
-#: From level 13 on, zstandard searches matches short enough to tell languages apart.
-LEVEL = 13
+#: Tables are sized for a block and a dictionary, which at this level finds matches short enough to tell languages apart.
+LEVEL = 6
+#: Texts of fewer bytes are encoded with all dictionaries of a language: one says too little there.
+SHORT_BYTES = 400
 SAMPLE_DOCS = 400
 LEAST_MARGIN = 0.02
 UNKNOWN = "und"
@@ -67,15 +69,15 @@ def predict(docs: DataFrame, dictionaries: dict[str, list[bytes]], least_margin:
     """(doc_id, lang_pred, score, margin, confident, and the columns of docs but its text) for every row."""
     arrow_rows(docs.sparkSession)
     names = sorted(dictionaries)
-    held = docs.sparkSession.sparkContext.broadcast([dictionaries[n] for n in names])  # bounded: see above
+    held = [dictionaries[n] for n in names]  # bounded: see above
 
     @F.pandas_udf("struct<lang_pred:string,score:double,margin:double>")
     def judge(texts: pd.Series) -> pd.DataFrame:
         import zstandard as zstd
 
         raw = zstd.DICT_TYPE_RAWCONTENT
-        params = zstd.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
-        each = [[zstd.ZstdCompressor(compression_params=params, dict_data=zstd.ZstdCompressionDict(d, dict_type=raw)) for d in ds] for ds in held.value]
+        params = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK_BYTES, dict_size=DICT_BYTES, write_content_size=False, write_checksum=False, write_dict_id=False)
+        each = [[zstd.ZstdCompressor(compression_params=params, dict_data=zstd.ZstdCompressionDict(d, dict_type=raw)) for d in ds] for ds in held]
         for ds in each:
             for c in ds:
                 c.compress(b" ")
@@ -89,8 +91,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, list[bytes]], least_margin:
             sizes = [0.0] * len(names)
             for at in range(0, len(data), BLOCK_BYTES):
                 block = data[at : at + BLOCK_BYTES]
-                # long texts have evidence enough in one dictionary; short ones are encoded with all
-                use = 1 if len(data) > 2_000 else None
+                use = None if len(data) < SHORT_BYTES else 1
                 for k, ds in enumerate(each):
                     ds = ds[:use]
                     sizes[k] += sum(len(c.compress(block)) for c in ds) / len(ds)

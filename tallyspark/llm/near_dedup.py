@@ -7,8 +7,8 @@ of the shingle weights. Bands of registers give candidates, and every candidate
 whole texts; documents linked by a similarity of `threshold` or more, directly or through others, form a class.
 
 Large buckets never expand into all pairs. Rounds of leaders link each member of a bucket to one leader; members that
-already share a class are not compared again. What then still shares a bucket but no class is compared pair by pair
-unless size or a 128-bit sketch rules the pair out (a size bound is exact; the sketch errs with probability < 1e-6).
+already share a class are not compared again. What then still shares a bucket but no class is compared pair by pair, each
+pair once (in its first shared band), unless a 128-bit sketch rules the pair out (which errs with probability 3e-6).
 
 With 32 bands of 4 a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 
@@ -19,6 +19,7 @@ one stays; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RAW_WORD, arrow_rows, id_text, join_classes, shared_dir, stored, words_of
+from .common import RAW_WORD, arrow_rows, id_text, join_classes, maybe_among, shared_dir, stored, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -35,8 +36,8 @@ M = BANDS * ROWS
 CHUNK_WORDS = 150_000
 #: Members of a bucket, or links of one document, that one task takes.
 SALT_ROWS = 500
-#: Sketch bits that a pair at the threshold may differ in: mean 12.8 of 128, five deviations above.
-SKETCH_BITS = 30
+#: Sketch bits that a pair at the threshold may differ in: mean 12.8 of 128, four and a half deviations above.
+SKETCH_BITS = 28
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ALL = 2**64 - 1
@@ -228,23 +229,27 @@ def bits_apart(x1: str, x2: str, y1: str, y2: str) -> Column:
     return F.bit_count(F.col(x1).bitwiseXOR(F.col(y1))) + F.bit_count(F.col(x2).bitwiseXOR(F.col(y2)))
 
 
-def crossed(members: DataFrame) -> DataFrame:
-    """(a, b) of members that share a bucket but no component and that sketches don't rule out.
+def crossed(members: DataFrame, bands: DataFrame) -> DataFrame:
+    """(a, b) of members that share a bucket but no component and that sketches don't rule out, each in its first shared band.
 
     One side is dealt over salts and the other goes to each of them, so a large bucket is spread over tasks.
+    bands has (id, bands) of all members.
     """
     salts = F.ceil(F.col("open") / SALT_ROWS).cast("int")
-    x = members.select(
+    m = members.select("key", "open", "id", "comp", "sketch1", "sketch2").join(bands, "id")
+    x = m.select(
         "key", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.col("id").alias("a"), F.col("comp").alias("ca"),
-        F.col("sketch1").alias("x1"), F.col("sketch2").alias("x2"))
-    y = members.select(
+        F.col("sketch1").alias("x1"), F.col("sketch2").alias("x2"), F.col("bands").alias("xb"))
+    y = m.select(
         "key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("id").alias("b"), F.col("comp").alias("cb"),
-        F.col("sketch1").alias("y1"), F.col("sketch2").alias("y2"))
+        F.col("sketch1").alias("y1"), F.col("sketch2").alias("y2"), F.col("bands").alias("yb"))
+    shared = F.filter(F.zip_with("xb", "yb", lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull())
     on = (x.key == y.key) & (x.salt == y.salt) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))
-    return x.join(y, on & (bits_apart("x1", "x2", "y1", "y2") <= SKETCH_BITS)).select("a", "b").distinct()
+    on = on & (bits_apart("x1", "x2", "y1", "y2") <= SKETCH_BITS) & (F.get(shared, F.lit(0)) == x.key)
+    return x.join(y, on).select("a", "b")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 3) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 2) -> DataFrame:
     """(doc_id, class_id, class_size, n_links, kept) for every row; class_id is the smallest doc_id of the class, kept the largest.
 
     n_links counts the verified links of the row's distinct text that its class rests on (a spanning set, not all).
@@ -257,48 +262,50 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 3) -> D
     per = signed.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("doc_id").alias("last"))
     per = stored(per, f"{work}/per")
     reps = signed.join(per.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    member = reps.select(F.col("doc_id").alias("id"), "sketch1", "sketch2", F.explode("bands").alias("key"))
-    buckets = member.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(join_classes(member, stored(buckets, f"{work}/buckets"), "key", "size", total).where("size > 1").drop("size"), f"{work}/members")
-    needed = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = stored(d.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{work}/texts")
-
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    comp = docs.sparkSession.createDataFrame([], "id long, comp long")
-    nth = -1
-    while True:
-        nth += 1
-        # members of buckets that still hold more than one component
-        named = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("open"))
-        mixed = mixed.where("lo <> hi").select("key", "open")
-        named = stored(join_classes(named, mixed, "key", "open", total).where("open is not null"), f"{work}/{nth}/named")
-        if named.isEmpty():
-            break
+    reps = stored(reps.select(F.col("doc_id").alias("id"), "bands", "sketch1", "sketch2"), f"{work}/reps")
+    member = reps.select("id", "sketch1", "sketch2", F.explode("bands").alias("key"))
+
+    def leads(of: DataFrame, nth: int) -> list:
+        order = F.col("id") if nth == 0 else F.xxhash64("id", "key", F.lit(nth))
+        return [F.count(F.lit(1)).alias("open"), F.min_by(F.struct("id", "comp", "sketch1", "sketch2"), order).alias("l")]
+
+    member = member.withColumn("comp", F.col("id"))
+    buckets = stored(member.groupBy("key").agg(*leads(member, 0)).where("open > 1"), f"{work}/buckets")
+    members = stored(join_classes(member, buckets, "key", "open", total).where("open is not null"), f"{work}/members")
+    needed = stored(members.select(F.col("id").alias("doc_id")).distinct(), f"{work}/needed")
+    some = maybe_among(d, "doc_id", needed, needed.count()).where("_maybe").drop("_maybe")
+    texts = stored(some.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{work}/texts")
+
+    links, comp, named = [], None, members
+    for nth in range(rounds + 1):
+        if nth:
+            # members of buckets that still hold more than one component
+            own = members.drop("comp", "open", "l")
+            own = own.withColumn("comp", F.col("id")) if comp is None else own.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            own = stored(own, f"{work}/{nth}/own")
+            mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *leads(own, nth)).where("lo <> hi").drop("lo", "hi")
+            named = stored(join_classes(own, mixed, "key", "open", total).where("open is not null"), f"{work}/{nth}/named")
         if nth < rounds:
-            order = F.col("id") if nth == 0 else F.xxhash64("id", "key", F.lit(nth))
-            lead = named.groupBy("key").agg(
-                F.min_by(F.struct("id", "comp", "sketch1", "sketch2"), order).alias("l"), F.count(F.lit(1)).alias("now"))
-            led = join_classes(named, lead, "key", "now", total)
-            led = led.where(F.col("comp") != F.col("l.comp"))
-            led = led.where(bits_apart("sketch1", "sketch2", "l.sketch1", "l.sketch2") <= SKETCH_BITS)
+            led = named.where((F.col("comp") != F.col("l.comp")) & (bits_apart("sketch1", "sketch2", "l.sketch1", "l.sketch2") <= SKETCH_BITS))
             pairs = led.select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct()
         else:
-            pairs = crossed(named)
+            pairs = crossed(named, reps.select("id", "bands"))
         new = stored(verified(stored(pairs, f"{work}/{nth}/pairs"), texts, threshold), f"{work}/{nth}/links")
         if not new.isEmpty():
-            links = links.union(new)
-            comp = stored(components(links, f"{work}/{nth}"), f"{work}/{nth}/comp")
-        if nth >= rounds:
-            break
-    degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep")))
-    degree = degree.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    named = per.join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = named.select("content", "copies", "last", F.coalesce("comp", "rep").alias("comp"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    named = stored(named, f"{work}/named")
-    whole = named.groupBy("comp").agg(F.sum("copies").alias("class_size"), F.max("last").alias("keep_id"), F.count(F.lit(1)).alias("texts"))
-    named = join_classes(named.drop("last"), whole, "comp", "texts", total).drop("texts")
-    out = join_classes(signed.select("doc_id", "content"), stored(named, f"{work}/classes"), "content", "copies", total)
+            links.append(new)
+            edges = new if comp is None else new.union(comp.where("id <> comp").select("id", "comp"))
+            comp = components(edges, f"{work}/{nth}")
+    if comp is None:
+        out = per.withColumns({"comp": F.col("rep"), "n_links": F.lit(0).cast("long"), "class_size": F.col("copies"), "keep_id": F.col("last")})
+    else:
+        every = functools.reduce(DataFrame.union, links)
+        degree = every.select(F.col("a").alias("rep")).union(every.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+        linked = comp.withColumnRenamed("id", "rep").join(degree, "rep", "left")
+        out = stored(per.join(linked, "rep", "left").withColumns({"comp": F.coalesce("comp", "rep"), "n_links": F.coalesce("n_links", F.lit(0).cast("long"))}), f"{work}/linked")
+        whole = out.groupBy("comp").agg(F.sum("copies").alias("class_size"), F.max("last").alias("keep_id"), F.count(F.lit(1)).alias("texts"))
+        out = join_classes(out, whole, "comp", "texts", total)
+    named = stored(out.select("content", "copies", "comp", "n_links", "class_size", "keep_id"), f"{work}/classes")
+    out = join_classes(signed.select("doc_id", "content"), named, "content", "copies", total)
     out = out.select("doc_id", F.col("comp").alias("class_id"), "class_size", "n_links", (F.col("doc_id") == F.col("keep_id")).alias("kept"))
     alone = d.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(RAW_WORD))
     alone = alone.select(
@@ -308,6 +315,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 3) -> D
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that stay, one document of each class, with all their columns."""
-    going = classes(docs, threshold).where("not kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(going, docs["doc_id"] == going["_id"], "left_anti")
+    """The rows of docs that stay, one document of each class, with all their columns; the others need no shuffle to stay."""
+    going = stored(classes(docs, threshold).where("not kept").select(F.col("doc_id").alias("_id")).distinct())
+    keyed = maybe_among(docs.withColumn("_id", docs["doc_id"]), "_id", going, going.count())
+    some = keyed.where("_maybe").join(going, "_id", "left_anti")
+    return keyed.where("not _maybe").select(*docs.columns).unionByName(some.select(*docs.columns))

@@ -170,13 +170,11 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "quality", max_rows:
 def score(docs: DataFrame, model: Model, select_grade: int | None = None, least_tail: float = LEAST_TAIL) -> DataFrame:
     """(doc_id, expected_grade, tail, kept) for every row; tail is P(grade >= select_grade), the highest grade by default."""
     arrow_rows(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights
 
     @F.pandas_udf("struct<expected_grade:double,tail:double>")
     def grades(texts: pd.Series) -> pd.DataFrame:
-        m = held.value
         shapes: dict[str, str] = {}
-        rows = [_judge(m, features(t, shapes), select_grade) for t in texts]
+        rows = [_judge(model, features(t, shapes), select_grade) for t in texts]
         return pd.DataFrame(rows, columns=["expected_grade", "tail"])
 
     s = id_text(docs).withColumn("s", grades("text"))
@@ -196,11 +194,10 @@ def _judge(m: Model, x: dict[int, float], select_grade: int | None) -> tuple[flo
 def keep_good(docs: DataFrame, ratings: DataFrame, grade: str = "quality", least_tail: float = LEAST_TAIL, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns."""
     model = train(docs, ratings, grade, max_rows)
-    held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def tail(texts: pd.Series) -> pd.Series:
         shapes: dict[str, str] = {}
-        return pd.Series([_judge(held.value, features(t, shapes), None)[1] for t in texts], dtype=float)
+        return pd.Series([_judge(model, features(t, shapes), None)[1] for t in texts], dtype=float)
 
     return docs.where(tail(docs["text"]) >= least_tail)

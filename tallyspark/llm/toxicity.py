@@ -164,11 +164,10 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic
     kept = {k: w for k, w in weights.items() if not any(weights.get(k[:n], 0) >= w - 0.5 for n in range(5, len(k)))}  # a stem covers its words
     kept |= {k: weights.get(k, w) for k, w in seeds.items() if not any(k[:n] in kept for n in range(5, len(k)))}
     lex = Lexicon(kept)
-    held = docs.sparkSession.sparkContext.broadcast(lex)
 
     def raws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"raw": [held.value.raw(t) for t in b["text"]], "y": b["y"].astype(int)})
+            yield pd.DataFrame({"raw": [lex.raw(t) for t in b["text"]], "y": b["y"].astype(int)})
 
     fitted = sample.mapInPandas(raws, "raw double, y int").toPandas()  # max_rows pairs of numbers at most
     lex.slope, lex.bias = curve(fitted["raw"].to_numpy(), fitted["y"].to_numpy(), n_no, n_yes)
@@ -190,11 +189,10 @@ def curve(raw: np.ndarray, y: np.ndarray, n_no: int, n_yes: int) -> tuple[float,
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, score, predicted, n_matches) for every row."""
     arrow_rows(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_ENTRIES entries
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series) -> pd.Series:
-        return pd.Series([held.value.score(t) for t in texts], dtype=float)
+        return pd.Series([lexicon.score(t) for t in texts], dtype=float)
 
     s = id_text(docs).withColumn("score", judge("text"))
     return s.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
