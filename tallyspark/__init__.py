@@ -1 +1,8 @@
 """Spark-native analytics over token-metered bills of language-model APIs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value, so they need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
