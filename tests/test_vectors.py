@@ -135,11 +135,12 @@ def test_ledger_reader_counts_malformed_lines(spark, tmp_path):
 def test_stream_equals_batch(spark, sf, tmp_path):
     from tallyspark.plans.queries import chunks
 
-    c = chunks(spark, sf).repartition(3)
-    c.write.parquet(str(tmp_path / "in"))
+    c = chunks(spark, sf)
+    for low, high in ((0, 3), (3, 10**5), (10**5, 10**9)):  # chunks of a stream come in order, over several batches
+        c.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = sse.reassembled_stream(stream).writeStream.format("memory").queryName("sse_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(40)  # its time-outs keep it running
+    q.awaitTermination(25)  # its time-outs keep it running
     q.stop()
     cols = ["stream_id", "id", "index", "content", "finish_reason", "completion_tokens"]
     got = sorted(map(tuple, spark.table("sse_out").select(*cols).collect()))
