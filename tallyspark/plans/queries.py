@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.functions import stats, tokens
+from tallyspark.functions import bpe, stats, tokens
 from tallyspark.operators import align, audit, calibration, matching, monitor, report
 from tallyspark.operators import ledger as lg
 from tallyspark.plans.adapters import BIG, CAPTURED, LEDGER, OUTCOMES, TOK, big_ledger, captured, ledger, outcomes, table
@@ -529,6 +529,17 @@ def q53(spark, d):
     return lg.headroom(table(spark, d, "documents").select(F.col("lang").alias("cell"), "text"))
 
 
+#: A public vocabulary file; any of the three kinds that functions.bpe reads will do.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query("q54_bpe_token_count")
+def q54(spark, d, path=TOKENIZER):
+    """Per cell the tokens of a byte-level vocabulary against the pattern's tokens."""
+    x = ledger(spark, d).select("provider", "model", "canonical", bpe.bpe_count(F.col("response_text"), path).alias("bpe"))
+    return x.groupBy("provider", "model").agg(F.count(F.lit(1)).alias("n"), F.sum("bpe").alias("bpe_tokens"), F.sum("canonical").alias("pattern_tokens"))
+
+
 @query("q55_placeholder_alignment")
 def q55(spark, d):
     """Texts whose non-ASCII characters came back as two placeholder tokens each."""

@@ -159,3 +159,18 @@ def test_monitor_stream_equals_batch(spark, sf, tmp_path):
     got = {r["key"]: (r["tested"], r["rejected"], round(r["log_evidence"], 8)) for r in spark.table("mon_out").collect()}
     want = {r["key"]: (r["tested"], r["rejected"], round(r["log_evidence"], 8)) for r in monitor.first_flags(o).collect()}
     assert got == want
+
+
+def test_public_tokenizers_agree_and_round_trip(spark):
+    import os
+
+    from tallyspark.functions import bpe
+
+    texts = ["Hello world, 42!", "漢字 é\n\n x", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    files_ = [f"/opt/tokenizers/{n}" for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")]
+    if not all(map(os.path.exists, files_)):
+        pytest.skip("no tokenizer files here")
+    for f in files_:
+        n = [r[0] for r in df.select(bpe.bpe_count(F.col("t"), f)).collect()]
+        assert n == [len(bpe.encoder(f)(t)) if t else 0 for t in texts] and n[0] > 2 and n[3] == 0
