@@ -44,14 +44,16 @@ def folded(text: str) -> str:
 
 def dictionaries(docs: DataFrame, train: Column, dict_bytes: int = DICT_BYTES, dicts: int = DICTS) -> dict[str, list[bytes]]:
     """language -> raw-content dictionaries, from the rows that `train` selects and that name a language."""
-    d = docs.where(train).select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    # ranked before the shuffle by Spark's group limit, so a language sends SAMPLE_DOCS rows from each task at most
-    d = d.where(F.length("text").between(200, 20_000)).withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= SAMPLE_DOCS)
-    short = docs.where(train).where("lang is not null and text is not null").select("doc_id", "text", "lang").where(F.length("text") < 200)
-    short = short.withColumn("_n", F.row_number().over(drawn) + SAMPLE_DOCS).where(F.col("_n") <= 2 * SAMPLE_DOCS)
+    d = docs.where(train).where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    d = d.withColumn("_short", F.length("text") < 200).where(F.length("text") <= 20_000)
+    # a hash threshold from the counts leaves about 4 x SAMPLE_DOCS rows a language to be ranked, whatever the table's size
+    counts = d.groupBy("lang", "_short").agg(F.count(F.lit(1)).alias("_rows"))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 32))
+    d = d.join(F.broadcast(counts), ["lang", "_short"]).where(place < F.least(F.lit(1.0), 4.0 * SAMPLE_DOCS / F.col("_rows")) * float(1 << 32))
+    drawn = Window.partitionBy("lang", "_short").orderBy(place, "doc_id")
+    d = d.withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= SAMPLE_DOCS)
     texts: dict[str, list[str]] = defaultdict(list)
-    for r in d.unionByName(short).orderBy("lang", "_n", "text").toLocalIterator():
+    for r in d.orderBy("lang", "_short", "_n", "text").toLocalIterator():
         if sum(map(len, texts[r["lang"]])) < 2 * dicts * dict_bytes and (t := folded(r["text"])):
             texts[r["lang"]].append(t)
     out = {}

@@ -6,9 +6,10 @@ signature takes about n + m ln m arrivals. Two signatures agree in a register wi
 of the shingle weights. Bands of registers give candidates, and every candidate that matters is verified exactly on the
 whole texts; documents linked by a similarity of `threshold` or more, directly or through others, form a class.
 
-Large buckets never expand into all pairs. Rounds of leaders link each member of a bucket to one leader; members that
-already share a class are not compared again. What then still shares a bucket but no class is compared pair by pair, each
-pair once (in its first shared band), unless a 128-bit sketch rules the pair out (which errs with probability 3e-6).
+Large buckets never expand into all pairs. First each member of a bucket is linked to the bucket's leader; members that
+then share a class are not compared again. What still shares a bucket but no class goes through a wide sketch (two bits of
+each of 1,024 registers), compared inside the join; only pairs that it does not rule out are emitted, each once, in its
+first shared band, and verified. At similarity 0.8 a sketch errs with probability 3e-5 (the 128-bit one: 3e-6), less above.
 
 With 32 bands of 4 a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import RAW_WORD, arrow_rows, id_text, join_classes, maybe_among, shared_dir, stored, words_of
@@ -32,10 +33,14 @@ from .common import RAW_WORD, arrow_rows, id_text, join_classes, maybe_among, sh
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
-#: Words whose shingles are hashed together in one numpy pass.
-CHUNK_WORDS = 150_000
-#: Members of a bucket, or links of one document, that one task takes.
-SALT_ROWS = 500
+#: Words, and texts, whose shingles are hashed together in one numpy pass.
+CHUNK_WORDS, CHUNK_DOCS = 150_000, 2_000
+#: Links of one document, and members of a bucket, that one task takes.
+SALT_ROWS, SALT_MEMBERS = 500, 2_000
+#: Edges that one task takes when components are drawn.
+TASK_EDGES = 500_000
+#: Registers of the wide sketch, and those in which a pair at the threshold may differ by two bits: 153.6 on average, four deviations above.
+WIDE, WIDE_APART = 1_024, 199
 #: Sketch bits that a pair at the threshold may differ in: mean 12.8 of 128, four and a half deviations above.
 SKETCH_BITS = 28
 
@@ -69,10 +74,10 @@ def _word_hash(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w, 7) or 1
 
 
-def prob_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
-    """(docs, M) registers: for each, the element whose process reached it first. owner[i] is element i's document."""
-    first = np.full(docs * M, np.inf)
-    which = np.zeros(docs * M, np.uint64)
+def prob_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, docs: int, m: int = M) -> np.ndarray:
+    """(docs, m) registers: for each, the element whose process reached it first. owner[i] is element i's document."""
+    first = np.full(docs * m, np.inf)
+    which = np.zeros(docs * m, np.uint64)
     latest = np.full(docs, np.inf)
     live = np.arange(len(elements))
     at = np.zeros(len(elements))
@@ -84,14 +89,14 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, d
         at[live] += gap / weights[live]
         live = live[at[live] < latest[owner[live]]]
         r = mix(elements[live] ^ np.uint64(nth * int(_M1) & _ALL))
-        slot = owner[live] * M + (r % np.uint64(M)).astype(np.int64)
+        slot = owner[live] * m + (r % np.uint64(m)).astype(np.int64)
         t = at[live]
         np.minimum.at(first, slot, t)
         won = first[slot] == t
         which[slot[won]] = elements[live[won]]
-        latest = first.reshape(docs, M).max(axis=1)
+        latest = first.reshape(docs, m).max(axis=1)
         live = live[t < latest[owner[live]]]
-    return which.reshape(docs, M)
+    return which.reshape(docs, m)
 
 
 def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +166,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 held.append((doc_id, text))
                 size += len(text or "") // 6
-                if size >= CHUNK_WORDS:
+                if size >= CHUNK_WORDS or len(held) >= CHUNK_DOCS:
                     yield sign(held)
                     held, size = [], 0
             yield sign(held)
@@ -177,7 +182,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     per = per.withColumn("salts", salts)
     spread = per.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     leaders = spread.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    salted = pairs.join(per.where("salts > 1").select("b", "salts"), "b", "left")
+    salted = join_classes(pairs, per, "b", "links", max(1, pairs.count()))
     salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"), F.lit(0)))
     both = salted.select("a", "b", "salt").join(leaders, ["b", "salt"]).select("a", "b", "text_b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -202,25 +207,35 @@ def components(pairs: DataFrame, work: str) -> DataFrame:
     """(id, comp) of every id in the (a, b) pairs: comp is the smallest id of its component.
 
     Alternating large-star and small-star rounds until the edges are stars; each round is grouped minima and joins,
-    written to the shared folder. The centre of a large star is joined as a heavy key.
+    written to the shared folder. Up to TASK_EDGES edges (16 bytes each) a round is one task without a shuffle; beyond,
+    edges are shuffled and the centre of a large star is joined as a heavy key.
     """
     edges = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = stored(edges, f"{work}/e0")
     total, before, nth = max(1, edges.count()), None, 0
+    few = total <= TASK_EDGES
     while True:
         nth += 1
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
-        large = join_classes(both, low, "u", "degree", 2 * total).where("v > u")
-        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), f"{work}/e{nth}")
+        edges = edges.coalesce(1) if few else edges
+        ends = F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(ends))
+        if few:
+            large = both.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), F.col("u")))
+        else:
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+            large = join_classes(both, low, "u", "degree", 2 * total)
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        if few:
+            small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        else:
+            small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        star = F.struct(F.col("u").alias("u"), F.col("m").alias("v"))
+        small = small.select(F.inline(F.array(star, F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).where("u <> v")
+        edges = stored(small.distinct(), f"{work}/e{nth}")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(
-                edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
-            )
+            roots = edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(roots)
         before = now
 
 
@@ -229,27 +244,58 @@ def bits_apart(x1: str, x2: str, y1: str, y2: str) -> Column:
     return F.bit_count(F.col(x1).bitwiseXOR(F.col(y1))) + F.bit_count(F.col(x2).bitwiseXOR(F.col(y2)))
 
 
-def crossed(members: DataFrame, bands: DataFrame) -> DataFrame:
+def wide_sketches(texts: DataFrame) -> DataFrame:
+    """(id, wide): two bit planes of the wide signature's registers, 64 registers a number, of (doc_id, text) with words."""
+
+    def sketch(rows: list[tuple]) -> pd.DataFrame:
+        seen: dict[bytes, int] = {}
+        parts = [counted(shingle_hashes(words_of(t), seen)) for _, t in rows]
+        if not rows:
+            return pd.DataFrame(columns=["id", "wide"])
+        owner = np.repeat(np.arange(len(parts)), [len(e) for e, _ in parts])
+        sig = prob_minhash(np.concatenate([e for e, _ in parts]), np.concatenate([c for _, c in parts]).astype(float), owner, len(parts), WIDE)
+        low = mix(sig + np.uint64(1)).astype(np.uint8)
+        planes = [np.packbits((low >> np.uint8(k)) & np.uint8(1), axis=1).view(">i8").astype(np.int64) for k in (0, 1)]
+        return pd.DataFrame({"id": [i for i, _ in rows], "wide": list(np.hstack(planes))})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held = list(zip(b["doc_id"], b["text"]))
+            for at in range(0, len(held), 100):  # a signature has 8 KB while it is made
+                yield sketch(held[at : at + 100])
+
+    return texts.select("doc_id", "text").mapInPandas(run, "id long, wide array<long>")
+
+
+def crossed(members: DataFrame, bands: DataFrame, wide: DataFrame) -> DataFrame:
     """(a, b) of members that share a bucket but no component and that sketches don't rule out, each in its first shared band.
 
     One side is dealt over salts and the other goes to each of them, so a large bucket is spread over tasks.
-    bands has (id, bands) of all members.
+    bands has (id, bands) and wide (id, wide) of all members.
     """
-    salts = F.ceil(F.col("open") / SALT_ROWS).cast("int")
-    m = members.select("key", "open", "id", "comp", "sketch1", "sketch2").join(bands, "id")
-    x = m.select(
-        "key", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.col("id").alias("a"), F.col("comp").alias("ca"),
-        F.col("sketch1").alias("x1"), F.col("sketch2").alias("x2"), F.col("bands").alias("xb"))
-    y = m.select(
-        "key", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("id").alias("b"), F.col("comp").alias("cb"),
-        F.col("sketch1").alias("y1"), F.col("sketch2").alias("y2"), F.col("bands").alias("yb"))
+    salts = F.ceil(F.col("open") / SALT_MEMBERS).cast("int")
+    planes = WIDE // 32
+    m = members.select("key", "open", "id", "comp", "sketch1", "sketch2").join(bands.join(wide, "id"), "id")
+
+    def side(p: str, salt: Column, name: str) -> DataFrame:
+        of = [F.col("wide")[k].alias(f"{p}w{k}") for k in range(planes)]
+        return m.select(
+            "key", salt.alias("salt"), F.col("id").alias(name), F.col("comp").alias(f"{p}c"), F.col("sketch1").alias(f"{p}1"), F.col("sketch2").alias(f"{p}2"),
+            F.col("bands").alias(f"{p}b"), *of)
+
+    x = side("x", F.pmod(F.xxhash64("id"), salts).cast("int"), "a")
+    y = side("y", F.explode(F.sequence(F.lit(0), salts - 1)), "b")
+    apart = [
+        F.bit_count(F.col(f"xw{k}").bitwiseXOR(F.col(f"yw{k}")).bitwiseOR(F.col(f"xw{k + planes // 2}").bitwiseXOR(F.col(f"yw{k + planes // 2}"))))
+        for k in range(planes // 2)
+    ]
     shared = F.filter(F.zip_with("xb", "yb", lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull())
-    on = (x.key == y.key) & (x.salt == y.salt) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))
-    on = on & (bits_apart("x1", "x2", "y1", "y2") <= SKETCH_BITS) & (F.get(shared, F.lit(0)) == x.key)
+    on = (x.key == y.key) & (x.salt == y.salt) & (F.col("a") > F.col("b")) & (F.col("xc") != F.col("yc"))
+    on = on & (bits_apart("x1", "x2", "y1", "y2") <= SKETCH_BITS) & (functools.reduce(Column.__add__, apart) <= WIDE_APART) & (F.get(shared, F.lit(0)) == x.key)
     return x.join(y, on).select("a", "b")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 2) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 1) -> DataFrame:
     """(doc_id, class_id, class_size, n_links, kept) for every row; class_id is the smallest doc_id of the class, kept the largest.
 
     n_links counts the verified links of the row's distinct text that its class rests on (a spanning set, not all).
@@ -289,7 +335,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 2) -> D
             led = named.where((F.col("comp") != F.col("l.comp")) & (bits_apart("sketch1", "sketch2", "l.sketch1", "l.sketch2") <= SKETCH_BITS))
             pairs = led.select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct()
         else:
-            pairs = crossed(named, reps.select("id", "bands"))
+            ids = named.select(F.col("id").alias("doc_id")).distinct()
+            wide = stored(wide_sketches(texts.join(ids, "doc_id", "left_semi")), f"{work}/wide")
+            pairs = crossed(named, reps.select("id", "bands"), wide)
         new = stored(verified(stored(pairs, f"{work}/{nth}/pairs"), texts, threshold), f"{work}/{nth}/links")
         if not new.isEmpty():
             links.append(new)
