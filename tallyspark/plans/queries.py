@@ -552,7 +552,7 @@ def q55(spark, d):
 def q56(spark, d):
     o = outcomes(spark, d).select("key", "seq", F.col("extra").alias("gap"), F.col("tokens").alias("canonical"))
     ref = o.where("seq % 50 = 0").select("key", "gap")
-    return monitor.batch_pvalues(o, ref, permutations=200).select("key", "batch", F.round("p_value", 6).alias("p_value"))
+    return monitor.batch_pvalues(o, ref, size=20, permutations=200).select("key", "batch", F.round("p_value", 6).alias("p_value"))
 
 
 @query("q57_detection_rate")
