@@ -309,6 +309,17 @@ def q27(spark, d):
     return t.groupBy("model", "host").agg(F.count(F.lit(1)).alias("n"), F.min("response_id").alias("first_id"), F.max("response_id").alias("last_id"))
 
 
+@query("q65_trusted_middle", f"""WITH {CAPTURED}, p AS (SELECT min(response_id) AS a, max(response_id) AS b FROM rec)
+SELECT r.model, r.host, count(*) AS n, min(r.response_id) AS first_id, max(r.response_id) AS last_id FROM rec r JOIN choice c USING (response_id), p
+WHERE r.shadow AND r.n = 1 AND NOT c.capped AND r.status <> 'alert' AND r.response_id BETWEEN a + (b - a) * CAST(0.125 AS DOUBLE) AND a + (b - a) * CAST(0.875 AS DOUBLE) GROUP BY 1, 2""")
+def q65(spark, d):
+    """As q27, with the middle three quarters of the time that the data covers as the period."""
+    first, last = captured(spark, d).agg(F.min("time"), F.max("time")).first()
+    apart = (last or 0.0) - (first or 0.0)
+    t = calibration.trusted(audits(spark, d), None, None, (first or 0.0) + apart * 0.125, (first or 0.0) + apart * 0.875)
+    return t.groupBy("model", "host").agg(F.count(F.lit(1)).alias("n"), F.min("response_id").alias("first_id"), F.max("response_id").alias("last_id"))
+
+
 @query("q28_record_checks", f"WITH {CAPTURED} SELECT response_id, n, reported, canonical, hidden, shadow, count_skipped, billed_minus_reported FROM rec")
 def q28(spark, d):
     return audits(spark, d).select("response_id", "n", "reported", "canonical", "hidden", "shadow", "count_skipped", "billed_minus_reported")
@@ -492,7 +503,16 @@ def q50(spark, d):
 
 @query("q51_entry_alignment", f"""WITH {LEDGER} SELECT response_id, CASE WHEN conv_id % 5 = 1 THEN 'full' WHEN conv_id % 5 = 2 THEN NULL ELSE 'content' END AS "array", CASE WHEN conv_id % 5 = 1 THEN 1 WHEN conv_id % 5 = 2 THEN NULL ELSE 0 END AS start FROM ledger WHERE len(response_text) < 400 AND response_text <> ''""")
 def q51(spark, d):
-    r = ledger(spark, d).where((F.length("response_text") < 400) & (F.col("response_text") != ""))
+    return entry_alignment(ledger(spark, d).where((F.length("response_text") < 400) & (F.col("response_text") != "")))
+
+
+@query("q64_entry_alignment_whole", f"""WITH {LEDGER} SELECT response_id, CASE WHEN conv_id % 5 = 1 THEN 'full' WHEN conv_id % 5 = 2 THEN NULL ELSE 'content' END AS "array", CASE WHEN conv_id % 5 = 1 THEN 1 WHEN conv_id % 5 = 2 THEN NULL ELSE 0 END AS start FROM ledger WHERE response_text <> ''""")
+def q64(spark, d):
+    """As q51, for responses of any length."""
+    return entry_alignment(ledger(spark, d).where(F.col("response_text") != ""))
+
+
+def entry_alignment(r: DataFrame) -> DataFrame:
     entry = "struct<token:string,token_id:bigint,bytes:array<int>>"
     none_id, none_bytes = F.lit(None).cast("bigint"), F.lit(None).cast("array<int>")
     own = F.transform(tokens.tokens(F.col("response_text")), lambda t: F.struct(t.alias("token"), none_id.alias("token_id"), none_bytes.alias("bytes")).cast(entry))
@@ -543,7 +563,7 @@ def q54(spark, d, path=TOKENIZER):
 @query("q55_placeholder_alignment")
 def q55(spark, d):
     """Texts whose non-ASCII characters came back as two placeholder tokens each."""
-    t = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.substring("text", 1, 40).alias("text"))
+    t = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
     parts = F.flatten(F.transform(F.split("text", ""), lambda c: F.when(F.octet_length(c) > 1, F.array(F.lit(align.PLACEHOLDER), F.lit(align.PLACEHOLDER))).otherwise(F.array(c))))
     return align.align_holes(t.withColumn("tokens", F.filter(parts, lambda x: x != ""))).select("id", "state", F.size("readings").alias("n"))
 
