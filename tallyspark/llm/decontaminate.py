@@ -5,7 +5,8 @@ A window is `window` consecutive words of an item (a shorter, non-empty item is
 occurrence is hit. `clean` removes hit spans, or whole documents whose hit share passes a limit.
 
 The automaton is built per block of items whose words are bounded by `block_words`, so what a task holds is bounded for
-any number of items; with several blocks the spans of each are merged per document.
+any number of items; with several blocks each row gets a number, stored once, by which the spans of all blocks are merged.
+Identifiers play no part in that: they may be null or repeated. Items stream through the driver, one block at a time.
 
 Defined results: null or empty text has no words and no hits; items without words are ignored; an empty benchmark hits
 nothing; repeated items count by their item_id; other columns are ignored.
@@ -19,8 +20,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import WORD_BYTES, arrow_rows, id_text, words_of
+from .common import WORD_BYTES, arrow_rows, id_text, shared_dir, stored, words_of
 
 WINDOW = 10
 #: Words of items in one automaton; about 1 KB of memory a word.
@@ -81,12 +83,12 @@ class SuffixAutomaton:
     def ready(self) -> None:
         """After the last item: which states some short item may end in, by its length."""
         self.ends = sorted(self.short)
+        self.least = min([self.window, *self.ends])
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
         """Hit spans (start, end exclusive), items with occurring windows, and the longest match, over a document's words."""
         nxt, link, length, number = self.next, self.link, self.length, self.words
-        window, windows, ends = self.window, self.windows, self.ends
-        least = min([window, *ends])
+        window, windows, ends, least = self.window, self.windows, self.ends, self.least
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
         state = matched = longest = 0
@@ -134,22 +136,50 @@ def blocks_of(benchmark: DataFrame, window: int, block_words: int) -> Iterator[S
     yield automaton
 
 
-SPANS = "doc_id long, n_words long, longest long, spans array<struct<start:long,end:long>>, items array<string>"
+SPAN_LIST = "array<struct<start:long,end:long>>"
+FOUND = f"n_words long, longest long, spans {SPAN_LIST}, items array<string>"
+ROW = "_decontaminate_row"
 
 
-def _scan(docs: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
+def _scan(rows: DataFrame, automaton: SuffixAutomaton, key: str) -> DataFrame:
     """The automaton travels with the function: its size is bounded by block_words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
+            out = []
+            for k, text in zip(b[key], b["text"]):
                 words = words_of(text)
                 spans, items, longest = automaton.scan(words)
-                rows.append((doc_id, len(words), longest, [{"start": s, "end": e} for s, e in spans], sorted(items)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "longest", "spans", "items"])
+                out.append((k, len(words), longest, [{"start": s, "end": e} for s, e in spans], sorted(items)))
+            yield pd.DataFrame(out, columns=[key, "n_words", "longest", "spans", "items"])
+
+    return rows.select(key, "text").mapInPandas(run, f"{key} long, {FOUND}")
+
+
+@F.pandas_udf(LongType())
+def n_words_of(texts: pd.Series) -> pd.Series:
+    return pd.Series([len(words_of(t)) for t in texts], dtype="int64")
 
-    return id_text(docs).mapInPandas(run, SPANS)
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written once so that it stays the same in every scan."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _scan_blocks(rows: DataFrame, benchmark: DataFrame, automata: Iterator[SuffixAutomaton], window: int) -> DataFrame:
+    """What all blocks find in numbered rows, one row for each that has a match. A group has one row a block at most."""
+    n = n_words_of("text")
+    shortest = benchmark.where("item_id is not null").select(n.alias("n")).where("n > 0").agg(F.min("n")).first()[0]
+    work, paths = shared_dir(rows.sparkSession), []
+    for automaton in automata:
+        automaton.least = min(window, shortest)  # as one automaton of all items would have it
+        paths.append(f"{work}/{len(paths)}")
+        _scan(rows, automaton, ROW).where("longest > 0").write.parquet(paths[-1])
+    every = rows.sparkSession.read.schema(f"{ROW} long, {FOUND}").parquet(*paths)
+    merge = F.udf(merged, SPAN_LIST)
+    return every.groupBy(ROW).agg(
+        F.max("n_words").alias("n_words"), F.max("longest").alias("longest"), merge(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
 def merged(spans: list | None) -> list[dict]:
@@ -165,22 +195,16 @@ def merged(spans: list | None) -> list[dict]:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, longest, spans, items) for every row: word spans hit, items that occur, longest match in words."""
     arrow_rows(docs.sparkSession)
-    found = [_scan(docs, a) for a in blocks_of(benchmark, window, block_words)]
-    if len(found) == 1:
-        return found[0]
-    merge = F.udf(merged, "array<struct<start:long,end:long>>")
-    out = found[0]
-    for nth, more in enumerate(found[1:]):
-        m = more.where(F.size("items") > 0).groupBy("doc_id").agg(
-            F.max("longest").alias("longest2"), F.flatten(F.collect_list("spans")).alias("spans2"),
-            F.flatten(F.collect_list("items")).alias("items2"))
-        joined = out.join(m.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-        out = joined.select(
-            "doc_id", "n_words", F.greatest("longest", F.coalesce("longest2", F.lit(0))).alias("longest"),
-            F.when(F.col("spans2").isNull(), F.col("spans")).otherwise(merge(F.concat("spans", "spans2"))).alias("spans"),
-            F.when(F.col("items2").isNull(), F.col("items")).otherwise(F.array_sort(F.array_union("items", "items2"))).alias("items"),
-        )
-    return out
+    blocks = blocks_of(benchmark, window, block_words)
+    head = list(itertools.islice(blocks, 2))
+    if len(head) == 1:
+        return _scan(id_text(docs), head[0], "doc_id")
+    rows = numbered(id_text(docs))
+    hits = _scan_blocks(rows, benchmark, itertools.chain(head, blocks), window).drop("n_words")
+    none = F.array().cast(SPAN_LIST), F.array().cast("array<string>")
+    return rows.select(ROW, "doc_id", n_words_of("text").alias("n_words")).join(hits, ROW, "left").select(
+        "doc_id", "n_words", F.coalesce("longest", F.lit(0).cast("long")).alias("longest"), F.coalesce("spans", none[0]).alias("spans"),
+        F.coalesce("items", none[1]).alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -199,15 +223,15 @@ def clean(
     """docs without hit words: their spans are cut from the text, and rows whose hit share exceeds max_share are dropped.
 
     Text outside the spans stays as it is, down to the last byte; n_chars follows the new text where the column exists.
-    One block of items is applied in place; the spans of more blocks are joined back by doc_id.
+    One block of items is applied in place; the spans of more blocks are joined back by the rows' numbers.
     """
     arrow_rows(docs.sparkSession)
-    automata = list(itertools.islice(blocks_of(benchmark, window, block_words), 2))
-    spans = "array<struct<start:long,end:long>>"
-    if len(automata) == 1:
-        automaton = automata[0]  # bounded by block_words
+    blocks = blocks_of(benchmark, window, block_words)
+    head = list(itertools.islice(blocks, 2))
+    if len(head) == 1:
+        automaton = head[0]  # bounded by block_words
 
-        @F.pandas_udf(f"struct<spans:{spans},share:double>")
+        @F.pandas_udf(f"struct<spans:{SPAN_LIST},share:double>")
         def hits(texts: pd.Series) -> pd.DataFrame:
             rows = []
             for text in texts:
@@ -218,10 +242,10 @@ def clean(
 
         d = docs.withColumn("_hits", hits(docs["text"]))
     else:
-        f = find(docs, benchmark, window, block_words).where(F.size("items") > 0)
+        rows = numbered(docs)
+        f = _scan_blocks(rows, benchmark, itertools.chain(head, blocks), window).where(F.size("items") > 0)
         share = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]) / F.col("n_words")
-        f = f.select(F.col("doc_id").alias("_id"), F.struct("spans", share.alias("share")).alias("_hits"))
-        d = docs.join(f.dropDuplicates(["_id"]), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+        d = rows.join(f.select(ROW, F.struct("spans", share.alias("share")).alias("_hits")), ROW, "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, of: pd.Series) -> pd.Series:
