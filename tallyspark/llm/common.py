@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,18 +37,48 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
-def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps Arrow batches of whole texts small: a batch of very long documents has to fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+#: Rows and bytes of one Arrow batch of whole texts.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes as well as rows, so that a batch of very long documents fits a Python worker.
+
+    These are settings of the session (there is no per-query way); they are only ever lowered.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{key}", str(most)).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
+
+
+def packed(docs: DataFrame, name: str = "d") -> DataFrame:
+    """All columns of docs in one struct, so that whatever an operator adds can't clash with them; `name.*` unpacks it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name))
+
+
+def row_at(doc_id: Column, text: Column) -> Column:
+    """Locator of a row's content: rows have the same one if they agree in identifier and text (else by a 64-bit collision)."""
+    return F.xxhash64(doc_id, text)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """A new folder that driver and executors share, under spark.checkpoint.dir; it goes when the session's JVM ends.
+
+    Where that is unset, a local session (tests) gets a temporary folder; on a cluster it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tallyspark-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tallyspark-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
 
 
 def stored(df: DataFrame, where: str | None = None) -> DataFrame:

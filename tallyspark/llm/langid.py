@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import small_batches
 
 DICT_BYTES, DICTS = 24_000, 3
 BLOCK_BYTES = 4_096
@@ -69,7 +69,7 @@ def dictionaries(docs: DataFrame, train: Column, dict_bytes: int = DICT_BYTES, d
 
 def predict(docs: DataFrame, dictionaries: dict[str, list[bytes]], least_margin: float = LEAST_MARGIN) -> DataFrame:
     """(doc_id, lang_pred, score, margin, confident, and the columns of docs but its text) for every row."""
-    arrow_rows(docs.sparkSession)
+    small_batches(docs.sparkSession)
     names = sorted(dictionaries)
     held = [dictionaries[n] for n in names]  # bounded: see above
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RAW_WORD, arrow_rows, id_text, join_classes, maybe_among, shared_dir, stored, words_of
+from .common import RAW_WORD, small_batches, id_text, join_classes, maybe_among, shared_dir, stored, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -171,7 +171,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     held, size = [], 0
             yield sign(held)
 
-    arrow_rows(docs.sparkSession)
+    small_batches(docs.sparkSession)
     return id_text(docs).where(F.col("doc_id").isNotNull()).mapInPandas(run, SIGNED)
 
 

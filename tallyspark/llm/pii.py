@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_text, join_classes, shared_dir, stored
+from .common import small_batches, id_text, join_classes, shared_dir, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, LEAST_CONFIDENCE, LEAST_SEEDS, PRIOR = 3, 0.75, 5, 1.0
@@ -105,7 +105,7 @@ FOUND = "doc_id long, base array<struct<kind:string,start:long,end:long>>, seen
 
 def extract(docs: DataFrame) -> DataFrame:
     """(doc_id, base, seen) for every row."""
-    arrow_rows(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

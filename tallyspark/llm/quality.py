@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_text
+from .common import small_batches, id_text
 
 BITS = 14
 MAX_ROWS = 6_000
@@ -149,7 +149,7 @@ class Model:
 
 
 def train(docs: DataFrame, ratings: DataFrame, grade: str = "quality", max_rows: int = MAX_ROWS) -> Model:
-    arrow_rows(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shapes: dict[str, str] = {}
@@ -169,7 +169,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "quality", max_rows:
 
 def score(docs: DataFrame, model: Model, select_grade: int | None = None, least_tail: float = LEAST_TAIL) -> DataFrame:
     """(doc_id, expected_grade, tail, kept) for every row; tail is P(grade >= select_grade), the highest grade by default."""
-    arrow_rows(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("struct<expected_grade:double,tail:double>")
     def grades(texts: pd.Series) -> pd.DataFrame:

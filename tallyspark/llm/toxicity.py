@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_text
+from .common import small_batches, id_text
 
 MAX_ROWS, MAX_ENTRIES = 8_000, 3_000
 LEAST_SUPPORT, LEAST_ODDS = 4, 3.0
@@ -130,7 +130,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, max_
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", max_rows: int = MAX_ROWS) -> Lexicon:
     """Lexicon and curve from labelled rows that `train` (a condition on labels) selects."""
-    arrow_rows(docs.sparkSession)
+    small_batches(docs.sparkSession)
     sample = labelled(docs, labels, label, train, max_rows)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,7 +188,7 @@ def curve(raw: np.ndarray, y: np.ndarray, n_no: int, n_yes: int) -> tuple[float,
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, score, predicted, n_matches) for every row."""
-    arrow_rows(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series) -> pd.Series:
