@@ -158,6 +158,46 @@ def test_near_dedup_equals_brute_force(spark, docs, nothing):
     assert near_dedup.classes(nothing).count() == 0
     assert near_dedup.classes(docs).count() == len(ROWS)
     assert near_dedup.drop_near_copies(docs).columns == docs.columns
+    near_dedup.BLOCK_MEMBERS, most = 3, near_dedup.BLOCK_MEMBERS  # groups of several blocks
+    try:
+        again = {r["doc_id"]: tuple(r) for r in near_dedup.classes(d).collect()}
+    finally:
+        near_dedup.BLOCK_MEMBERS = most
+    assert again == {i: tuple(r) for i, r in got.items()}
+
+
+def test_near_dedup_identifiers(spark):
+    one, two = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    rows = [(7, one), (7, two), (9, one + " more"), (8, two + " tail"), (None, one), (None, ""), (7, ""), (5, "!"), ((1 << 53) + 1, "just this one text of its own"), (9, one + " more"), (None, "lone words without a number here"), (None, "lone words without a number here")]
+    schema = "doc_id long, text string, d string, at string, _maybe int, _bits int, _bucket int, _id int, key int"
+    d = spark.createDataFrame([(i, t, "x", "y", 1, 2, 3, 4, 5) for i, t in rows], schema).repartition(3)
+    got = near_dedup.located(d).join(d.select("text", F.xxhash64("doc_id", "text").alias("at")).distinct(), "at").collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["class_id"], set()).add("one" if r["text"].startswith("a0") else "two" if r["text"].startswith("b0") else f"{r['doc_id']} {r['text']}")
+    assert all(len(v) == 1 for v in by.values()) and len(by) == 7
+    sizes = {(r["doc_id"], r["text"]): (r["class_size"], r["kept"]) for r in got}
+    assert sizes[7, one] == (4, False) and sizes[9, one + " more"] == (4, True) and sizes[8, two + " tail"] == (2, True) and sizes[5, "!"] == (1, True)
+    kept = near_dedup.drop_near_copies(d)
+    assert kept.columns == d.columns and kept.where("d <> 'x' or at <> 'y' or _maybe <> 1 or _bits <> 2 or _bucket <> 3 or _id <> 4 or key <> 5").count() == 0
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()), key=repr) == sorted((r for r in rows if sizes[r][1]), key=repr)
+
+
+def test_near_dedup_recall(spark):
+    """Every pair at 0.8 or more on the test table is in one class, and classes are no larger than those pairs make them."""
+    rows = [(r["doc_id"], r["text"]) for r in real(spark, "/root/testdata/sf0.01", "documents").collect()]
+    hashed = {i: near_dedup.counted(near_dedup.shingle_hashes(words_of(t), {})) for i, t in rows}
+    at, root = {}, {i: i for i, _ in rows}
+    for i, (x, _) in hashed.items():
+        for e in x.tolist():
+            at.setdefault(e, []).append(i)
+    pairs = {p for ids in at.values() for p in itertools.combinations(sorted(ids), 2)}
+    close = [p for p in pairs if near_dedup.probability_jaccard(hashed[p[0]], hashed[p[1]]) >= 0.8]
+    for a, b in close:
+        near_dedup._join(root, a, b)
+    assert len(close) > 50
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(real(spark, "/root/testdata/sf0.01", "documents")).collect()} == {i: near_dedup._find(root, i) for i in root}
 
 
 def test_similarity_is_probability_jaccard():
