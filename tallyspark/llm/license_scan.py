@@ -1,8 +1,8 @@
 """Licence scan by ordered signature rules, in DataFrame functions only.
 
-Rules are regular expressions with a keyword, a priority, a label and a confidence. They are written as one line per
-licence and one per form of reference, which gives a few hundred. A text must pass a cheap gate, then a rule's keyword
-must occur, before its expression runs; detections are intervals of the lower-cased text. A detection inside another of
+Rules (license_rules.py, some three hundred) are regular expressions with a keyword, a priority, a label and a confidence:
+tags, clauses of licence texts and headers, notices, addresses, names. A text must pass a cheap gate, then a rule's keyword
+must occur, before its expression runs; detections are intervals of the lower-cased text with single blanks. A detection inside another of
 higher or equal priority is suppressed (equal intervals: the first rule stays).
 
 Base places come from words: each place where a base phrase's words stand consecutively.
@@ -19,76 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import RAW_WORD, WORD, ascii_lower, id_text, shared_dir, stored
+from .license_rules import GATE, rules
 
 #: Fixed base phrases and labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-_V = r"(?:,?\s*(?:version|v\.?)?\s*"
-#: (label, keyword, name as a regular expression on lower-cased text).
-LICENCES = (
-    ("gpl-2.0", "general public", r"(?:gnu\s+)?general public licen[sc]e" + _V + r"2(?:\.0)?)(?![.\d])"),
-    ("gpl-3.0", "general public", r"(?:gnu\s+)?general public licen[sc]e" + _V + r"3(?:\.0)?)(?!\.?\d)"),
-    ("gpl", "gpl", r"\bgpl(?:v?[123](?:\.0)?)?\b"),
-    ("gpl", "general public", r"gnu general public licen[sc]e"),
-    ("lgpl", "lesser general", r"(?:gnu\s+)?lesser general public licen[sc]e"),
-    ("lgpl", "lgpl", r"\blgpl(?:v?[23](?:\.[01])?)?\b"),
-    ("agpl-3.0", "affero", r"(?:gnu\s+)?affero general public licen[sc]e"),
-    ("agpl-3.0", "agpl", r"\bagpl(?:v?3(?:\.0)?)?\b"),
-    ("gfdl", "free documentation", r"(?:gnu\s+)?free documentation licen[sc]e"),
-    ("apache-1.1", "apache", r"apache (?:software )?licen[sc]e" + _V + r"1\.1)"),
-    ("apache-2.0", "apache", r"apache (?:software )?licen[sc]e" + _V + r"2(?:\.0)?)(?!\d)"),
-    ("apache", "apache", r"apache (?:software )?licen[sc]e"),
-    ("mit", "mit", r"\b(?:mit|expat|x11) licen[sc]e"),
-    ("bsd-2-clause", "bsd", r"(?:simplified|2-clause|two-clause|freebsd) bsd licen[sc]e"),
-    ("bsd-3-clause", "bsd", r"(?:new|revised|modified|3-clause|three-clause) bsd licen[sc]e"),
-    ("bsd", "bsd", r"\bbsd(?:-style)? licen[sc]e"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e" + _V + r"1\.1)"),
-    ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e" + _V + r"2(?:\.0)?)"),
-    ("mpl", "mozilla", r"mozilla public licen[sc]e"),
-    ("epl", "eclipse", r"eclipse public licen[sc]e"),
-    ("cddl", "common development", r"common development and distribution licen[sc]e"),
-    ("eupl", "european union", r"european union public licen[sc]e"),
-    ("isc", "isc", r"\bisc licen[sc]e"),
-    ("zlib", "zlib", r"\bzlib licen[sc]e"),
-    ("artistic", "artistic", r"artistic licen[sc]e"),
-    ("boost", "boost", r"boost software licen[sc]e"),
-    ("unlicense", "unlicense", r"\bunlicense\b"),
-    ("wtfpl", "wtfpl", r"\bwtfpl\b"),
-    ("ofl", "open font", r"(?:sil )?open font licen[sc]e"),
-    ("psf", "python software", r"python software foundation licen[sc]e"),
-    ("odbl", "open database", r"open database licen[sc]e"),
-    ("cc0", "cc0", r"\bcc0(?:[ -]1\.0)?\b"),
-    ("public-domain", "public domain", r"\bpublic domain\b"),
-    ("cc-by", "cc", r"\bcc[ -]by" + r"(?:[ -]\d\.\d)?(?![ -](?:nc|nd|sa))\b"),
-    ("cc-by-sa", "cc", r"\bcc[ -]by-sa(?:[ -]\d\.\d)?\b"),
-    ("cc-by-nc", "cc", r"\bcc[ -]by-nc(?:[ -]\d\.\d)?(?!-)\b"),
-    ("cc-by-nc-sa", "cc", r"\bcc[ -]by-nc-sa(?:[ -]\d\.\d)?\b"),
-    ("cc-by-nd", "cc", r"\bcc[ -]by-nd(?:[ -]\d\.\d)?\b"),
-    ("cc-by-nc-nd", "cc", r"\bcc[ -]by-nc-nd(?:[ -]\d\.\d)?\b"),
-    ("cc-by-sa", "creative commons", r"creative commons attribution[ -]share[ -]?alike"),
-    ("cc-by-nc", "creative commons", r"creative commons attribution[ -]non[ -]?commercial(?![ -](?:share|no))"),
-    ("cc-by", "creative commons", r"creative commons attribution(?![ -](?:share|non|no))"),
-    ("proprietary", "all rights reserved", r"all rights reserved"),
-)
-#: (what stands before the name, priority, confidence); longer references outrank bare names.
-FORMS = (
-    (r"", 1, 0.8),
-    (r"licen[sc]ed under (?:the )?(?:terms of (?:the )?)?", 3, 0.95),
-    (r"(?:released|distributed|published|available|provided) under (?:the )?(?:terms of (?:the )?)?", 3, 0.95),
-    (r"subject to (?:the )?(?:terms of (?:the )?)?", 2, 0.9),
-    (r"under (?:the )?(?:terms of (?:the )?)?", 2, 0.9),
-    (r"governed by (?:the )?", 2, 0.9),
-    (r"spdx-licen[sc]e-identifier:\s*", 4, 1.0),
-)
-#: Passes every text with a base phrase or a keyword of a rule; ASCII letters in either case.
-GATE = r"(?i)licen[cs]|gpl|creative commons|public domain|all rights reserved|wtfpl|cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
-
-
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, regular expression, priority, confidence), a few hundred."""
-    return [(label, keyword, before + name, priority, confidence) for label, keyword, name in LICENCES for before, priority, confidence in FORMS]
-
-
 def places(words: Column, phrase: str) -> Column:
     """Word numbers, from 0, where the phrase's words stand consecutively."""
     need = phrase.split(" ")
@@ -127,9 +62,10 @@ def scan(docs: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.col("low"), F.lit(WORD), F.lit(0))
     gated = gated.withColumn("words", F.when(F.col("low").isNotNull(), words))
     per = [F.when(F.col("low").isNotNull(), places(F.col("words"), p)) for p, _ in BASE]
-    live = F.filter(table, lambda r: F.contains(F.col("low"), r["keyword"]))
+    gated = gated.withColumn("flat", F.when(F.col("low").isNotNull(), F.regexp_replace("low", r"\s+", " ")))
+    live = F.filter(table, lambda r: F.contains(F.col("flat"), r["keyword"]))
     found = F.flatten(F.transform(live, lambda r: F.transform(
-        intervals(F.col("low"), r["pattern"]),
+        intervals(F.col("flat"), r["pattern"]),
         lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"),
                            r["label"].alias("label"), r["confidence"].alias("confidence")))))
     return gated.select(
@@ -145,7 +81,7 @@ def resolve(found: DataFrame) -> DataFrame:
     """
     order = [F.col("start"), F.desc("end"), F.desc("priority"), F.col("rule")]
     before = Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    levels = sorted({f[1] for f in FORMS})
+    levels = sorted({r[3] for r in rules()})
     covered = F.lit(False)
     for k in levels:
         reach = F.max(F.when(F.col("priority") >= k, F.col("end"))).over(before)
