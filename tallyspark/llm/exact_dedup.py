@@ -2,23 +2,24 @@
 
 A compact ledger (digest, stable identifier, content locator) is streamed through a stateful aggregation whose state is
 kept on disk by RocksDB and never expires: for each digest it retains the identifier and locator of the row that stays
-and the number of rows. Spark combines rows of a digest before the shuffle, so a digest that holds a third of all rows
+and the number of rows. The locator is a hash of identifier and text as stored, so it finds that very row again even
+where identifiers are null or shared. Spark combines rows of a digest before the shuffle, so a digest that holds a third of all rows
 sends one row per task. Every hit is then compared with the retained row's full bytes; rows that share a digest but not
 their bytes are classed by the bytes themselves.
 
 Defined results: null text counts as empty; empty texts equal each other; an empty table gives no rows; rows that repeat
 both identifier and text are all reported, as one and the same document (`kept` follows the identifier); other columns
-are ignored. A null identifier is smaller than any other.
+are ignored, and pass through `drop_copies` whatever their names. A null identifier is smaller than any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_text, join_classes, maybe_among, shared_dir, stored
+from .common import ascii_lower, id_text, join_classes, maybe_among, packed, row_at, shared_dir, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows whose state one store holds, about.
@@ -32,14 +33,14 @@ def whole(sha: Column) -> Column:
 
 
 def with_digest(docs: DataFrame, key: Callable[[Column], Column]) -> DataFrame:
-    """(doc_id, norm, sha, digest). key maps the SHA-256 to the state's key: all of it, but tests shorten it to make texts collide."""
-    d = id_text(docs).select("doc_id", ascii_lower(F.col("text")).alias("norm"))
+    """(doc_id, norm, locator, sha, digest). key maps the SHA-256 to the state's key: all of it, but tests shorten it to make texts collide."""
+    d = id_text(docs).select("doc_id", ascii_lower(F.col("text")).alias("norm"), row_at(F.col("doc_id"), F.col("text")).alias("locator"))
     return d.withColumn("sha", F.sha2("norm", 256)).withColumn("digest", key(F.col("sha")))
 
 
 def ledger(docs: DataFrame, key: Callable[[Column], Column] = whole) -> DataFrame:
-    """(doc_id, sha, digest, locator): what the state needs of each row. The locator is the identifier within the table."""
-    return with_digest(docs, key).select("doc_id", "sha", "digest", F.col("doc_id").alias("locator"))
+    """(doc_id, sha, digest, locator): what the state needs of each row."""
+    return with_digest(docs, key).select("doc_id", "sha", "digest", "locator")
 
 
 def stream_state(spark: SparkSession, ledger_path: str, work: str, files_per_trigger: int = 4096, partitions: int = 8) -> DataFrame:
@@ -73,7 +74,7 @@ def stream_state(spark: SparkSession, ledger_path: str, work: str, files_per_tri
             .groupBy("digest")
             .agg(
                 F.max("doc_id").alias("keep_id"),
-                F.max_by("locator", "doc_id").alias("keep_locator"),
+                F.max_by("locator", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("keep_locator"),  # a null order would be left out
                 F.count(F.lit(1)).alias("group_size"),
             )
         )
@@ -135,7 +136,7 @@ def collisions(docs: DataFrame, state: DataFrame, key: Callable[[Column], Column
     texts = maybe_among(with_digest(docs, key).drop("sha"), "digest", multi.select("digest"), groups).where("_maybe").drop("_maybe")
     hits = join_classes(texts, multi, "digest", "group_size", total).where(F.col("group_size").isNotNull())
     hits = stored(hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")))
-    kept = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_locator")))
+    kept = hits.where(F.col("locator") == F.col("keep_locator"))
     kept = kept.groupBy("digest").agg(F.min("norm").alias("kept_norm"), F.max(salts).alias("salts"))
     kept = kept.select("digest", "kept_norm", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     wrong = hits.select("digest", "salt", "norm").join(kept, ["digest", "salt"]).where(F.col("norm") != F.col("kept_norm"))
@@ -153,11 +154,10 @@ def drop_copies(docs: DataFrame) -> DataFrame:
         return F.concat_ws(":", sha, doc_id)
 
     judged = assign(docs).where("group_size > 1")
-    copies = judged.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("_row_key"), "kept")
-    copies = stored(copies.groupBy("_row_key").agg(F.max("kept").alias("kept")))
-    keyed = docs.withColumn("_row_key", row_key(docs["doc_id"], F.sha2(ascii_lower(docs["text"]), 256)))
-    keyed = maybe_among(keyed, "_row_key", copies.select("_row_key"), copies.count())
-    first = F.row_number().over(Window.partitionBy("_row_key").orderBy("_row_key"))
-    some = keyed.where("_maybe").join(copies.where("not kept").select("_row_key"), "_row_key", "left_anti")
-    some = some.withColumn("_nth", first).where("_nth = 1")
-    return keyed.where("not _maybe").select(*docs.columns).unionByName(some.select(*docs.columns))
+    copies = judged.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"), "kept")
+    copies = stored(copies.groupBy("key").agg(F.max("kept").alias("kept")))
+    keyed = packed(docs).withColumn("key", row_key(F.col("d")["doc_id"], F.sha2(ascii_lower(F.col("d")["text"]), 256)))
+    keyed = maybe_among(keyed, "key", copies.select("key"), copies.count())
+    some = keyed.where("_maybe").join(copies.where("not kept").select("key"), "key", "left_anti")
+    some = some.dropDuplicates(["key"])  # combined before the shuffle, however often a row repeats
+    return keyed.where("not _maybe").select("d.*").unionByName(some.select("d.*"))
