@@ -1,7 +1,9 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-Each source has a target number of words. The total is cut into blocks of equal size, and blocks go to sources by highest
-quotients target / (2 seats + 1). A source's documents lie end to end, in seeded order, in shards of bounded size; its
+Each source has a target number of words. Sources of like size (within a factor of two) share a block size: the largest
+power of two up to a thousandth of the source, 1 at least and BLOCK_WORDS at most, so that small sources come as near
+their targets as large ones. What such sources take together is cut into blocks of that equal size, and blocks go to them
+by highest quotients target / (2 seats + 1). A source's documents lie end to end, in seeded order, in shards of bounded size; its
 blocks are apportioned to its shards in the same way by their words, which gives an integer quota per shard. Within a
 shard, seeded order picks the blocks that fill the quota. A document takes its words in the picked blocks, so every
 block, and with it every word, is taken at most twice.
@@ -18,16 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import join_classes, shared_dir, stored
 
 #: Size counts runs of anything but ASCII blanks (fixed by the contract).
 TOKEN = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
-#: Words in a shard, about, and the largest block.
-SHARD_WORDS, BLOCK_WORDS = 2_000_000, 512
-#: A table of one row per source is broadcast up to this many rows, otherwise joined by a salted shuffle.
-BROADCAST_ROWS = 100_000
+#: Words in a shard, about (its documents' sizes are ordered in one task), and the largest block.
+SHARD_WORDS, BLOCK_WORDS = 5_000_000, 512
 
 
 def sizes(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
@@ -90,22 +90,24 @@ def mix(
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, n_blocks) for every row; taken is what the mix takes of it.
 
-    block_words defaults to a thousandth of the mean source's words, at most BLOCK_WORDS and at least 1.
+    block_words sets one block size for all sources.
     """
     work = shared_dir(docs.sparkSession)
-    d = stored(sizes(docs), f"{work}/sizes")
-    per = d.groupBy("source").agg(F.sum("size").alias("source_size"))
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))  # of a source, also a null one
+    d = stored(sizes(docs).withColumn("key", key), f"{work}/sizes")
+    per = d.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     src = stored(targets(per, weights, share, cap), f"{work}/sources")
-    n, words, goal = src.agg(F.count(F.lit(1)), F.sum("source_size"), F.sum("target")).first()
-    b = block_words or max(1, min(BLOCK_WORDS, (words or 0) // max(1, n * 1000)))
+    tier = F.floor(F.log2(F.greatest(F.lit(1.0), F.least(F.col("source_size") / 1000, F.lit(float(BLOCK_WORDS))))) + 1e-9)
+    src = src.withColumn("b", F.lit(block_words).cast("long") if block_words else F.pow(F.lit(2.0), tier).cast("long"))
     src = src.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int"))
-    seats = apportioned(src, ["source"], [], F.col("target"), F.lit(round((goal or 0.0) / b)), F.ceil(F.col("source_size") / b) * 2)
-    src = stored(seats.withColumnRenamed("quota", "seats"), f"{work}/seats")
+    seats = F.round(F.sum("target").over(Window.partitionBy("b")) / F.col("b"))
+    src = src.withColumn("all_seats", seats)
+    src = apportioned(src, ["b", "source"], ["b"], F.col("target"), F.col("all_seats"), F.ceil(F.col("source_size") / F.col("b")) * 2)
+    src = stored(src.withColumnRenamed("quota", "seats"), f"{work}/seats")
 
     # documents: end to end within a shard
-    named = src.select(F.col("source").alias("_source"), "source_size", "target", "shards", "seats")
-    on = F.col("source").eqNullSafe(F.col("_source"))
-    placed = d.join(F.broadcast(named) if n <= BROADCAST_ROWS else named, on, "left").drop("_source")
+    named = src.select("key", "docs", "source_size", "target", "shards", "seats", "b")
+    placed = join_classes(d, named, "key", "docs", max(1, d.count())).drop("docs", "key")
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("shards")).cast("int"))
     w = Window.partitionBy("source", "shard").orderBy(order, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,7 +115,8 @@ def mix(
     placed = stored(placed.withColumn("row", F.monotonically_increasing_id()), f"{work}/placed")
 
     # quotas per shard, then seeded blocks
-    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.max("seats").alias("seats"))
+    b = F.col("b")
+    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.max("seats").alias("seats"), F.max("b").alias("b"))
     shards = shards.where("words > 0").withColumn("blocks", F.ceil(F.col("words") / b).cast("long"))
     shards = apportioned(shards, ["source", "shard"], ["source"], F.col("words"), F.col("seats"), F.col("blocks") * 2)
     blocks = shards.select("source", "shard", "quota", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
@@ -124,7 +127,7 @@ def mix(
 
     end = F.col("start") + F.col("size")
     parts = placed.where("size > 0").select(
-        "row", "start", end.alias("end"), F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_null"), "shard",
+        "row", "b", "start", end.alias("end"), F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_null"), "shard",
         F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((end - 1) / b))).alias("block"))
     inside = F.least(F.col("end"), (F.col("block") + 1) * b) - F.greatest(F.col("start"), F.col("block") * b)
     got = parts.join(blocks, ["_s", "_null", "shard", "block"]).groupBy("row").agg(
