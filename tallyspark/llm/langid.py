@@ -1,7 +1,7 @@
 """Language identification by compression: the language whose dictionary compresses a text best.
 
-For each language a zstandard raw-content dictionary is cut from whole training texts drawn by hash (at most `dict_bytes`
-per dictionary, `dicts` dictionaries per language). A text's letters are encoded block by block, all of it, with every
+For each language zstandard raw-content dictionaries are cut from training texts drawn by hash whatever their length (at
+most `dict_bytes` per dictionary and text, `dicts` dictionaries per language). A text's letters are encoded block by block, all of it, with every
 dictionary of every language; the smallest total wins. The margin is the gap to the second smallest relative to the
 smallest, and `confident` is false where it is below `least_margin`: callers reject those.
 
@@ -22,12 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-DICT_BYTES, DICTS = 24_000, 3
+DICT_BYTES, DICTS = 24_000, 2
 BLOCK_BYTES = 4_096
 #: Tables are sized for a block and a dictionary, which at this level finds matches short enough to tell languages apart.
 LEVEL = 6
-#: Texts of fewer bytes are encoded with all dictionaries of a language: one says too little there.
-SHORT_BYTES = 400
 SAMPLE_DOCS = 400
 LEAST_MARGIN = 0.02
 UNKNOWN = "und"
@@ -44,8 +42,8 @@ def folded(text: str) -> str:
 
 def dictionaries(docs: DataFrame, train: Column, dict_bytes: int = DICT_BYTES, dicts: int = DICTS) -> dict[str, list[bytes]]:
     """language -> raw-content dictionaries, from the rows that `train` selects and that name a language."""
-    d = docs.where(train).where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    d = d.withColumn("_short", F.length("text") < 200).where(F.length("text") <= 20_000)
+    d = docs.where(train).where("lang is not null and text is not null").select("doc_id", F.left("text", F.lit(dict_bytes)).alias("text"), "lang")
+    d = d.withColumn("_short", F.length("text") < 200)
     # a hash threshold from the counts leaves about 4 x SAMPLE_DOCS rows a language to be ranked, whatever the table's size
     counts = d.groupBy("lang", "_short").agg(F.count(F.lit(1)).alias("_rows"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 32))
@@ -93,9 +91,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, list[bytes]], least_margin:
             sizes = [0.0] * len(names)
             for at in range(0, len(data), BLOCK_BYTES):
                 block = data[at : at + BLOCK_BYTES]
-                use = None if len(data) < SHORT_BYTES else 1
                 for k, ds in enumerate(each):
-                    ds = ds[:use]
                     sizes[k] += sum(len(c.compress(block)) for c in ds) / len(ds)
             order = sorted(range(len(names)), key=lambda k: (sizes[k], k))
             best = sizes[order[0]]
