@@ -24,9 +24,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, id_text
+from .common import id_text, small_batches, stored
 
-MAX_ROWS, MAX_ENTRIES = 8_000, 3_000
+MAX_ROWS = 8_000
 LEAST_SUPPORT, LEAST_ODDS = 4, 3.0
 STEMS = range(4, 9)
 SEED_WEIGHT = 3.0
@@ -108,9 +108,9 @@ class Lexicon:
         return list(best.values())
 
     def raw(self, text: str | None) -> float:
-        if not text:
-            return 0.0
-        folded = fold(text)
+        return self.of_folded(fold(text)) if text else 0.0
+
+    def of_folded(self, folded: str) -> float:
         found = self.matches(folded)
         if not found:
             return 0.0
@@ -131,18 +131,23 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, max_
 def learn(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", max_rows: int = MAX_ROWS) -> Lexicon:
     """Lexicon and curve from labelled rows that `train` (a condition on labels) selects."""
     small_batches(docs.sparkSession)
-    sample = labelled(docs, labels, label, train, max_rows)
+    @F.pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fold(t or ""))
+
+    sample = stored(labelled(docs, labels, label, train, max_rows).select(folded("text").alias("folded"), "y"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             c: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, y in zip(b["text"], b["y"]):
-                c[int(y > 0)].update(entries_of(fold(text or "")))
+            for text, y in zip(b["folded"], b["y"]):
+                c[int(y > 0)].update(entries_of(text))
                 c[int(y > 0)][""] += 1
             keys = list(set(c[0]) | set(c[1]))
             yield pd.DataFrame({"entry": keys, "no": [c[0][k] for k in keys], "yes": [c[1][k] for k in keys]})
 
     counts = sample.mapInPandas(count, "entry string, no long, yes long").groupBy("entry").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
+    counts = stored(counts.where(f"yes >= {LEAST_SUPPORT} or entry = ''"))
     rows = counts.agg(F.max(F.when(F.col("entry") == "", F.col("no"))), F.max(F.when(F.col("entry") == "", F.col("yes")))).first()
     n_no, n_yes = (rows[0] or 0), (rows[1] or 0)
     seeds = {f" {w} ": SEED_WEIGHT for w in SEEDS}
@@ -150,8 +155,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic
         return Lexicon(seeds, 2.0, -2.0)
     odds = F.log((F.col("yes") + 0.5) / (n_yes + 1)) - F.log((F.col("no") + 0.5) / (n_no + 1))
     c = counts.where(F.col("entry") != "").withColumn("odds", odds)
-    best = c.where((F.col("odds") >= LEAST_ODDS) & (F.col("yes") >= LEAST_SUPPORT)).orderBy(F.desc("yes"), F.desc("odds"), "entry").limit(MAX_ENTRIES)
-    rows = best.collect()  # at most MAX_ENTRIES
+    best = c.where((F.col("odds") >= LEAST_ODDS) & (F.col("yes") >= LEAST_SUPPORT)).orderBy(F.desc("yes"), F.desc("odds"), "entry")
+    rows = best.collect()  # words of the bounded sample that four labelled rows share and others hardly have
     weights = {r["entry"]: r["odds"] for r in rows}
     support: dict[str, int] = {}
     for r in rows:
@@ -167,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic
 
     def raws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"raw": [lex.raw(t) for t in b["text"]], "y": b["y"].astype(int)})
+            yield pd.DataFrame({"raw": [lex.of_folded(t) for t in b["folded"]], "y": b["y"].astype(int)})
 
     fitted = sample.mapInPandas(raws, "raw double, y int").toPandas()  # max_rows pairs of numbers at most
     lex.slope, lex.bias = curve(fitted["raw"].to_numpy(), fitted["y"].to_numpy(), n_no, n_yes)
