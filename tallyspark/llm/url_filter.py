@@ -2,10 +2,13 @@
 
 A listed rule `host/path` fits its host and all subdomains where the url's path starts with the rule's path; the longest
 wins. Urls that no listed rule fits are judged by the mined rules: Spark's FP-growth finds token combinations that go
-with a label, rules are pruned by support, confidence and by more general rules that are as sure, and a url is matched
-through an inverted index from each rule's rarest token. Everything but the mining runs inside the scan, without a shuffle.
+with a label. Rules are pruned by support, by confidence, and where some of their tokens alone are as sure of the same
+label; all others are matched, through an inverted index from each rule's rarest token: a literal map inside the scan for
+up to LITERAL_RULES rules, a skew-safe join beyond, with equal results.
 
-Both rule lists are small by parameter (`max_rules`) and travel in the plan.
+Labels are the listed rules' verdicts and, for other urls, `block` where a word of the host is on a short list of words
+that only spam uses, else `allow`; so mining finds what else such urls have in common, and drops what it shares with the
+rest.
 
 Defined results: a null url, or one without `://`, has empty host and path, no listed rule and the default verdict;
 equal confidence is decided by support, then by size, then by the rule's text; an empty table gives no rows; other columns are ignored.
@@ -17,10 +20,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, join_classes, stored
 
-MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.8
-MAX_TOKENS, MAX_RULES = 3, 1_000
+MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.8
+#: Rules up to this number travel in the plan; an antecedent up to SUBSETS tokens is held against all its subsets.
+LITERAL_RULES, SUBSETS = 2_000, 12
+#: Words of a host that label a url as spam, to start with.
+SPAM_WORDS = ("casino", "pills", "viagra", "cialis", "porn", "xxx", "spam", "poker", "payday", "replica", "jackpot", "betting", "escort", "warez", "torrents")
 DEFAULT = "allow"
 #: Fixed rules of the registered query: (verdict, rule).
 LISTED = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -56,74 +62,106 @@ def listed(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> Co
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens of a url: host labels with their distance from the end, path segments, extension, query keys; digits as #."""
+    """Distinct tokens of a url: host labels with their distance from the end, words of the host, path segments, extension, query keys; digits as #."""
     host, path = host_of(url), path_of(url)
     labels = F.reverse(F.split(host, r"\."))
     hosts = F.transform(labels, lambda x, i: F.concat(F.lit("h"), F.least(i, F.lit(3)).cast("string"), F.lit(":"), x))
+    words = F.transform(F.filter(F.split(host, r"[.\-]"), lambda x: x.rlike("^[a-z]{3,}$")), lambda x: F.concat(F.lit("w:"), x))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     segments = F.transform(parts, lambda x, i: F.concat(F.lit("p"), F.least(i, F.lit(3)).cast("string"), F.lit(":"), F.regexp_replace(x, "[0-9]+", "#")))
     query = F.coalesce(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit(""))
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q:"), F.regexp_extract(x, "^([^=]*)", 1)))
     ext = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)
     exts = F.when(ext != "", F.array(F.concat(F.lit("x:"), ext))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(hosts, segments, keys, exts))
+    return F.array_distinct(F.concat(hosts, words, segments, keys, exts))
 
 
-def mine(
-    urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, max_rules: int = MAX_RULES
-) -> list[tuple[list[str], str, float, float]]:
-    """(tokens, label, confidence, support) of the pruned rules, surest first, from (url, label) rows; label is not null."""
-    rows = urls.select(F.concat(tokens(F.col("url")), F.array(F.concat(F.lit("label="), "label"))).alias("items"))
-    if rows.isEmpty():
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    rules = model.associationRules.where(F.col("consequent")[0].startswith("label="))
-    rules = rules.where(~F.exists("antecedent", lambda x: F.startswith(x, F.lit("label="))) & (F.size("antecedent") <= max_tokens))
-    order = [F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_join(F.array_sort("antecedent"), " ")]
-    found = rules.orderBy(*order).limit(max_rules).collect()
-    kept: list[tuple[list[str], str, float, float]] = []
-    for r in sorted(found, key=lambda r: len(r["antecedent"])):
-        have, label = set(r["antecedent"]), r["consequent"][0].removeprefix("label=")
-        if not any(have > set(k[0]) and k[1] == label and k[2] >= r["confidence"] for k in kept):
-            kept.append((sorted(have), label, float(r["confidence"]), float(r["support"])))
-    return sorted(kept, key=lambda k: (-k[2], -k[3], len(k[0]), k[0]))
-
-
-def matched(have: Column, rules: list[tuple[list[str], str, float, float]]) -> Column:
-    """struct(confidence, support, tokens, label) of the surest mined rule whose tokens a url has all of, or null."""
-    kind = "struct<confidence:double,support:double,size:int,tokens:array<string>,label:string>"
-    if not rules:
-        return F.lit(None).cast(kind)
-    often: dict[str, int] = {}
-    for r in rules:
-        for t in r[0]:
-            often[t] = often.get(t, 0) + 1
-    index: dict[str, list] = {}
-    for need, label, confidence, support in rules:
-        rule = F.struct(
-            F.lit(confidence).alias("confidence"), F.lit(support).alias("support"), F.lit(-len(need)).alias("size"),
-            F.array(*map(F.lit, need)).alias("tokens"), F.lit(label).alias("label"))
-        index.setdefault(min(need, key=lambda t: (often[t], t)), []).append(rule)
-    m = _index(index)
-    found = F.flatten(F.filter(F.transform(have, lambda t: F.try_element_at(m, t)), lambda x: x.isNotNull()))
-    return F.array_max(F.filter(found, lambda r: F.size(F.array_except(r["tokens"], have)) == 0))
+RULE = "tokens array<string>, label string, confidence double, support double"
 
 
-def judge(
-    pages: DataFrame, rules: tuple[tuple[str, str], ...] = LISTED, mined: list[tuple[list[str], str, float, float]] | None = None, default: str = DEFAULT
-) -> DataFrame:
+def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(tokens, label, confidence, support, key) of the pruned rules from (url, label) rows; label is not null.
+
+    Frequent sets are at most 2^tokens / min_support, however many urls there are. key is the rule's rarest token.
+    """
+    spark = urls.sparkSession
+    rows = urls.select(tokens(F.col("url")).alias("tokens"), F.concat(F.lit("label="), "label").alias("label"))
+    if rows.isEmpty():
+        return spark.createDataFrame([], RULE + ", key string")
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows.select(F.concat("tokens", F.array("label")).alias("items")))
+    found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("label=")) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("label="))))
+    found = stored(found.select(F.array_sort("antecedent").alias("tokens"), F.replace(F.col("consequent")[0], F.lit("label=")).alias("label"), "confidence", "support"))
+    # rules that a part of them makes needless; longer ones than SUBSETS stay, which changes no verdict
+    n = F.size("tokens")
+    masks = F.sequence(F.lit(1).cast("long"), (F.pow(F.lit(2.0), n) - 2).cast("long"))
+    part = F.explode(F.transform(masks, lambda m: F.filter("tokens", lambda x, i: F.floor(m / F.pow(F.lit(2.0), i)) % 2 == 1)))
+    parts = found.where(n.between(2, SUBSETS)).select("tokens", "label", "confidence", part.alias("part"))
+    by = found.select(F.col("tokens").alias("part"), "label", F.col("confidence").alias("sure"))
+    covered = parts.join(by, ["part", "label"]).where("sure >= confidence").select("tokens", "label").distinct()
+    kept = found.join(covered, ["tokens", "label"], "left_anti")
+    each = kept.select("tokens", "label", F.explode("tokens").alias("token"))
+    often = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    key = each.join(often, "token").groupBy("tokens", "label").agg(F.min_by("token", F.struct("n", "token")).alias("key"))
+    return stored(kept.join(key, ["tokens", "label"]).select("tokens", "label", "confidence", "support", "key"))
+
+
+#: As compared to find the surest rule.
+RANK = "struct<confidence:double,support:double,size:int,tokens:array<string>,label:string>"
+
+
+def rank() -> Column:
+    return F.struct("confidence", "support", (-F.size("tokens")).alias("size"), "tokens", "label")
+
+
+def surest(rules: Column, have: Column) -> Column:
+    """Of an array of ranks the surest rule whose tokens a url has all of, or null."""
+    return F.array_max(F.filter(rules, lambda r: F.size(F.array_except(r["tokens"], have)) == 0))
+
+
+def matched(rows: DataFrame, mined: DataFrame | None) -> DataFrame:
+    """rows (row, tokens, open, ...) with `mined`: the surest rule of a row that is open, else null."""
+    n = mined.count() if mined is not None else 0
+    if not n:
+        return rows.withColumn("mined", F.lit(None).cast(RANK))
+    grouped = mined.groupBy("key").agg(F.collect_list(rank()).alias("rules"))
+    if n <= LITERAL_RULES:
+        index = {
+            r["key"]: [
+                F.struct(
+                    F.lit(x["confidence"]).alias("confidence"), F.lit(x["support"]).alias("support"), F.lit(x["size"]).alias("size"),
+                    F.array(*map(F.lit, x["tokens"])).alias("tokens"), F.lit(x["label"]).alias("label"))
+                for x in r["rules"]]
+            for r in grouped.orderBy("key").collect()}
+        m = _index(index)
+        found = F.flatten(F.filter(F.transform("tokens", lambda t: F.try_element_at(m, t)), lambda x: x.isNotNull()))
+        return rows.withColumn("mined", F.when(F.col("open"), surest(found, F.col("tokens"))))
+    rows = stored(rows)
+    each = rows.where("open").select("row", "tokens", F.explode("tokens").alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hits = join_classes(each, grouped.join(often, "key"), "key", "n", max(1, each.count())).where("rules is not null")
+    best = hits.select("row", surest(F.col("rules"), F.col("tokens")).alias("mined")).where("mined is not null").groupBy("row").agg(F.max("mined").alias("mined"))
+    return rows.join(best, "row", "left")
+
+
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = LISTED, mined: DataFrame | None = None, default: str = DEFAULT) -> DataFrame:
     """(page_id, host, path, rule, verdict, mined_rule, confidence) for every row."""
-    p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tokens(F.col("url")).alias("_tokens"))
-    p = p.withColumn("_listed", listed(F.col("host"), F.col("path"), rules))
-    p = p.withColumn("_mined", F.when(F.col("_listed").isNull(), matched(F.col("_tokens"), mined or [])))
+    p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tokens(F.col("url")).alias("tokens"))
+    p = p.withColumn("listed", listed(F.col("host"), F.col("path"), rules)).withColumn("row", F.monotonically_increasing_id())
+    p = matched(p.withColumn("open", F.col("listed").isNull()), mined)
     return p.select(
-        "page_id", "host", "path", F.col("_listed.rule").alias("rule"),
-        F.coalesce(F.col("_listed.verdict"), F.col("_mined.label"), F.lit(default)).alias("verdict"),
-        F.array_join("_mined.tokens", " ").alias("mined_rule"), F.col("_mined.confidence").alias("confidence"))
+        "page_id", "host", "path", F.col("listed.rule").alias("rule"),
+        F.coalesce(F.col("listed.verdict"), F.col("mined.label"), F.lit(default)).alias("verdict"),
+        F.array_join("mined.tokens", " ").alias("mined_rule"), F.col("mined.confidence").alias("confidence"))
+
+
+def labelled(pages: DataFrame, rules: tuple[tuple[str, str], ...] = LISTED) -> DataFrame:
+    """(url, label): the listed verdict, else block for hosts with a spam word, else allow; urls without a host have none."""
+    host = host_of(F.col("url"))
+    spam = F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*map(F.lit, SPAM_WORDS)))
+    label = F.coalesce(listed(host, path_of(F.col("url")), rules)["verdict"], F.when(spam, "block").otherwise("allow"))
+    return pages.where(host != "").select("url", label.alias("label"))
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = LISTED, default: str = DEFAULT) -> DataFrame:
-    """Labels what the listed rules fit, mines those labels, and judges every row."""
-    fit = listed(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"]
-    seen = pages.select("url", fit.alias("label")).where("label is not null")
-    return judge(pages, rules, mine(seen), default)
+    """Labels the urls, mines the labels, and judges every row."""
+    return judge(pages, rules, mine(labelled(pages, rules)), default)
