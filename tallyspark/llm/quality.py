@@ -1,12 +1,13 @@
 """Quality classifier: ordinal cumulative-link (proportional odds) regression on graded ratings over hashed text.
 
 P(grade > k) = sigmoid(w . x - t_k) with one weight vector for all grades and ordered thresholds t_0 < t_1 < ... The
-features x are hashed from the whole text: shapes of blank-separated tokens and of neighbours, repeats of the token just
-before or of a recent one, and length; counts are damped and scaled to unit length, so long texts do not dominate.
+features x are hashed from the whole text: words and pairs of neighbouring words, character trigrams of words, shapes of
+blank-separated tokens and of neighbours, repeats of the token just before or of a recent one, and length. Each group's
+counts are damped and scaled to a fixed length, so long texts do not dominate.
 A row gets its expected grade and the tail probability P(grade >= select_grade); rows below `least_tail` are rejected.
 
-The fit uses at most `max_rows` rated rows, drawn by a hash of their identifier (a bounded sample is enough for 2^14
-shared weights); it runs in one task on hashed counts. Scoring covers every row and whole texts.
+The fit uses at most `max_rows` rated rows, drawn by a hash of their identifier (a bounded sample is enough for
+some 70,000 shared weights); it runs in one task on hashed counts. Scoring covers every row and whole texts.
 
 Defined results: null and empty texts have only the length feature; rows without a rating are scored but not fitted;
 ratings of rows that don't exist, null ratings and repeated ratings (the largest counts) do no harm; with fewer than two
@@ -16,7 +17,9 @@ grades everything gets the grade that exists (0 if none) and is kept; other colu
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -25,11 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, id_text
 
-BITS = 14
-MAX_ROWS = 6_000
+#: Hashed features of each group, and the length that its values are scaled to.
+GROUPS = {"shape": (1 << 14, 1.0), "word": (1 << 14, 0.5), "pair": (1 << 15, 0.3), "trigram": (1 << 12, 0.5)}
+SIZE = sum(n for n, _ in GROUPS.values()) + 64
+MAX_ROWS = 4_000
 LEAST_TAIL = 0.5
 #: Tokens before a token in which its repeat is looked for.
 RECENT = 8
+#: Words, or shapes, that a worker keeps at hand.
+CACHED = 50_000
 
 
 def shape(token: str, seen: dict[str, str]) -> str:
@@ -44,9 +51,9 @@ def shape(token: str, seen: dict[str, str]) -> str:
             return "Aa" + end
     s = seen.get(token)
     if s is None:
-        if len(seen) > 50_000:
+        if len(seen) > CACHED:
             seen.clear()
-        s = seen[token] = _runs(token)[:12]
+        s = seen[token] = _runs(token)
     return s
 
 
@@ -60,47 +67,82 @@ def _runs(token: str) -> str:
     return "".join(out)
 
 
-def features(text: str | None, shapes: dict[str, str]) -> dict[int, float]:
-    """Hashed feature -> value; unit length. shapes caches tokens seen before."""
-    from zlib import crc32
-
-    tokens = text.split() if text else []
-    counts: dict[str, int] = {}
-    last_shape, last, recent = "^", "", [""] * RECENT
-    for i, t in enumerate(tokens):
-        s = shape(t, shapes)
-        counts[s] = counts.get(s, 0) + 1
-        pair = last_shape + "\t" + s
-        counts[pair] = counts.get(pair, 0) + 1
-        if t == last:
-            counts["=last"] = counts.get("=last", 0) + 1
-        elif t in recent:
-            counts["=recent"] = counts.get("=recent", 0) + 1
-        recent[i % RECENT] = t
-        last_shape, last = s, t
-    n = max(1, len(tokens))
-    x: dict[int, float] = {}
-    for k, v in counts.items():
-        h = crc32(k.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
-        x[h] = x.get(h, 0.0) + math.sqrt(v / n)
-    norm = math.sqrt(sum(v * v for v in x.values())) or 1.0
-    x = {h: v / norm for h, v in x.items()}
-    h = crc32(f"n{int(math.log2(n))}".encode()) & ((1 << BITS) - 1)
-    x[h] = x.get(h, 0.0) + 0.1
-    return x
-
-
-def fit(xs: list[dict[int, float]], grades: list[int], rounds: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, list[int]]:
+class Hasher:
+    """Texts to hashed features; keeps the shapes and hashes of words seen before."""
+
+    def __init__(self):
+        self.shapes: dict[str, str] = {}
+        self.words: dict[str, np.ndarray] = {}
+
+    def _word(self, w: str) -> np.ndarray:
+        """Hashes of a word (first) and of its trigrams."""
+        h = self.words.get(w)
+        if h is None:
+            if len(self.words) > CACHED:
+                self.words.clear()
+            framed = f" {w} ".encode("utf-8", "surrogatepass")
+            h = self.words[w] = np.array([crc32(framed), *(crc32(framed[i : i + 3]) for i in range(len(framed) - 2))], np.int64)
+        return h
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(feature numbers, values)."""
+        tokens = text.split() if text else []
+        words = text.lower().split() if text else []
+        n = max(1, len(tokens))
+        ids, values, at = [], [], 0
+        counts = Counter(words)
+        hashed = [self._word(w) for w in counts]
+        times = np.fromiter(counts.values(), float, len(counts))
+        pairs = Counter(zip(words, words[1:]))
+        pair_ids = np.fromiter((crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in pairs), np.int64, len(pairs))
+        shapes = self._shapes(tokens)
+        shape_ids = np.fromiter((crc32(k.encode("utf-8", "surrogatepass")) for k in shapes), np.int64, len(shapes))
+        empty = np.zeros(0, np.int64)
+        raw = {
+            "shape": (shape_ids, np.fromiter(shapes.values(), float, len(shapes))), "word": (np.array([h[0] for h in hashed], np.int64), times),
+            "pair": (pair_ids, np.fromiter(pairs.values(), float, len(pairs))),
+            "trigram": (np.concatenate([h[1:] for h in hashed]) if hashed else empty, np.repeat(times, [len(h) - 1 for h in hashed])),
+        }
+        for name, (size, length) in GROUPS.items():
+            h, c = raw[name]
+            total = np.bincount(h % size, c, size)
+            own = np.flatnonzero(total)
+            v = np.sqrt(total[own] / n)
+            ids.append(own + at)
+            values.append(v * (length / (np.linalg.norm(v) or 1.0)))
+            at += size
+        ids.append(np.array([at + min(63, int(math.log2(n)))]))
+        values.append(np.array([0.1]))
+        return np.concatenate(ids).astype(np.int32), np.concatenate(values).astype(np.float32)
+
+    def _shapes(self, tokens: list[str]) -> dict[str, int]:
+        counts: dict[str, int] = {}
+        last_shape, last, recent = "^", "", [""] * RECENT
+        for i, t in enumerate(tokens):
+            s = shape(t, self.shapes)
+            counts[s] = counts.get(s, 0) + 1
+            pair = last_shape + "\t" + s
+            counts[pair] = counts.get(pair, 0) + 1
+            if t == last:
+                counts["=last"] = counts.get("=last", 0) + 1
+            elif t in recent:
+                counts["=recent"] = counts.get("=recent", 0) + 1
+            recent[i % RECENT] = t
+            last_shape, last = s, t
+        return counts
+
+
+def fit(xs: list[tuple[np.ndarray, np.ndarray]], grades: list[int], rounds: int = 150, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """(weights, thresholds, levels): maximum likelihood of the cumulative-link model by full-batch adaptive gradients."""
     levels = sorted(set(grades))
     if len(levels) < 2:
-        return np.zeros(1 << BITS), np.zeros(0), levels
+        return np.zeros(SIZE), np.zeros(0), levels
     y = np.searchsorted(levels, grades)
     n, k = len(xs), len(levels) - 1
-    row = np.repeat(np.arange(n), [len(x) for x in xs])
-    col = np.concatenate([np.fromiter(x.keys(), np.int64, len(x)) for x in xs])
-    val = np.concatenate([np.fromiter(x.values(), float, len(x)) for x in xs])
-    w, gap = np.zeros(1 << BITS), np.zeros(k)  # thresholds: first, then logs of the steps
+    sizes = [len(h) for h, _ in xs]  # none is 0: every text has its length feature
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    col, val = np.concatenate([h for h, _ in xs]).astype(np.int64), np.concatenate([v for _, v in xs])
+    w, gap = np.zeros(SIZE), np.zeros(k)  # thresholds: first, then logs of the steps
     above = np.array([(y > j).mean() for j in range(k)])
     t0 = -np.log(np.clip(above, 1e-3, 1 - 1e-3) / np.clip(1 - above, 1e-3, 1))
     gap[0] = t0[0]
@@ -109,14 +151,14 @@ def fit(xs: list[dict[int, float]], grades: list[int], rounds: int = 300, l2: fl
     for r in range(1, rounds + 1):
         steps = np.exp(gap[1:])
         t = gap[0] + np.concatenate([[0.0], np.cumsum(steps)])
-        score = np.bincount(row, val * w[col], n)
+        score = np.add.reduceat(val * w[col], starts)
         c = 1 / (1 + np.exp(np.clip(score[:, None] - t, -40, 40)))  # P(grade <= j)
         c = np.hstack([np.zeros((n, 1)), c, np.ones((n, 1))])
         hi, lo = c[np.arange(n), y + 1], c[np.arange(n), y]
         p = np.maximum(hi - lo, 1e-12)
         dhi, dlo = hi * (1 - hi), lo * (1 - lo)
         ds = (dhi - dlo) / p / n  # of the negative log-likelihood by the score
-        gw = np.bincount(col, val * ds[row], len(w)) + l2 * w
+        gw = np.bincount(col, val * np.repeat(ds, sizes), len(w)) + l2 * w
         gt = np.zeros(k)
         np.add.at(gt, y[y < k], -(dhi / p)[y < k] / n)
         np.add.at(gt, y[y > 0] - 1, (dlo / p)[y > 0] / n)
@@ -135,16 +177,21 @@ def rated(docs: DataFrame, ratings: DataFrame, grade: str, max_rows: int) -> Dat
     return id_text(docs).join(F.broadcast(r), "doc_id").select("text", "grade")
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade) from (doc_id, quality, toxic): 0 bad, 1 good but toxic, 2 good; null quality stays null."""
+    fine = F.coalesce(F.col("toxic"), F.lit(0)) <= 0
+    return labels.select("doc_id", F.when(F.col("quality") <= 0, 0).when(F.col("quality") > 0, F.when(fine, 2).otherwise(1)).alias("grade"))
+
+
 class Model:
-    """What scoring needs: 2^BITS weights, ordered thresholds, grade levels."""
+    """What scoring needs: a weight for each hashed feature, ordered thresholds, grade levels."""
 
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray, levels: list[int]):
         self.weights, self.thresholds, self.levels = weights, thresholds, levels
 
-    def tails(self, x: dict[int, float]) -> list[float]:
+    def tails(self, x: tuple[np.ndarray, np.ndarray]) -> list[float]:
         """P(grade > levels[k]) for each k but the last."""
-        w = self.weights
-        s = sum(v * w[h] for h, v in x.items())
+        s = float(self.weights[x[0]] @ x[1])
         return [1 / (1 + math.exp(-max(-40.0, min(40.0, s - t)))) for t in self.thresholds]
 
 
@@ -152,19 +199,19 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "quality", max_rows:
     small_batches(docs.sparkSession)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shapes: dict[str, str] = {}
+        features = Hasher()
         for b in batches:
-            xs = [features(t, shapes) for t in b["text"]]
-            yield pd.DataFrame({"h": [list(x.keys()) for x in xs], "v": [list(x.values()) for x in xs], "grade": b["grade"]})
+            xs = [features(t) for t in b["text"]]
+            yield pd.DataFrame({"h": [h.tobytes() for h, _ in xs], "v": [v.tobytes() for _, v in xs], "grade": b["grade"]})
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = sorted((int(g), tuple(h), tuple(v)) for b in batches for h, v, g in zip(b["h"], b["v"], b["grade"]))
-        w, t, levels = fit([dict(zip(h, v)) for _, h, v in rows], [g for g, _, _ in rows])
+        rows = sorted((int(g), h, v) for b in batches for h, v, g in zip(b["h"], b["v"], b["grade"]))  # the same order in every run
+        w, t, levels = fit([(np.frombuffer(h, np.int32), np.frombuffer(v, np.float32)) for _, h, v in rows], [g for g, _, _ in rows])
         yield pd.DataFrame({"w": [w], "t": [t], "levels": [levels]})
 
-    sample = rated(docs, ratings, grade, max_rows).mapInPandas(hashed, "h array<int>, v array<double>, grade int")
+    sample = rated(docs, ratings, grade, max_rows).mapInPandas(hashed, "h binary, v binary, grade int")
     got = sample.repartition(1).mapInPandas(one, "w array<double>, t array<double>, levels array<int>").first()
-    return Model(np.array(got["w"]), np.array(got["t"]), list(got["levels"])) if got else Model(np.zeros(1 << BITS), np.zeros(0), [])
+    return Model(np.array(got["w"]), np.array(got["t"]), list(got["levels"])) if got else Model(np.zeros(SIZE), np.zeros(0), [])
 
 
 def score(docs: DataFrame, model: Model, select_grade: int | None = None, least_tail: float = LEAST_TAIL) -> DataFrame:
@@ -173,15 +220,15 @@ def score(docs: DataFrame, model: Model, select_grade: int | None = None, least_
 
     @F.pandas_udf("struct<expected_grade:double,tail:double>")
     def grades(texts: pd.Series) -> pd.DataFrame:
-        shapes: dict[str, str] = {}
-        rows = [_judge(model, features(t, shapes), select_grade) for t in texts]
+        features = Hasher()
+        rows = [_judge(model, features(t), select_grade) for t in texts]
         return pd.DataFrame(rows, columns=["expected_grade", "tail"])
 
     s = id_text(docs).withColumn("s", grades("text"))
     return s.select("doc_id", "s.expected_grade", "s.tail", (F.col("s.tail") >= least_tail).alias("kept"))
 
 
-def _judge(m: Model, x: dict[int, float], select_grade: int | None) -> tuple[float, float]:
+def _judge(m: Model, x: tuple[np.ndarray, np.ndarray], select_grade: int | None) -> tuple[float, float]:
     if len(m.levels) < 2:
         return float(m.levels[0] if m.levels else 0), 1.0
     tails = m.tails(x)
@@ -191,13 +238,15 @@ def _judge(m: Model, x: dict[int, float], select_grade: int | None) -> tuple[flo
     return m.levels[0] + sum(s * t for s, t in zip(steps, tails)), tails[below[-1]] if below and below[-1] < len(tails) else 1.0 if not below else 0.0
 
 
-def keep_good(docs: DataFrame, ratings: DataFrame, grade: str = "quality", least_tail: float = LEAST_TAIL, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns."""
+def keep_good(
+    docs: DataFrame, ratings: DataFrame, grade: str = "quality", select_grade: int | None = None, least_tail: float = LEAST_TAIL, max_rows: int = MAX_ROWS
+) -> DataFrame:
+    """The rows of docs that the classifier keeps, with all their columns, whatever those are called."""
     model = train(docs, ratings, grade, max_rows)
 
     @F.pandas_udf("double")
     def tail(texts: pd.Series) -> pd.Series:
-        shapes: dict[str, str] = {}
-        return pd.Series([_judge(model, features(t, shapes), None)[1] for t in texts], dtype=float)
+        features = Hasher()
+        return pd.Series([_judge(model, features(t), select_grade)[1] for t in texts], dtype=float)
 
     return docs.where(tail(docs["text"]) >= least_tail)

@@ -63,8 +63,8 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    docs, ratings = table(spark, sf_dir, "documents"), quality.graded(table(spark, sf_dir, "labels"))
+    return quality.score(docs, quality.train(docs, ratings, "grade"), select_grade=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
