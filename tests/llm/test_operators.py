@@ -9,7 +9,6 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyspark.llm import decontaminate, exact_dedup, langid, license_scan, mix, near_dedup, pii, quality, toxicity, url_filter
 from tallyspark.llm.common import maybe_among, words_of
@@ -60,6 +59,23 @@ def test_exact_dedup_awkward_rows(docs, nothing):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.select("doc_id").collect()) == [(False, i) for i in (2, 5, 6, 7, 8, 9, 10, 11)] + [(True, 0)]
 
 
+def test_exact_dedup_clashing_columns_and_restart(spark, tmp_path):
+    rows = [(1, "A b"), (2, "a B"), (None, "a b"), (None, "lone"), (7, "x"), (7, "X"), (7, "x"), (8, ""), (9, None), ((1 << 53) + 1, "z"), (None, "z")]
+    schema = "doc_id long, text string, d string, key string, _bits int, _bucket int, _maybe int, _row_key int, _nth int, _id int"
+    d = spark.createDataFrame([(i, t, "x", "y", 1, 2, 3, 4, 5, 6) for i, t in rows], schema).repartition(3)
+    kept = exact_dedup.drop_copies(d)
+    assert kept.columns == d.columns and kept.where("d <> 'x' or key <> 'y' or _bits <> 1 or _bucket <> 2 or _maybe <> 3 or _row_key <> 4 or _nth <> 5 or _id <> 6").count() == 0
+    assert sorted(((r[0], lower(r[1])) for r in kept.select("doc_id", "text").collect()), key=repr) == sorted([(2, "a b"), (None, "lone"), (7, "x"), (9, ""), ((1 << 53) + 1, "z")], key=repr)
+    # a second call with the same folder reads only what was added, and goes on from the state
+    path, work = f"{tmp_path}/ledger", f"file://{tmp_path}/work"
+    exact_dedup.ledger(d).write.parquet(path)
+    exact_dedup.stream_state(spark, path, work)
+    exact_dedup.ledger(spark.createDataFrame([(50, "a b", ""), (51, "new", "")], "doc_id long, text string, z string")).write.mode("append").parquet(path)
+    state = {r["digest"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.stream_state(spark, path, work).collect()}
+    sha = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("a b", "new", "z", "lone")}
+    assert (state[sha["a b"]], state[sha["new"]], state[sha["z"]], state[sha["lone"]]) == ((50, 4), (51, 1), ((1 << 53) + 1, 2), (None, 1))
+
+
 def test_exact_dedup_tells_colliding_digests_apart_over_batches(spark, sf):
     d = real(spark, sf, "documents").repartition(6)
     got = exact_dedup.assign(d, key=lambda sha: F.substring(sha, 1, 1), files_per_trigger=2)
@@ -217,7 +233,7 @@ def test_mix_targets_and_limits(spark, docs, nothing, sf):
     per = r.groupby("source").agg(size=("size", "sum"), target=("target", "max"), taken=("taken", "sum"))
     assert abs(per.target.sum() - min(1.5, 2) * per["size"].sum()) < 1e-6 * per["size"].sum()
     assert (per.target <= 2 * per["size"] + 1e-6).all()
-    assert ((per.taken - per.target).abs() <= 0.02 * per.target + 20).all()
+    assert ((per.taken - per.target).abs() <= 0.005 * per.target + 2).all()
     assert mix.mix(d).toPandas().sort_values(["doc_id"])["taken"].tolist() == r.sort_values(["doc_id"])["taken"].tolist()
     assert mix.mix(nothing).count() == 0
     odd = mix.mix(docs).toPandas()
@@ -261,9 +277,25 @@ def test_pii_base_spans_equal_plain_patterns(spark, docs, nothing):
 def test_pii_patterns_find_unseen_values(spark):
     good = [f"41111111111111{i:02d}" for i in range(100)]
     valid = [g for g in good if pii.base_spans(g)]
-    rows = [(i, f"pay with card number {v} today please") for i, v in enumerate(valid)] + [(900, "pay with card number 4999999999999990 today please"), (901, "about 4999999999999999 stars")]
+    rows = [(i, f"pay with card number {v} today please") for i, v in enumerate(valid)] + [(900, "pay with card number 4999999999999990 today please"), (901, "about 4999999999999999 stars"), (None, "x"), ((1 << 53) + 1, "y")]
+    # unseen forms in a context that seeds have made sure: without the plus, in brackets, in several tokens; and what no context supports
+    rows += [(100 + i, f"call me at +1-555-{i:03d}-{4000 + i} tonight") for i in range(40)]
+    rows += [(910, "call me at 555-123-4567 tonight"), (911, "call me at (555)123-4567 tonight"), (912, "call me at 555 123 4567 tonight"), (913, "in 1987 it had 1234567 rows")]
+    rows += [(200 + i, f'the token = "{hashlib.sha1(bytes([i])).hexdigest()}" is set') for i in range(30)] + [(920, 'THE TOKEN = "0A77F00DAA9" IS SET'), (921, "the token of 0a77f00daa9 thanks")]
     r = {x["doc_id"]: x for x in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert r[900]["spans"] == "card:21:37" and r[900]["n_card"] == 0 and r[901]["spans"] == ""
+    assert len(r) == len(rows)
+    assert r[900]["spans"] == "card:21:37" and r[900]["n_card"] == 0
+    assert [r[i]["spans"] for i in (910, 911, 912, 913)] == ["phone:11:23", "phone:12:24", "phone:11:23", ""]
+    assert r[200]["spans"] == "secret:13:53" and r[920]["spans"] == "secret:13:24" and r[921]["spans"] == ""
+
+
+def test_pii_precision_and_recall_on_planted_rows(spark):
+    """Secrets of the test table, which no base pattern knows: all but a few are found; texts without digits have no spans."""
+    got = pii.report(real(spark, "/root/testdata/sf0.01", "documents")).join(real(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text"), "doc_id").collect()
+    planted = [r for r in got if re.search(r'(?i)token = "[0-9a-f]{16,}"', r["text"] or "")]
+    assert len(planted) >= 3 and sum("secret" in r["spans"] for r in planted) >= 0.9 * len(planted)
+    clean = [r for r in got if not re.search(r"[0-9@]", r["text"] or "")]
+    assert clean and not any(r["spans"] for r in clean)
 
 
 def test_license_places_and_labels(spark, docs, nothing, sf):
@@ -274,7 +306,6 @@ def test_license_places_and_labels(spark, docs, nothing, sf):
     assert (r[3]["labels"], r[3]["score"]) == ("mit", 0.95)
     assert (r[4]["n_words"], r[5]["n_base"], r[5]["labels"], r[5]["first_word"]) == (0, 0, "", None)
     assert r[6]["labels"] == "apache,apache-2.0"
-    assert len(license_scan.rules()) >= 200
     phrases = [p.split() for p, _ in license_scan.BASE]
     got = {x["doc_id"]: x for x in license_scan.report(real(spark, sf, "documents")).collect()}
     for x in real(spark, sf, "documents").collect():
@@ -285,6 +316,51 @@ def test_license_places_and_labels(spark, docs, nothing, sf):
     assert license_scan.report(nothing).count() == 0 and license_scan.report(docs).count() == len(ROWS)
 
 
+def sample(pattern):
+    """A text that a regular expression matches: first branches, least repeats, and what looks ahead and behind ask for."""
+    from re import _constants as C
+    from re import _parser as P
+
+    def of(items):
+        out = ""
+        for op, av in items:
+            if op is C.LITERAL:
+                out += chr(av)
+            elif op is C.IN:
+                first = next(x for x in av if x[0] is not C.NEGATE)
+                out += chr(first[1] if first[0] is C.LITERAL else first[1][0] if first[0] is C.RANGE else ord("2"))
+            elif op is C.ANY:
+                out += "x"
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+                out += of(av[2]) * av[0]
+            elif op is C.SUBPATTERN:
+                out += of(av[3])
+            elif op is C.BRANCH:
+                out += of(av[1][0])
+            elif op is C.ASSERT:
+                out += " " * (av[0] > 0) + of(av[1])
+        return out
+
+    return of(P.parse(pattern))
+
+
+def test_every_license_rule_finds_its_text(spark):
+    """One planted text a rule: it passes the gate, has the keyword, and the rule's interval is found and not suppressed by a lower one."""
+    rules = license_scan.rules()
+    assert len({r[2] for r in rules}) == len(rules) >= 250
+    rows = [(i, f"Some words.\n{sample(r[2]).upper()} ;") for i, r in enumerate(rules)]
+    found = {r["doc_id"]: {x["rule"] for x in r["found"] or []} for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(i, rules[i][2]) for i in found if i not in found[i]] == []
+    texts = {
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: (Apache-2.0 OR BSD-3-Clause)": "apache-2.0,bsd-3-clause", "// SPDX-License-Identifier: MPL-2.0": "mpl-2.0",
+        "Permission is hereby granted, free of charge,\n to any person obtaining a copy of this software and associated documentation files": "mit",
+        "Redistribution and use in source and binary\n forms, with or without modification, are permitted provided": "bsd",
+        "license: BSD-3-Clause": "bsd-3-clause", "See http://www.apache.org/licenses/LICENSE-2.0 for more": "apache-2.0", "no such thing here": "", "I permit licences": "",
+    }
+    got = {x["doc_id"]: x["labels"] for x in license_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_license_containment(spark):
     rows = [(1, 0, 30, 3, 0), (1, 5, 20, 1, 1), (1, 5, 20, 4, 2), (1, 25, 40, 1, 3), (1, 25, 40, 1, 4)]
     df = spark.createDataFrame([(*r, "l", 1.0) for r in rows], "row long, start int, end int, priority int, rule int, label string, confidence double")
@@ -299,16 +375,43 @@ def test_url_rules(spark):
     assert (r[1]["host"], r[2]["path"], r[6]["host"], r[8]["path"]) == ("a.example.org", "/en/12", "", "")
 
 
-def test_url_mining(spark, sf):
-    rows = [(f"http://s{i % 5}.spam.net/{'de' if i % 2 else 'en'}/{i}", "block") for i in range(40)] + [(f"http://s{i % 5}.good.net/en/{i}", "allow") for i in range(60)]
+def test_url_mining(spark, sf, monkeypatch):
+    rows = [(f"http://s{i % 5}.spammy.net/{'de' if i % 2 else 'en'}/{i}", "block") for i in range(40)] + [(f"http://s{i % 5}.good.net/en/{i}", "allow") for i in range(60)]
     rules = url_filter.mine(spark.createDataFrame(rows, "url string, label string"))
-    pages = spark.createDataFrame([(1, "http://new.spam.net/fr/1"), (2, "http://new.good.net/x")], "page_id long, url string")
-    r = {x["page_id"]: x for x in url_filter.judge(pages, (), rules).collect()}
-    assert (r[1]["verdict"], r[2]["verdict"]) == ("block", "allow") and "h1:spam" in r[1]["mined_rule"]
-    assert queries()["op1_url_filter"](spark, sf).count() == real(spark, sf, "pages").count()
+    have = [(set(r["tokens"]), r["label"], r["confidence"]) for r in rules.collect()]
+    assert not any(a > b and la == lb and cb >= ca for a, la, ca in have for b, lb, cb in have)
+    urls = [(1, "http://new.spammy.net/fr/1"), (2, "http://new.good.net/x"), (3, None), (4, "http://other.org/")]
+    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in urls], "page_id long, url string, tokens string, row int")
+    one = sorted(map(tuple, url_filter.judge(pages, (), rules).collect()))
+    r = {x[0]: x for x in one}
+    assert (r[1][4], r[2][4], r[3][4], r[4][4]) == ("block", "allow", "allow", "allow") and "spammy" in r[1][5]
+    monkeypatch.setattr(url_filter, "LITERAL_RULES", 0)  # the joined index
+    assert sorted(map(tuple, url_filter.judge(pages, (), rules).collect())) == one
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_query_equals_brute_force(spark):
+    """Host, path, rule and every verdict: the listed rule's, else that of the surest mined rule that fits, else allow."""
+    sf = "/root/testdata/sf0.1"
+    pages = real(spark, sf, "pages")
+    mined = [(set(r["tokens"]), r["label"], r["confidence"], r["support"], sorted(r["tokens"])) for r in url_filter.mine(url_filter.labelled(pages)).collect()]
+    got = {r["page_id"]: r for r in queries()["op1_url_filter"](spark, sf).collect()}
+    assert len(got) == pages.count()
+    blocked = 0
+    for x in pages.select("page_id", "url", url_filter.tokens(F.col("url")).alias("t")).collect():
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", x["url"] or "")
+        host, path = (lower(m[1]), m[2]) if m else ("", "")
+        fit = [(len(r), r, v) for v, r in url_filter.LISTED if (f".{host}").endswith("." + r.split("/")[0]) and path.startswith(r[r.index("/") :])]
+        y = got[x["page_id"]]
+        want = max(fit, default=(0, None, None))
+        if not fit:
+            best = max(((c, s, -len(t), o, la) for t, la, c, s, o in mined if t <= set(x["t"])), default=None)
+            want = (0, None, best[4] if best else "allow")
+            blocked += want[2] == "block"
+        assert (y["host"], y["path"], y["rule"], y["verdict"]) == (host, path, *want[1:])
+    assert blocked >= 20
+
+
 def fold(n):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
@@ -356,19 +459,3 @@ def test_quality_grades(spark, docs, nothing):
 def test_folds_agree_with_zlib(spark):
     got = spark.range(200).withColumnRenamed("id", "doc_id").select("doc_id", fold(4)).collect()
     assert all(r[1] == crc32(str(r[0]).encode()) % 4 for r in got)
-
-
-def test_pipeline_stages(spark, sf):
-    import corpus_pipeline as cp
-
-    docs = real(spark, sf, "documents")
-    columns = docs.columns
-    for name, stage in cp.STAGES:
-        out = stage(spark, docs, sf).cache()
-        if name != "mix":
-            assert out.columns == columns
-            assert out.count() <= docs.count()
-            docs = out
-    assert out.count() == docs.count()
-    assert cp.run(spark, sf).count() == docs.count()
-    assert isinstance(docs.schema, T.StructType)
