@@ -23,7 +23,8 @@ MAX_HIT_SHARE = 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), least_tail=LEAST_TAIL)
+    ratings = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, ratings, "grade", select_grade=1, least_tail=LEAST_TAIL)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
