@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,14 +65,17 @@ def reconstructed(reasoning: Column, text: Column, fmt: Column) -> Column:
     return F.when(F.coalesce(reasoning, F.lit("")) == "", text).otherwise(out)
 
 
-def appends_eos(fmt: Column, append_eos: Column, finish_reason: Column) -> Column:
-    """Whether an end token is billed: only after a natural stop, by the cell's override or else the format's rule."""
+def appends_eos(fmt: Column, append_eos: Column, finish_reason: Column, has_eos: Column | bool = True) -> Column:
+    """Whether an end token is billed: only after a natural stop and if the tokenizer has one, by the cell's override or else the format's rule."""
     rule = F.coalesce(append_eos, ~fmt.isin(*REASONING))
-    return F.coalesce((finish_reason == "stop") & rule, F.lit(False))
+    return F.coalesce((finish_reason == "stop") & rule & has_eos, F.lit(False))
 
 
-def canonical_count(reasoning: Column, text: Column, fmt: Column, append_eos: Column, finish_reason: Column) -> Column:
-    return token_count(reconstructed(reasoning, text, fmt)) + appends_eos(fmt, append_eos, finish_reason).cast("long")
+def canonical_count(
+    reasoning: Column, text: Column, fmt: Column, append_eos: Column, finish_reason: Column, has_eos: Column | bool = True, count: Callable[[Column], Column] = token_count
+) -> Column:
+    """Tokens that a faithful provider bills; `count` counts those of a text (functions.bpe has real tokenizers)."""
+    return count(reconstructed(reasoning, text, fmt)) + appends_eos(fmt, append_eos, finish_reason, has_eos).cast("long")
 
 
 def entry_bytes(entry: Column) -> Column:
@@ -92,11 +98,35 @@ def calibration_key(model: Column, language: Column) -> Column:
     return F.concat_ws("|", model, language)
 
 
+def shell_regex(pattern: str) -> str:
+    """An anchored expression for a shell pattern with * ? and [...]; what doesn't make a class stands for itself."""
+    out, i = "", 0
+    while i < len(pattern):
+        c, i = pattern[i], i + 1
+        k = i + (pattern[i : i + 1] == "!")
+        end = pattern.find("]", k + 1) if c == "[" else -1  # the first character of a class may be ]
+        if end > 0:
+            body, items = pattern[k:end], ""
+            while body:
+                n = 3 if body[1:2] == "-" and len(body) > 2 else 1
+                low, high, body = body[0], body[n - 1], body[n:]
+                items += f"\\x{{{ord(low):x}}}-\\x{{{ord(high):x}}}" if low <= high else ""
+            inverse = k > i
+            out += f"[{'^' * inverse}{items}]" if items else "." if inverse else "(?!)"
+            i = end + 1
+        else:
+            out += ".*" if c == "*" else "." if c == "?" else f"\\x{{{ord(c):x}}}"
+    return f"^(?s:{out})\\z"
+
+
 def glob_regex(pattern: Column) -> Column:
-    """A case-insensitive, anchored regular expression for a shell pattern with * ? and [...]."""
-    escaped = F.regexp_replace(F.lower(pattern), r"([.\\+^$(){}|])", r"\\$1")
-    out = F.regexp_replace(F.regexp_replace(escaped, r"\*", ".*"), r"\?", ".")
-    return F.concat(F.lit("^(?s:"), F.regexp_replace(out, r"\[!", "[^"), F.lit(")$"))
+    """A case-insensitive expression for each of a few shell patterns, to be held against lower-cased names."""
+
+    @F.pandas_udf("string")
+    def translate(patterns: pd.Series) -> pd.Series:
+        return patterns.map(shell_regex, na_action="ignore")
+
+    return translate(F.lower(pattern))
 
 
 def literal_length(pattern: Column) -> Column:

@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 from .calibration import decision
 
 
-def projected(captured: DataFrame) -> DataFrame:
-    """Flat fields of raw requests and responses: model, cap, bill, number of choices, hidden reasoning, sampling, system hash."""
+def projected(captured: DataFrame, *more: str | Column) -> DataFrame:
+    """Flat fields of raw requests and responses: model, cap, bill, number of choices, hidden reasoning, sampling, system hash; and `more`."""
     from tallyspark.functions.tokens import system_hash
 
     q, a = F.col("request"), F.col("response")
     cap = F.coalesce(F.nullif(q["max_completion_tokens"], F.lit(0)), q["max_tokens"])
     model = F.coalesce(F.nullif(q["model"], F.lit("")), F.nullif(a["model"], F.lit("")), F.lit("?"))
     return captured.select(
-        "host", "time", model.alias("model"), a["id"].alias("response_id"), a["usage"]["completion_tokens"].alias("billed"), cap.alias("max_tokens"),
+        *more, "host", "time", model.alias("model"), a["id"].alias("response_id"), a["usage"]["completion_tokens"].alias("billed"), cap.alias("max_tokens"),
         F.greatest(F.size(F.coalesce(a["choices"], F.array())), F.lit(1)).alias("n"),
         F.coalesce(a["usage"]["completion_tokens_details"]["reasoning_tokens"], F.lit(0).cast("long")).alias("reasoning_tokens"),
         F.coalesce(q["temperature"], F.lit(1.0)).alias("temperature"), F.coalesce(q["top_p"], F.lit(1.0)).alias("top_p"),
@@ -43,17 +43,24 @@ def tested(c: Column) -> Column:
     return c["reported"].isNotNull() & ladder(c).isNull()
 
 
+def verdict(c: Column, noncanonical: Column, llr: Column, spans: Column, tau: Column, margin: Column, unresolved: Column | None = None) -> Column:
+    """The ladder's verdict, else the test's. A canonical report scores 0 without asking a scorer; without a threshold nothing
+    is resolved, so that comes first."""
+    by_test = decision(F.when(noncanonical, llr).otherwise(F.lit(0.0)), tau, F.when(noncanonical, spans).otherwise(F.lit(0)), margin)
+    if unresolved is not None:
+        by_test = F.when(tau.isNotNull() & unresolved, F.lit("unverifiable")).otherwise(by_test)
+    return F.when(tested(c), by_test).otherwise(ladder(c))
+
+
 def judged(captured: DataFrame, tau: Column | None = None, margin: Column | None = None) -> DataFrame:
-    """Adds a verdict to every choice. A canonical report scores 0 without asking a scorer."""
+    """Adds a verdict to every choice, by one threshold and margin (see exchange.calibrated for those of each key)."""
     tau = F.lit(None).cast("double") if tau is None else tau
     margin = F.lit(0.0) if margin is None else margin
 
-    def verdict(c: Column) -> Column:
-        llr = F.when(c["noncanonical"], c["llr"]).otherwise(F.lit(0.0))
-        spans = F.when(c["noncanonical"], c["spans"]).otherwise(F.lit(0))
-        return F.when(tested(c), decision(llr, tau, spans, margin)).otherwise(ladder(c))
+    def judge(c: Column) -> Column:
+        return c.withField("verdict", verdict(c, c["noncanonical"], c["llr"], c["spans"], tau, margin))
 
-    return captured.withColumn("choices", F.transform("choices", lambda c: c.withField("verdict", verdict(c))))
+    return captured.withColumn("choices", F.transform("choices", judge))
 
 
 def every(items: Column, test) -> Column:  # noqa: ANN001

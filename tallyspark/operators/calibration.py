@@ -41,7 +41,7 @@ def gap_rule(gaps: DataFrame) -> DataFrame:
 def applicability(rows: DataFrame, meta: DataFrame) -> DataFrame:
     """Adds reason: why a calibration's settings don't apply to a row, null if they do or none are recorded; and warnings."""
     m = meta.select("key", *[F.col(c).alias(f"_m_{c}") for c in ("tokenizer", "scorer", "temperature", "top_p", "system")], F.lit(True).alias("_known"))
-    j = rows.join(F.broadcast(m), "key", "left")  # settings: one row per key by construction (see conflicts)
+    j = rows.join(m, "key", "left")  # settings: one row per key by construction (see conflicts)
     reason = (
         F.when(F.col("_known").isNull(), F.lit(None))
         .when(~F.col("tokenizer").eqNullSafe(F.col("_m_tokenizer")), F.lit("tokenizer"))

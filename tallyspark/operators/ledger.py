@@ -6,7 +6,7 @@ Every operator is one grouped aggregation, so rows are combined before the shuff
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import stats
@@ -14,6 +14,8 @@ from tallyspark.functions.tokens import identity_overhead
 
 CELL = ["provider", "model"]
 ALPHA, LEAST_ROWS = 0.05, 30
+#: Deltas that one array of a histogram holds.
+STEP = 10_000
 
 
 def delta() -> Column:
@@ -41,23 +43,22 @@ def cell_report(ledger: DataFrame, keys: list[str] = CELL) -> DataFrame:
         F.min(d).alias("min_delta"), F.max(d).alias("max_delta"))
 
 
-def cell_mde(ledger: DataFrame, floor: float = 0.01) -> DataFrame:
-    """Minimum detectable effect per cell over informative rows, in tokens and as a share of the mean bill, and whether the mean is above."""
+def cell_mde(ledger: DataFrame, floor: float = 0.01, least_rows: int = 10) -> DataFrame:
+    """Minimum detectable effect per cell of least_rows informative rows or more, in tokens and as a share of the mean bill, and whether the mean is above."""
     d = delta()
     a = informative(ledger).groupBy(*CELL).agg(
         F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("sd"), F.avg("billed").alias("bill"))
     m = stats.mde(F.col("sd"), F.col("n"), floor)
-    return a.select(*CELL, "n", r6(F.col("mean")).alias("mean_delta"), r6(m).alias("mde_tokens"), r6(100 * m / F.nullif(F.col("bill"), F.lit(0.0))).alias("mde_percent"), (F.col("mean") > m).alias("above_mde"))
+    return a.where(F.col("n") >= least_rows).select(*CELL, "n", r6(F.col("mean")).alias("mean_delta"), r6(m).alias("mde_tokens"), r6(100 * m / F.nullif(F.col("bill"), F.lit(0.0))).alias("mde_percent"), (F.col("mean") > m).alias("above_mde"))
 
 
 def simultaneous_bounds(ledger: DataFrame, alpha: float = ALPHA, least_rows: int = LEAST_ROWS) -> DataFrame:
     """One-sided upper bound per cell that holds for all cells at once; cells count for the correction even when skipped."""
     d = delta()
-    cells = informative(ledger).groupBy("block", *CELL).agg(
+    c = informative(ledger).groupBy("block", *CELL).agg(
         F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("sd"), F.avg("billed").alias("bill"))
-    m = cells.agg(F.count(F.lit(1)).alias("cells"))
+    c = c.withColumn("cells", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # a row for each cell
     z = stats.norm_ppf(1 - F.lit(alpha) / F.col("cells"))
-    c = cells.crossJoin(F.broadcast(m))  # one row
     bound = F.col("mean") + z * F.col("sd") / F.sqrt(F.col("n").cast("double"))
     return c.where(F.col("n") >= least_rows).select(
         "block", *CELL, "n", "cells", r6(F.col("mean")).alias("mean_delta"), r6(bound).alias("upper_bound"),
@@ -71,8 +72,11 @@ def worst_bound(bounds: DataFrame) -> DataFrame:
 def delta_histogram(ledger: DataFrame) -> DataFrame:
     """Count of every whole delta between a cell's smallest and largest, zeros included."""
     n = ledger.where(delta().isNotNull()).groupBy(*CELL, delta().alias("delta")).agg(F.count(F.lit(1)).alias("n"))
-    span = n.groupBy(*CELL).agg(F.explode(F.sequence(F.min("delta"), F.max("delta"))).alias("delta"))
-    return span.join(n, [*CELL, "delta"], "left").select(*CELL, "delta", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    # from each delta up to the next one, in steps, so that one far outlier makes no long array
+    last = F.coalesce(F.lead("delta").over(Window.partitionBy(*CELL).orderBy("delta")) - 1, F.col("delta"))
+    n = n.withColumn("last", last).withColumn("from", F.explode(F.sequence("delta", "last", F.lit(STEP).cast("long"))))
+    x = n.withColumn("x", F.explode(F.sequence("from", F.least(F.col("from") + STEP - 1, F.col("last")))))
+    return x.select(*CELL, F.col("x").alias("delta"), F.when(F.col("x") == F.col("delta"), F.col("n")).otherwise(0).cast("long").alias("n"))
 
 
 def length_scaling(ledger: DataFrame, width: int = 250) -> DataFrame:
@@ -114,10 +118,11 @@ def duplicate_prompts(ledger: DataFrame, expected: int = 200) -> DataFrame:
 
 
 def prompt_sets(ledger: DataFrame) -> DataFrame:
-    """How many cells share each set of prompts: an order-free fingerprint over distinct prompts, so no set is gathered."""
+    """How many cells share each set of prompts: an order-free fingerprint of 192 bits over distinct prompts, so no set is gathered."""
     distinct = ledger.select(*CELL, "prompt").distinct()
-    h = F.conv(F.substring(F.sha2(F.col("prompt"), 256), 1, 12), 16, 10).cast("long")
-    per = distinct.groupBy(*CELL).agg(F.count("prompt").alias("prompts"), F.sum(h).alias("fingerprint"))
+    parts = [F.conv(F.substring(F.sha2(F.col("prompt"), 256), at, 12), 16, 10).cast("long") for at in (1, 13, 25, 37)]
+    per = distinct.groupBy(*CELL).agg(F.count("prompt").alias("prompts"), *[F.sum(p).cast("string").alias(f"f{k}") for k, p in enumerate(parts)])
+    per = per.withColumn("fingerprint", F.concat_ws("-", "f0", "f1", "f2", "f3"))
     return per.groupBy("prompts", "fingerprint").agg(F.count(F.lit(1)).alias("cells"))
 
 
@@ -136,7 +141,7 @@ def cap_position(ledger: DataFrame) -> DataFrame:
 def exclusion_reasons(ledger: DataFrame, config: DataFrame) -> DataFrame:
     """Why rows can't be recounted, first reason only; cells that the configuration dropped disappear silently."""
     c = config.where("not stale").select("provider", "model", F.lit(True).alias("_known"))
-    known = ledger.join(config.where("stale").select(*CELL), CELL, "left_anti").join(F.broadcast(c), CELL, "left")
+    known = ledger.join(config.where("stale").select(*CELL), CELL, "left_anti").join(c, CELL, "left")
     reason = (
         F.when(F.col("_known").isNull(), "unknown_cell").when(F.col("finish_reason").isNull(), "no_finish_reason")
         .when(F.col("reasoning_text").isNull(), "no_reasoning_text").when(F.col("billed").isNull(), "no_bill").otherwise("kept"))
@@ -164,6 +169,12 @@ def two_channel(ledger: DataFrame) -> DataFrame:
         F.count_if("adds").alias("reconciled"), F.sum("billed").alias("billed"))
 
 
+def hidden_share(ledger: DataFrame) -> DataFrame:
+    """Per model the share of billed tokens that the thought channel holds."""
+    both = F.sum("billed_thought") + F.sum("billed_answer")
+    return ledger.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("billed_thought").alias("hidden"), r6(F.sum("billed_thought") / F.nullif(both, F.lit(0))).alias("share"))
+
+
 def split_parts(parts: Column) -> Column:
     """struct(thought, answer): texts of the parts marked as thought, and of the others."""
     def joined(flag: bool) -> Column:
@@ -202,6 +213,19 @@ def completeness(direct: DataFrame) -> DataFrame:
         F.count_if(F.col("stream_complete") & (F.col("structural_chars") < 0)).alias("leaks"), F.sum(F.when(F.col("stream_complete"), F.col("entries"))).alias("generated"))
 
 
+def recompute_errors(direct: DataFrame) -> DataFrame:
+    """Rows per cell whose stored figures (stored_f, stored_complete) are not what their texts and counts give."""
+    o = observed(direct)
+    wrong = ~F.col("stored_f").eqNullSafe(F.col("f")) | ~F.col("stored_complete").eqNullSafe(F.col("stream_complete"))
+    return o.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("errors"))
+
+
+def pinned_summary(ledger: DataFrame) -> DataFrame:
+    """Delta of requests that one backend answered: rows, mean, least and most."""
+    d = delta()
+    return ledger.where(d.isNotNull()).groupBy("backend").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(d)).alias("mean_delta"), F.min(d).alias("min_delta"), F.max(d).alias("max_delta"))
+
+
 def informative_share(ledger: DataFrame) -> DataFrame:
     b, c = F.col("billed"), F.col("max_tokens")
     return ledger.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.count_if(b != c).alias("informative"), F.count_if(b < c).alias("informative_strict"), r6(share(b != c)).alias("share"))
@@ -225,12 +249,11 @@ def headroom(texts: DataFrame, low: int = 40, high: int = 800) -> DataFrame:
 
 
 def integrity(ledger: DataFrame, expected: int = 200) -> DataFrame:
-    """(check, cell, problem) rows from the per-cell checks, one union of grouped results."""
-    cell = F.concat_ws("/", *CELL)
-    d = duplicate_prompts(ledger, expected)
-    out = d.where("duplicates > 0").select(F.lit("duplicate_prompts").alias("check"), cell.alias("cell"), F.col("duplicates").cast("string").alias("problem"))
-    out = out.unionByName(d.where("not complete").select(F.lit("row_count").alias("check"), cell.alias("cell"), F.col("n").cast("string").alias("problem")))
-    return out.unionByName(d.where("billed_nulls > 0").select(F.lit("billed_null").alias("check"), cell.alias("cell"), F.col("billed_nulls").cast("string").alias("problem")))
+    """(check, cell, problem) rows from the per-cell checks, of which the ledger is grouped once."""
+    d = duplicate_prompts(ledger, expected).withColumn("cell", F.concat_ws("/", *CELL))
+    checks = (("duplicate_prompts", F.col("duplicates") > 0, "duplicates"), ("row_count", ~F.col("complete"), "n"), ("billed_null", F.col("billed_nulls") > 0, "billed_nulls"))
+    found = [F.when(bad, F.struct(F.lit(name).alias("check"), F.col(of).cast("string").alias("problem"))) for name, bad, of in checks]
+    return d.select("cell", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull()))).select("check", "cell", "problem")
 
 
 def budget(config: DataFrame, done: DataFrame, prompts: int, limit: int = 2_000) -> DataFrame:

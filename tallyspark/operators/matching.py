@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.tokens import glob_regex, literal_length
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df with a broadcast hint if it has at most that many rows; otherwise Spark decides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def resolve_patterns(names: DataFrame, patterns: DataFrame, name: str = "model") -> DataFrame:
     """(name, pattern, value): an exact pattern wins, then most literal characters, then the first in order; null if none fits.
 
@@ -16,7 +21,7 @@ def resolve_patterns(names: DataFrame, patterns: DataFrame, name: str = "model")
     distinct = names.select(name).distinct()
     p = patterns.select("pattern", "value", "ord", glob_regex(F.col("pattern")).alias("_re"), literal_length(F.col("pattern")).alias("_literal"))
     hit = F.rlike(F.lower(F.col(name)), F.col("_re"))
-    fits = distinct.join(F.broadcast(p), hit)  # a hand-written table
+    fits = distinct.join(small(p), hit)
     exact = F.lower(F.col(name)) == F.lower("pattern")
     order = Window.partitionBy(name).orderBy(F.desc(exact), F.desc("_literal"), "ord")
     best = fits.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(name, "pattern", "value")
@@ -24,10 +29,21 @@ def resolve_patterns(names: DataFrame, patterns: DataFrame, name: str = "model")
 
 
 def overlay(names: DataFrame, resolved: DataFrame, overrides: DataFrame, defaults: dict[str, object], name: str = "model") -> DataFrame:
-    """Policy per name: each column from the override of its resolved pattern, else the default."""
-    o = resolved.join(F.broadcast(overrides.withColumnRenamed("pattern", "_p")), F.col("pattern") == F.col("_p"), "left")
+    """Policy per name: each column from the override of its resolved pattern, else the default.
+
+    overrides may have a `given` array of the columns that a pattern sets; those count even where they are null.
+    """
+    o = resolved.join(overrides.withColumnRenamed("pattern", "_p"), F.col("pattern") == F.col("_p"), "left")
     out = names.select(name).distinct().join(o.drop("_p", "value"), name, "left")
-    return out.select(name, *[F.coalesce(F.col(k), F.lit(v)).alias(k) if k in overrides.columns else F.lit(v).alias(k) for k, v in defaults.items()])
+
+    def policy(k: str, v: object) -> Column:
+        if k not in overrides.columns:
+            return F.lit(v).alias(k)
+        own = F.col(k).isNotNull()
+        own = own | F.coalesce(F.array_contains("given", k), F.lit(False)) if "given" in overrides.columns else own
+        return F.when(own, F.col(k)).otherwise(F.lit(v)).alias(k)
+
+    return out.select(name, *[policy(k, v) for k, v in defaults.items()])
 
 
 def first_config(config: DataFrame) -> DataFrame:
@@ -37,7 +53,7 @@ def first_config(config: DataFrame) -> DataFrame:
 
 
 def lookup_cells(ledger: DataFrame, config: DataFrame) -> DataFrame:
-    return ledger.join(F.broadcast(first_config(config)), ["provider", "model"], "left")
+    return ledger.join(first_config(config), ["provider", "model"], "left")
 
 
 def config_ambiguity(config: DataFrame, fields: list[str]) -> DataFrame:
@@ -53,7 +69,7 @@ def missing(wanted: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame
 
 def todo(prompts: DataFrame, cells: DataFrame, done: DataFrame) -> DataFrame:
     """Every (cell, prompt) that is not recorded yet."""
-    every = prompts.select("prompt").distinct().crossJoin(F.broadcast(cells.select("provider", "model").distinct()))
+    every = prompts.select("prompt").distinct().crossJoin(small(cells.select("provider", "model").distinct()))
     return every.join(done.select("provider", "model", "prompt").distinct(), ["provider", "model", "prompt"], "left_anti")
 
 
@@ -68,6 +84,14 @@ def first_seen(prompts: DataFrame, low: int, high: int, n: int | None = None) ->
     return p if n is None else p.orderBy("position", "prompt").limit(n)
 
 
+def first_turns(conversations: DataFrame, language: str | None = None) -> DataFrame:
+    """(prompt, position) of conversations (conv_id, turn, role, text, language) whose first turn is the user's, in that language."""
+    first = conversations.groupBy("conv_id").agg(F.min_by(F.struct("role", "text", *([] if language is None else ["language"])), "turn").alias("m"))
+    first = first.where("m.role = 'user'")
+    first = first if language is None else first.where(F.col("m.language") == language)
+    return first.select(F.col("m.text").alias("prompt"), F.col("conv_id").alias("position"))
+
+
 def prompts_or_fallback(prompts: DataFrame, fallback: DataFrame, low: int, high: int, n: int) -> DataFrame:
     """The first n prompts, or the fallback's if there are fewer."""
     own = first_seen(prompts, low, high, n)

@@ -1,14 +1,18 @@
 """Sequential endpoint tests over outcomes (key, seq, rejected, extra, tokens, p0), in arrival order of seq.
 
 With p0 constant the evidence depends on the counts alone, so a running sum replaces the loop; a change of p0 starts a new
-epoch with fresh counts. A key's running window is sorted and spilled by Spark, not gathered.
+epoch with fresh counts. There are few endpoints and one may hold a third of all rows, so a key's range of seq is cut into
+parts of about PART_ROWS rows: counts run within a part, in a window by (key, part), and start from the sums of the parts
+before, of which there is one row each.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,19 +20,57 @@ from pyspark.sql import functions as F
 from tallyspark.functions import stats
 
 
+#: Rows of a key that are ordered in one task, about, where seq is spread evenly over its range.
+PART_ROWS = 1_000_000
+
+
+def parted(outcomes: DataFrame) -> DataFrame:
+    """Adds part: a number that grows with seq, per key."""
+    per = outcomes.groupBy("key").agg(F.min("seq").alias("_low"), F.max("seq").alias("_high"), F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("_parts"))
+    share = (F.col("seq") - F.col("_low")) / F.greatest((F.col("_high") - F.col("_low")).cast("double"), F.lit(1e-9))
+    part = F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
+    return outcomes.join(per, "key").withColumn("part", part).drop("_low", "_high", "_parts")
+
+
+def before(parts: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """(keys, part, _sums): what the parts before each hold together, from a row for each part."""
+    w = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(*keys, "part", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_{c}") for c in sums])
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds part and nth, the place in its key in order of seq, from 1."""
+    p = parted(rows)
+    own = F.row_number().over(Window.partitionBy("key", "part").orderBy("seq"))
+    n = before(p.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")), ["key"], ["n"])
+    return p.withColumn("_own", own).join(n, ["key", "part"]).withColumn("nth", F.col("_n") + F.col("_own")).drop("_n", "_own")
+
+
+def _epochs(outcomes: DataFrame) -> DataFrame:
+    p = parted(outcomes)
+    w = Window.partitionBy("key", "part").orderBy("seq")
+    p = p.withColumn("_changed", F.coalesce((F.col("p0") != F.lag("p0").over(w)).cast("int"), F.lit(0)))
+    ends = p.groupBy("key", "part").agg(F.min_by("p0", "seq").alias("first"), F.max_by("p0", "seq").alias("last"), F.sum("_changed").alias("inside"))
+    step = F.coalesce((F.col("first") != F.lag("last").over(Window.partitionBy("key").orderBy("part"))).cast("int"), F.lit(0))
+    ends = ends.withColumn("step", step).withColumn("changes", F.col("inside") + F.col("step"))
+    start = before(ends, ["key"], ["changes"]).join(ends.select("key", "part", "step"), ["key", "part"])
+    p = p.join(start, ["key", "part"]).withColumn("epoch", F.col("_changes") + F.col("step") + F.sum("_changed").over(w))
+    return p.drop("_changed", "_changes", "step")
+
+
 def epochs(outcomes: DataFrame) -> DataFrame:
     """Adds epoch: how often p0 changed before, per key."""
-    w = Window.partitionBy("key").orderBy("seq")
-    changed = F.coalesce((F.col("p0") != F.lag("p0").over(w)).cast("int"), F.lit(0))
-    return outcomes.withColumn("_changed", changed).withColumn("epoch", F.sum("_changed").over(w)).drop("_changed")
+    return _epochs(outcomes).drop("part")
 
 
 def evidence(outcomes: DataFrame) -> DataFrame:
     """Running counts and log evidence after each outcome."""
-    w = Window.partitionBy("key", "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = epochs(outcomes)
-    e = e.withColumn("n_tested", F.count(F.lit(1)).over(w)).withColumn("n_rejected", F.sum(F.col("rejected").cast("long")).over(w))
-    e = e.withColumn("sum_extra", F.sum("extra").over(w)).withColumn("sum_tokens", F.sum("tokens").over(w))
+    e = _epochs(outcomes).withColumn("_tested", F.lit(1).cast("long")).withColumn("_rejected", F.col("rejected").cast("long"))
+    sums = {"n_tested": "_tested", "n_rejected": "_rejected", "sum_extra": "extra", "sum_tokens": "tokens"}
+    parts = e.groupBy("key", "epoch", "part").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    w = Window.partitionBy("key", "part", "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = e.join(before(parts, ["key", "epoch"], list(sums)), ["key", "epoch", "part"])
+    e = e.withColumns({k: F.col(f"_{k}") + F.sum(c).over(w) for k, c in sums.items()}).drop("part", "_tested", "_rejected", *[f"_{k}" for k in sums])
     return e.withColumn("log_evidence", stats.log_evidence(F.col("n_tested"), F.col("n_rejected"), F.col("p0")))
 
 
@@ -47,8 +89,7 @@ def alert_level(level: Column, tolerance: float = 3.0) -> Column:
 
 def batches(gaps: DataFrame, size: int = 100) -> DataFrame:
     """Full batches of `size` outcomes per key in order of seq; the remainder waits."""
-    w = Window.partitionBy("key").orderBy("seq")
-    b = gaps.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    b = numbered(gaps).withColumn("batch", F.floor((F.col("nth") - 1) / size))
     sums = b.groupBy("key", "batch").agg(
         F.count(F.lit(1)).alias("n"), F.sum("gap").alias("gap"), F.sum("canonical").alias("canonical"), F.max_by("host", "seq").alias("host"),
         F.max("seq").alias("seq"))
@@ -63,7 +104,11 @@ def batch_excess(batches: DataFrame, rule: DataFrame) -> DataFrame:
 
 
 def permutation_p(batch: list[tuple[float, float]], reference: list[float], margin: float, permutations: int = 2000, seed: int = 0) -> float:
-    """One-sided permutation test that gaps less a share of canonical tokens exceed the reference on average."""
+    """One-sided permutation test that gaps less a share of canonical tokens exceed the reference on average.
+
+    Fixed, so that p-values agree for the same data: the seed, the generator, the order (batch, then reference), one shuffle
+    a permutation of what the last one left, and the tolerance.
+    """
     own = [g - margin * c for g, c in batch]
     every, n, m = own + list(map(float, reference)), len(own), len(reference)
     whole = sum(every)
@@ -77,41 +122,75 @@ def permutation_p(batch: list[tuple[float, float]], reference: list[float], marg
 
 
 def batch_pvalues(gaps: DataFrame, reference: DataFrame, size: int = 100, margin: float = 0.0005, permutations: int = 2000) -> DataFrame:
-    """(key, batch, p_value) of full batches. A batch has `size` rows and a reference is a calibration set, so both are bounded."""
-    w = Window.partitionBy("key").orderBy("seq")
-    b = gaps.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    """(key, batch, p_value) of full batches. A batch has `size` rows. The reference is a key's calibration set, held as a
+    count for each distinct gap (gaps are small whole numbers) and laid out in order of the gap where it is used."""
+    b = numbered(gaps).withColumn("batch", F.floor((F.col("nth") - 1) / size))
     per = b.groupBy("key", "batch").agg(F.array_sort(F.collect_list(F.struct("seq", "gap", "canonical"))).alias("rows")).where(F.size("rows") == size)
-    ref = reference.groupBy("key").agg(F.sort_array(F.collect_list("gap")).alias("reference"))
+    ref = reference.groupBy("key", "gap").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("gap", "n"))).alias("reference"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            p = [permutation_p([(r["gap"], r["canonical"]) for r in rows], list(r2), margin, permutations) for rows, r2 in zip(f["rows"], f["reference"])]
+            p = []
+            for rows, counts in zip(f["rows"], f["reference"]):
+                whole = [c["gap"] for c in counts for _ in range(c["n"])]
+                p.append(permutation_p([(r["gap"], r["canonical"]) for r in rows], whole, margin, permutations))
             yield pd.DataFrame({"key": f["key"], "batch": f["batch"], "p_value": p})
 
     return per.join(ref, "key").select("key", "batch", "rows", "reference").mapInPandas(run, "key string, batch long, p_value double")
 
 
+#: Chances of a Poisson variable of mean 1 to be at most 0, 1, 2, ...
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+#: Sums that a bootstrap sample is judged by: of 1, delta, bill, and their products.
+SUMS = ("n", "d", "b", "dd", "db", "bb")
+
+
+def resampled(deltas: DataFrame, draws: int) -> DataFrame:
+    """(cell, draw, sums of SUMS): bootstrap samples of each cell as sums. A row stands in a sample as often as a Poisson draw
+    says that is seeded by its cell, id and the sample's number. Each task adds up what it has of a cell and sends a row a sample."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+
+        def out() -> pd.DataFrame:
+            x = np.concatenate(list(held.values())) if held else np.zeros((0, len(SUMS)))
+            return pd.DataFrame({"cell": np.repeat(list(held), draws), "draw": np.tile(np.arange(draws), len(held)), **{k: x[:, i] for i, k in enumerate(SUMS)}})
+
+        for f in frames:
+            d, b, seeds = f["delta"].to_numpy(float), f["billed"].to_numpy(float), f["seed"].to_numpy(np.int64).view(np.uint64)
+            each = np.stack([np.ones(len(d)), d, b, d * d, d * b, b * b], axis=1)
+            for cell, at in f.groupby("cell").indices.items():
+                total = held.setdefault(cell, np.zeros((draws, len(SUMS))))
+                for k in range(0, len(at), 500):
+                    part = at[k : k + 500]
+                    u = seeds[part, None] + np.arange(1, draws + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
+                    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                        u = (u ^ (u >> np.uint64(shift))) * np.uint64(by)
+                    u = ((u ^ (u >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53
+                    total += np.searchsorted(POISSON, u, side="right").astype(float).T @ each[part]
+            if len(held) > 1_000:
+                yield out()
+                held.clear()
+        yield out()
+
+    d = deltas.where("delta is not null and billed is not null")
+    d = d.select(F.col("cell").cast("string").alias("cell"), "delta", "billed", F.xxhash64("cell", "id").alias("seed"))
+    parts = d.mapInPandas(run, "cell string, draw long, " + ", ".join(f"{k} double" for k in SUMS))
+    return parts.groupBy("cell", "draw").agg(*[F.sum(k).alias(k) for k in SUMS])
+
+
 def detection_rate(deltas: DataFrame, effects: list[float], draws: int = 400, z: float = 1.645, least: int = 5) -> DataFrame:
-    """Share of bootstrap samples in which an injected effect (percent of the mean bill) is found, per cell; null below `least` rows.
+    """Share of bootstrap samples in which an injected effect is found, per cell; null below `least` rows.
 
-    Sampling is seeded per cell, effect and draw: a row stands in a sample as often as a Poisson draw from its hash says,
-    so samples are grouped sums and no cell is gathered.
+    An effect (percent) adds that share of its own bill to each row's delta; it is found where the sample's mean is more
+    than z standard errors above 0.
     """
-    cells = deltas.groupBy("cell").agg(F.avg("billed").alias("bill"), F.count(F.lit(1)).alias("rows"))
-    d = deltas.join(cells, "cell")
-    each = d.select("cell", "id", "delta", "bill", "rows", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    u = (F.pmod(F.xxhash64("cell", "id", "draw"), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
-    steps, total, term = [], 0.0, 2.718281828459045**-1
-    for k in range(8):
-        total += term
-        term /= k + 1
-        steps.append(total)
-    times = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    s = each.withColumn("times", times).groupBy("cell", "draw").agg(
-        F.sum("times").alias("n"), F.sum(F.col("times") * F.col("delta")).alias("s1"), F.sum(F.col("times") * F.col("delta") * F.col("delta")).alias("s2"),
-        F.max("bill").alias("bill"), F.max("rows").alias("rows")).where("n > 1")
-    mean = F.col("s1") / F.col("n")
-    sd = F.greatest(F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0))), F.lit(1e-9))
-    e = s.select("cell", "rows", "n", mean.alias("mean"), sd.alias("sd"), "bill", F.explode(F.array(*map(F.lit, effects))).alias("effect"))
-    found = F.col("mean") + F.col("effect") / 100 * F.col("bill") > z * F.col("sd") / F.sqrt("n")
+    s = resampled(deltas, draws)
+    rows = deltas.where("delta is not null and billed is not null").groupBy(F.col("cell").cast("string").alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
+    x = F.col("effect") / 100
+    e = s.where("n > 0").join(rows, "cell").withColumn("effect", F.explode(F.array(*[F.lit(float(v)) for v in effects])))
+    mean = (F.col("d") + x * F.col("b")) / F.col("n")
+    square = (F.col("dd") + 2 * x * F.col("db") + x * x * F.col("bb")) / F.col("n")
+    sd = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+    found = mean > z * F.when(sd < 1e-9, 1e-9).otherwise(sd) / F.sqrt("n")
     return e.groupBy("cell", "effect").agg(F.when(F.max("rows") >= least, F.avg(found.cast("double"))).alias("detected"))

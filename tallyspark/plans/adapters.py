@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions import bpe
 from tallyspark.functions.tokens import token_count
+from tallyspark.sources.files import CAPTURED as CAPTURED_SCHEMA
 
 TOK = r"\p{L}+|\p{N}|[^\p{L}\p{N} \n]+| |\n"
 
@@ -142,3 +146,41 @@ rec AS (
   SELECT *, coalesce(billed > max_tokens * n, false) OR coalesce(most > max_tokens, false) AS over_cap, billed_minus_reported IS NOT NULL AS mismatch,
     CASE WHEN coalesce(billed > max_tokens * n, false) OR coalesce(most > max_tokens, false) OR billed_minus_reported IS NOT NULL THEN 'alert'
       WHEN count_skipped IS NOT NULL AND NOT decided THEN 'unverifiable' ELSE 'ok' END AS status FROM rec2)"""
+
+
+#: A vocabulary by rule: the 256 bytes, then these pairs of letters, which the encoder takes from left to right.
+PAIRS = ("th", "he", "in", "er")
+
+
+def pairs_vocabulary(rest: str) -> bpe.Vocabulary:
+    pairs = rest.split(",")
+    pieces = {b: bytes([b]) for b in range(256)} | {256 + n: p.encode() for n, p in enumerate(pairs)}
+    ids = {b: i for i, b in pieces.items()}
+    cut = re.compile("|".join(map(re.escape, pairs)).encode() + b"|.", re.DOTALL)
+    return bpe.Vocabulary(f"pairs:{rest}", lambda text: [ids[b] for b in cut.findall(text.encode())], pieces, {}, {b: b for b in range(256)})
+
+
+bpe.OPENERS["pairs"] = pairs_vocabulary
+EXCHANGE_MODELS = [("m0", "pairs:" + ",".join(PAIRS)), ("m1", "pairs:" + ",".join(PAIRS))]
+
+
+def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as JSON of requests and responses, read with the reader's schema: a provider that reports tokens as its
+    vocabulary cuts them, byte by byte (every third conversation), without its last token (every fifth), with a reasoning
+    text in front (every seventh) or not at all (every eleventh). Model m2 has no known tokenizer."""
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    k = F.col("conv_id")
+    cut = F.when(k % 3 == 0, F.lit("[\\x00-\\x7F]|[^\\x00-\\x7F]")).otherwise(F.lit("|".join(PAIRS) + "|[\\x00-\\x7F]|[^\\x00-\\x7F]"))
+    chars = F.regexp_extract_all(F.col("text"), cut, F.lit(0))
+    hexed = F.transform(chars, lambda x: F.when(F.octet_length(x) > F.char_length(x), F.regexp_extract_all(F.hex(F.encode(x, "UTF-8")), F.lit("(..)"), F.lit(1))))
+    entries = F.flatten(F.zip_with(chars, hexed, lambda x, h: F.when(h.isNull(), F.array(x)).otherwise(F.transform(h, lambda b: F.concat(F.lit("bytes:\\x"), F.lower(b))))))
+    entries = F.when(k % 5 == 0, F.slice(entries, F.lit(1), F.greatest(F.size(entries) - 1, F.lit(0)))).when(k % 7 == 0, F.concat(F.array(F.lit("hm"), F.lit(".")), entries)).otherwise(entries)
+    logged = F.when(k % 11 != 0, F.struct(F.transform(entries, lambda t: F.struct(t.alias("token"))).alias("content")))
+    choice = F.struct(
+        F.lit(0).alias("index"), F.when(F.col("turn") % 4 == 3, "length").otherwise("stop").alias("finish_reason"),
+        F.struct(F.col("text").alias("content"), F.when(k % 7 == 0, "hm.").alias("reasoning_content")).alias("message"), logged.alias("logprobs"))
+    request = F.struct(F.concat(F.lit("m"), k % 3).alias("model"), F.lit(100_000).alias("max_tokens"))
+    billed = F.size(entries) + F.when(k % 4 == 1, 2).otherwise(0)
+    response = F.struct(F.concat(F.lit("r"), k, F.lit("-"), "turn").alias("id"), F.struct(billed.alias("completion_tokens")).alias("usage"), F.array(choice).alias("choices"))
+    body = F.to_json(F.struct(F.concat(F.lit("h"), k % 2).alias("host"), F.col("turn").cast("double").alias("time"), request.alias("request"), response.alias("response")))
+    return c.select((k * 100 + F.col("turn")).alias("exchange"), F.from_json(body, CAPTURED_SCHEMA).alias("x")).select("exchange", "x.*")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import bpe, stats, tokens
-from tallyspark.operators import align, audit, calibration, matching, monitor, report
+from tallyspark.operators import align, audit, calibration, exchange, matching, monitor, report
 from tallyspark.operators import ledger as lg
-from tallyspark.plans.adapters import BIG, CAPTURED, LEDGER, OUTCOMES, TOK, big_ledger, captured, ledger, outcomes, table
+from tallyspark.plans.adapters import BIG, CAPTURED, EXCHANGE_MODELS, LEDGER, OUTCOMES, PAIRS, TOK, big_ledger, captured, exchanges, ledger, outcomes, table
 from tallyspark.streaming import sse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +53,7 @@ def q01_big(spark, d):
 @query("q02_cell_mde", f"""WITH {BIG}, a AS (
   SELECT provider, model, count(*) AS n, avg(billed - canonical) AS mean, stddev_pop(billed - canonical) AS sd, avg(billed) AS bill FROM big WHERE billed <> max_tokens GROUP BY 1, 2),
 m AS (SELECT *, (1.645 + 0.84) * CASE WHEN sd = 0 THEN 0.01 ELSE sd END / sqrt(n) AS mde FROM a)
-SELECT provider, model, n, round(mean, 6) AS mean_delta, round(mde, 6) AS mde_tokens, round(100 * mde / bill, 6) AS mde_percent, mean > mde AS above_mde FROM m""")
+SELECT provider, model, n, round(mean, 6) AS mean_delta, round(mde, 6) AS mde_tokens, round(100 * mde / bill, 6) AS mde_percent, mean > mde AS above_mde FROM m WHERE n >= 10""")
 def q02(spark, d):
     return lg.cell_mde(big_ledger(spark, d))
 
@@ -116,7 +116,7 @@ def q08(spark, d):
 
 
 @query("q09_prompt_sets", f"""WITH {LEDGER}, x AS (SELECT DISTINCT provider, model, prompt FROM ledger),
-p AS (SELECT provider, model, count(prompt) AS prompts, CAST(sum(CAST('0x' || substr(sha256(prompt), 1, 12) AS BIGINT)) AS BIGINT) AS fingerprint FROM x GROUP BY 1, 2)
+p AS (SELECT provider, model, count(prompt) AS prompts, concat_ws('-', {", ".join(f"CAST(CAST(sum(CAST('0x' || substr(sha256(prompt), {at}, 12) AS BIGINT)) AS BIGINT) AS VARCHAR)" for at in (1, 13, 25, 37))}) AS fingerprint FROM x GROUP BY 1, 2)
 SELECT prompts, fingerprint, count(*) AS cells FROM p GROUP BY 1, 2""")
 def q09(spark, d):
     return lg.prompt_sets(ledger(spark, d))
@@ -247,10 +247,10 @@ def q21(spark, d):
     return matching.lookup_cells(ledger(spark, d), config(spark)).groupBy("provider", "model", "map", "repo", "reasoning_format").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q22_catalog_missing", """SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+@query("q22_catalog_missing", """SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL)""")
 def q22(spark, d):
     wanted = table(spark, d, "customer").select("c_custkey", "c_name")
-    return matching.missing(wanted, table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    return matching.missing(wanted, table(spark, d, "orders").where("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
 
 
 @query("q23_resume_todo", f"""WITH {LEDGER}, p AS (SELECT DISTINCT text AS prompt FROM conversations WHERE role = 'user'), c AS (SELECT DISTINCT provider, model FROM ledger)
@@ -302,10 +302,13 @@ def q26(spark, d):
     return calibration.applicability(rows, meta).groupBy("key", "reason", "warning").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q27_trusted_period", f"""WITH {CAPTURED} SELECT r.model, r.host, count(*) AS n, min(r.response_id) AS first_id, max(r.response_id) AS last_id FROM rec r JOIN choice c USING (response_id)
-WHERE r.shadow AND r.n = 1 AND NOT c.capped AND r.status <> 'alert' AND r.response_id BETWEEN 1000 AND 20000 GROUP BY 1, 2""")
+@query("q27_trusted_period", f"""WITH {CAPTURED}, p AS (SELECT min(response_id) AS a, max(response_id) AS b FROM rec)
+SELECT r.model, r.host, count(*) AS n, min(r.response_id) AS first_id, max(r.response_id) AS last_id FROM rec r JOIN choice c USING (response_id), p
+WHERE r.shadow AND r.n = 1 AND NOT c.capped AND r.status <> 'alert' AND r.response_id BETWEEN a AND a + (b - a) * CAST(0.5 AS DOUBLE) GROUP BY 1, 2""")
 def q27(spark, d):
-    t = calibration.trusted(audits(spark, d), None, None, 1000.0, 20000.0)
+    """The first half of the time that the data covers as the period."""
+    first, last = captured(spark, d).agg(F.min("time"), F.max("time")).first()
+    t = calibration.trusted(audits(spark, d), None, None, first or 0.0, (first or 0.0) + ((last or 0.0) - (first or 0.0)) * 0.5)
     return t.groupBy("model", "host").agg(F.count(F.lit(1)).alias("n"), F.min("response_id").alias("first_id"), F.max("response_id").alias("last_id"))
 
 
@@ -423,13 +426,21 @@ def q42(spark, d):
     return report.likelihood(audits(spark, d))
 
 
-@query("q43_script_bucket", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'абв где ёж' WHEN doc_id % 7 = 1 THEN '漢字かな ab' WHEN doc_id % 7 = 2 THEN '12 34' ELSE text END AS t FROM documents),
-c AS (SELECT doc_id, len(regexp_extract_all(t, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{AC00}-\\x{D7AF}]')) AS cjk, len(regexp_extract_all(t, '[\\x{0400}-\\x{04FF}]')) AS cyr, len(regexp_extract_all(t, '\\p{L}')) AS every FROM d)
-SELECT CASE WHEN every = 0 THEN 'none' WHEN cjk > every - cjk THEN 'cjk' WHEN cyr > every - cyr THEN 'cyrillic' ELSE 'latin' END AS script, count(*) AS n FROM c GROUP BY 1""")
+LETTERS = "etaoinshrdlu"
+CYRILLIC, HAN = "етаоинсхрдлу", "漢字仮名交文日本語学校生"
+
+
+@query("q43_script_bucket", f"""WITH d AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN translate(text, '{LETTERS}', '{CYRILLIC}') WHEN 1 THEN translate(text, '{LETTERS}', '{HAN}') WHEN 2 THEN regexp_replace(text, '\\p{{L}}', '1', 'g') ELSE text END AS t FROM documents),
+c AS (SELECT doc_id, len(regexp_extract_all(t, '[\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7AF}}]')) AS cjk, len(regexp_extract_all(t, '[\\x{{0400}}-\\x{{04FF}}]')) AS cyr, len(regexp_extract_all(t, '\\p{{L}}')) AS every FROM d)
+SELECT doc_id, CASE WHEN every = 0 THEN 'none' WHEN cjk > every - cjk THEN 'cjk' WHEN cyr > every - cyr THEN 'cyrillic' ELSE 'latin' END AS script FROM c WHERE cjk * 2 <> every AND cyr * 2 <> every OR every = 0""")
 def q43(spark, d):
+    """Whole documents, some of their letters written in other scripts; rows with two equally frequent scripts are left to a test."""
     k = F.col("doc_id") % 7
-    t = F.when(k == 0, "абв где ёж").when(k == 1, "漢字かな ab").when(k == 2, "12 34").otherwise(F.col("text"))
-    return table(spark, d, "documents").groupBy(tokens.script_bucket(t).alias("script")).agg(F.count(F.lit(1)).alias("n"))
+    t = F.when(k == 0, F.translate("text", LETTERS, CYRILLIC)).when(k == 1, F.translate("text", LETTERS, HAN)).when(k == 2, F.regexp_replace("text", r"\p{L}", "1")).otherwise(F.col("text"))
+    x = table(spark, d, "documents").select("doc_id", t.alias("t"))
+    n = {name: F.regexp_count("t", F.lit(p)) for name, p in (("cjk", tokens.SCRIPTS["cjk"]), ("cyr", tokens.SCRIPTS["cyrillic"]), ("every", r"\p{L}"))}
+    clear = (n["cjk"] * 2 != n["every"]) & (n["cyr"] * 2 != n["every"]) | (n["every"] == 0)
+    return x.where(clear).select("doc_id", tokens.script_bucket(F.col("t")).alias("script"))
 
 
 FORMATS = "CASE conv_id % 5 WHEN 0 THEN 'harmony' WHEN 1 THEN 'simple' WHEN 2 THEN 'think_tags' WHEN 3 THEN 'gemma_thinking' ELSE 'glm_thinking' END"
@@ -501,14 +512,14 @@ def q50(spark, d):
     return align.likelihood_ratio(s).select("id", F.round("llr", 6).alias("llr"), "spans")
 
 
-@query("q51_entry_alignment", f"""WITH {LEDGER} SELECT response_id, CASE WHEN conv_id % 5 = 1 THEN 'full' WHEN conv_id % 5 = 2 THEN NULL ELSE 'content' END AS "array", CASE WHEN conv_id % 5 = 1 THEN 1 WHEN conv_id % 5 = 2 THEN NULL ELSE 0 END AS start FROM ledger WHERE len(response_text) < 400 AND response_text <> ''""")
+@query("q51_entry_alignment", f"""WITH {LEDGER} SELECT response_id, CASE WHEN conv_id % 5 = 1 THEN 'full' WHEN conv_id % 5 = 2 THEN NULL ELSE 'content' END AS "array", CASE WHEN conv_id % 5 = 1 THEN 1 WHEN conv_id % 5 = 2 THEN NULL ELSE 0 END AS start FROM ledger WHERE response_text <> ''""")
 def q51(spark, d):
-    return entry_alignment(ledger(spark, d).where((F.length("response_text") < 400) & (F.col("response_text") != "")))
+    return entry_alignment(ledger(spark, d).where(F.col("response_text") != ""))
 
 
 @query("q64_entry_alignment_whole", f"""WITH {LEDGER} SELECT response_id, CASE WHEN conv_id % 5 = 1 THEN 'full' WHEN conv_id % 5 = 2 THEN NULL ELSE 'content' END AS "array", CASE WHEN conv_id % 5 = 1 THEN 1 WHEN conv_id % 5 = 2 THEN NULL ELSE 0 END AS start FROM ledger WHERE response_text <> ''""")
 def q64(spark, d):
-    """As q51, for responses of any length."""
+    """As q51, which once had a bound on the length."""
     return entry_alignment(ledger(spark, d).where(F.col("response_text") != ""))
 
 
@@ -525,7 +536,7 @@ def entry_alignment(r: DataFrame) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Assistant turns as event streams of 20-character pieces; every ninth conversation's streams are cut off before [DONE]."""
+    """Assistant turns as event streams of 20-character pieces; some streams are cut off before they finish, and some end without [DONE]."""
     c = table(spark, d, "conversations").where("role = 'assistant'").select(F.concat("conv_id", F.lit("-"), "turn").alias("stream_id"), "conv_id", "text")
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 20).cast("int")), lambda i: F.struct(i.alias("seq"), F.substring(F.col("text"), i * 20 + 1, F.lit(20)).alias("piece")))
     own = c.where(F.length("text") > 0).select("stream_id", F.inline(pieces))
@@ -535,7 +546,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit(1_000_000).cast("long").alias("seq"), F.lit('data: {"choices":[{"index":0,"delta":{},"finish_reason":"stop"}]}\n\n').alias("raw")),
         F.struct(F.lit(1_000_001).cast("long").alias("seq"), F.lit('data: {"choices":[],"usage":{"completion_tokens":7}}\n\n').alias("raw")),
         F.struct(F.lit(1_000_002).cast("long").alias("seq"), F.lit("data: [DONE]\n\n").alias("raw")))))
-    return body.unionByName(ends.where("not (conv_id % 9 = 0 and seq = 1000002)").drop("conv_id"))
+    return body.unionByName(ends.where("conv_id % 9 <> 0 and not (conv_id % 9 = 1 and seq = 1000002)").drop("conv_id"))
 
 
 @query("q52_sse_reassembly", """SELECT conv_id || '-' || turn AS stream_id, 'id-' || conv_id || '-' || turn AS id, md5(text) AS content, 'stop' AS finish_reason, CAST(7 AS BIGINT) AS completion_tokens FROM conversations WHERE role = 'assistant' AND conv_id % 9 <> 0 AND text <> ''""")
@@ -556,7 +567,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 @query("q54_bpe_token_count")
 def q54(spark, d, path=TOKENIZER):
     """Per cell the tokens of a byte-level vocabulary against the pattern's tokens."""
-    x = ledger(spark, d).select("provider", "model", "canonical", bpe.bpe_count(F.col("response_text"), path).alias("bpe"))
+    x = ledger(spark, d).select("provider", "model", "canonical", bpe.bpe_count(F.col("response_text"), bpe.shipped(spark, path)).alias("bpe"))
     return x.groupBy("provider", "model").agg(F.count(F.lit(1)).alias("n"), F.sum("bpe").alias("bpe_tokens"), F.sum("canonical").alias("pattern_tokens"))
 
 
@@ -570,9 +581,11 @@ def q55(spark, d):
 
 @query("q56_batch_pvalue")
 def q56(spark, d):
+    """Batches of 100 outcomes of the second half of the time against the first half as the calibration."""
     o = outcomes(spark, d).select("key", "seq", F.col("extra").alias("gap"), F.col("tokens").alias("canonical"))
-    ref = o.where("seq % 50 = 0").select("key", "gap")
-    return monitor.batch_pvalues(o, ref, size=20, permutations=200).select("key", "batch", F.round("p_value", 6).alias("p_value"))
+    first, last = o.agg(F.min("seq"), F.max("seq")).first()
+    middle = ((first or 0) + (last or 0)) // 2
+    return monitor.batch_pvalues(o.where(F.col("seq") > middle), o.where(F.col("seq") <= middle).select("key", "gap")).select("key", "batch", F.round("p_value", 6).alias("p_value"))
 
 
 @query("q57_detection_rate")
@@ -615,3 +628,41 @@ def q62(spark, d):
 def q63(spark, d):
     return lg.budget(config(spark), ledger(spark, d), 200)
 
+
+@query("q66_divergent_ids", f"""WITH t AS (SELECT conv_id * 100 + turn AS id, regexp_extract_all(text, '{TOK}') AS toks FROM conversations WHERE role = 'user'),
+x AS (SELECT id, unnest(toks) AS tok, unnest(generate_series(0, len(toks) - 1)) AS i FROM t), y AS (SELECT *, sum(octet_length(encode(tok))) OVER (PARTITION BY id ORDER BY i) AS after FROM x)
+SELECT id, CAST(after - octet_length(encode(tok)) AS BIGINT) AS start, CAST(after AS BIGINT) AS "end", i AS a_lo, i AS b_lo FROM y WHERE i % 7 = 0""")
+def q66(spark, d):
+    """The same cuts on either side, but every seventh token with another id."""
+    t = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.posexplode(tokens.tokens(F.col("text"))).alias("nth", "token"))
+    sides = F.array(F.struct(F.lit("a").alias("side"), F.col("nth").alias("token_id")), F.struct(F.lit("b").alias("side"), F.when(F.col("nth") % 7 == 0, -1).otherwise(F.col("nth")).alias("token_id")))
+    both = t.select("id", "nth", "token", F.inline(sides)).withColumn("nth", F.col("nth").cast("long"))
+    return align.divergent_spans(both).select("id", F.col("start").cast("long"), F.col("end").cast("long"), "a_lo", "b_lo")
+
+
+PAIR = "len(regexp_extract_all(text, 'th|he|in|er'))"
+
+
+@query("q67_exchange_audit", f"""WITH x AS (SELECT *, conv_id * 100 + turn AS exchange, octet_length(encode(text)) AS bytes, {PAIR} AS pairs FROM conversations WHERE role = 'assistant'),
+y AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN bytes ELSE bytes - pairs END AS whole FROM x),
+z AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN greatest(whole - 1, 0) WHEN conv_id % 7 = 0 THEN whole + 2 ELSE whole END AS entries,
+  CASE WHEN text = '' AND conv_id % 5 <> 0 AND conv_id % 7 = 0 THEN NULL WHEN conv_id % 5 = 0 AND text <> '' THEN NULL WHEN conv_id % 5 <> 0 AND conv_id % 7 = 0 THEN 'full' ELSE 'content' END AS "array" FROM y),
+v AS (SELECT *, CASE WHEN conv_id % 3 = 2 OR conv_id % 11 = 0 OR "array" IS NULL OR turn % 4 = 3 THEN false ELSE whole <> bytes - pairs END AS noncanonical FROM z)
+SELECT exchange, CASE WHEN conv_id % 11 <> 0 THEN CAST(entries AS BIGINT) END AS reported, CASE WHEN conv_id % 3 <> 2 THEN CAST(bytes - pairs AS BIGINT) END AS canonical,
+  CASE WHEN conv_id % 11 <> 0 THEN "array" END AS "array", noncanonical, CASE WHEN noncanonical THEN CAST(-4.0 * pairs AS DOUBLE) END AS llr,
+  CASE WHEN conv_id % 11 = 0 THEN NULL WHEN "array" IS NULL OR conv_id % 3 = 2 THEN 'unverifiable' WHEN turn % 4 = 3 THEN 'capped' WHEN noncanonical AND -4.0 * pairs < -2.0 - pairs * 0.5 THEN 'reject' ELSE 'pass' END AS verdict,
+  CASE WHEN conv_id % 11 = 0 OR "array" IS NULL OR conv_id % 7 = 0 AND "array" = 'content' OR conv_id % 4 <> 1 THEN NULL ELSE 2 END AS billed_minus_reported FROM v""")
+def q67(spark, d):
+    """Raw requests and responses to verdicts: canonical ids, slices, candidates, scores, and thresholds of the choice's own key."""
+    x = exchanges(spark, d)
+    known = spark.createDataFrame(EXCHANGE_MODELS, "model string, tokenizer string")
+    scores = spark.createDataFrame([(m, i, -5.0 if i < 256 else -6.0) for m, _ in EXCHANGE_MODELS for i in range(256 + len(PAIRS))], "model string, token_id int, logprob double")
+    c = exchange.scored(exchange.choices_of(x, known).withColumn("scorer", F.lit("s")), scores)
+    keys = [f"{m}|{lang}" for m, _ in EXCHANGE_MODELS for lang in ("latin", "none", "cjk", "cyrillic", "arabic", "devanagari")]
+    honest = spark.createDataFrame([(k, float(-2 if n < 2 else 0)) for k in keys for n in range(120)], "key string, score double")
+    meta = spark.createDataFrame([(k, dict(EXCHANGE_MODELS)[k[:2]], "s", 1.0, 1.0, None) for k in keys], "key string, tokenizer string, scorer string, temperature double, top_p double, system string")
+    margins = spark.createDataFrame([(m, 0.5) for m, _ in EXCHANGE_MODELS], "model string, margin double")
+    judged = exchange.verdicts(exchange.calibrated(c, honest, meta, margins, 0.01))
+    r = exchange.records(x, judged)
+    one = F.col("choices")[0]
+    return r.select("exchange", *[one[k].alias(k) for k in ("reported", "canonical", "array", "noncanonical", "llr", "verdict")], F.col("billed_minus_reported").cast("int").alias("billed_minus_reported"))

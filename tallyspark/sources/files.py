@@ -24,6 +24,15 @@ POLICY = {"alpha": 0.01, "tolerance": 3.0, "confidence": 1e-6, "min_overcharge":
 SETTINGS = POLICY | {"count_rules": True, "batch_size": 100, "batch_alpha": 0.05, "batch_margin": 0.0005, "guess_hf": True}
 
 
+#: Patterns of model names for which a tokenizer is known (names of public vocabularies, to be opened by an entry of bpe.OPENERS).
+BUNDLED = {
+    "tokenizers": {
+        "gpt-4o*": "tiktoken:o200k_base", "gpt-4.1*": "tiktoken:o200k_base", "o1*": "tiktoken:o200k_base", "o3*": "tiktoken:o200k_base", "o4*": "tiktoken:o200k_base",
+        "gpt-4*": "tiktoken:cl100k_base", "gpt-3.5*": "tiktoken:cl100k_base", "*gpt-oss*": "tiktoken:o200k_harmony",
+    },
+}
+
+
 def captured(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CAPTURED).json(path)
 
@@ -60,17 +69,17 @@ def append_audit(audit: DataFrame, path: str) -> None:
 
 def read_audit(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An audit log, empty if nothing was written yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def settings(path: str | None = None, variable: str = "TALLYSPARK_CONFIG", **changes: object) -> dict[str, object]:
     """Settings of a TOML file ([checks] belongs to the top level) over the defaults, then keyword changes. Unknown keys raise.
 
-    Without a path the environment names the file; an empty value means none.
+    Without a path the environment names the file (an empty value means none), else one in the home folder is read if it is there.
     """
-    path = os.environ.get(variable) if path is None else path
+    if path is None and (path := os.environ.get(variable)) is None:
+        path = os.path.expanduser("~/.config/tallyspark.toml")
+        path = path if os.path.exists(path) else None
     found: dict[str, object] = {}
     if path:
         with open(path, "rb") as f:
@@ -107,7 +116,70 @@ def usage(df: DataFrame, vendor: str) -> DataFrame:
     return pick("usage.prompt_tokens", "usage.completion_tokens", "usage.total_tokens", detail, False)
 
 
-def write_calibration(tables: dict[str, DataFrame], path: str) -> None:
-    """scores, gaps, margins and meta, each replaced as a whole."""
+#: Tables of a calibration and their columns.
+CALIBRATION = {
+    "scores": "key string, score double", "gaps": "key string, gap long, canonical long", "margins": "model string, margin double",
+    "meta": "key string, tokenizer string, scorer string, temperature double, top_p double, system string",
+}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def write_calibration(tables: dict[str, DataFrame], path: str | None) -> None:
+    """scores, gaps, margins and meta, each replaced as a whole. A path is needed."""
+    if not path:
+        raise ValueError("a calibration needs a path to be written to")
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.select(*[c.split()[0] for c in CALIBRATION[name].split(", ")]).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_calibration(spark: SparkSession, path: str | None) -> dict[str, DataFrame]:
+    """The four tables; those that were never written are empty."""
+    return {
+        name: spark.read.schema(schema).parquet(f"{path}/{name}") if path and _exists(spark, f"{path}/{name}") else spark.createDataFrame([], schema)
+        for name, schema in CALIBRATION.items()}
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest monitor state of each key, from what streaming.endpoint.keep_state has written; empty if nothing was."""
+    from tallyspark.streaming.endpoint import OUT
+
+    if not _exists(spark, path):
+        return spark.createDataFrame([], OUT)
+    rows = spark.read.schema(OUT + ", batch long").parquet(path)
+    cols = [c for c in rows.columns if c not in ("key", "batch")]
+    return rows.groupBy("key").agg(F.max_by(F.struct(*cols), F.struct("batch", "tested")).alias("s")).select("key", "s.*")
+
+
+def append_ledger(rows: DataFrame, path: str) -> None:
+    """Study rows as JSON lines, by block, next to those that are there."""
+    rows.write.mode("append").partitionBy("block").json(path)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """One JSON object a line for each target, replaced as a whole."""
+    summary.write.mode("overwrite").json(path)
+
+
+def bundled_patterns(spark: SparkSession, kind: str = "tokenizers") -> DataFrame:
+    """The patterns that come with the package (pattern, value, ord)."""
+    return patterns(spark, BUNDLED[kind])
+
+
+def resolved_tokenizers(models: DataFrame, user: dict[str, str] | None = None, guess: bool = True) -> DataFrame:
+    """(model, tokenizer, origin): by the user's patterns, else the bundled ones, else for names with an owner a guess of
+    `hf:` and the name, else null. A user's pattern wins over any bundled one."""
+    from tallyspark.operators.matching import resolve_patterns
+
+    spark = models.sparkSession
+    names = models.select("model").distinct()
+    given = patterns(spark, user) if user else spark.createDataFrame([], "pattern string, value string, ord int")
+    own = resolve_patterns(names, given).select("model", F.col("value").alias("own"))
+    rest = resolve_patterns(names, bundled_patterns(spark)).select("model", F.col("value").alias("rest"))
+    guessed = F.when(F.lit(guess) & F.col("model").contains("/"), F.concat(F.lit("hf:"), "model"))
+    out = names.join(own, "model", "left").join(rest, "model", "left")
+    origin = F.when(F.col("own").isNotNull(), "user").when(F.col("rest").isNotNull(), "bundled").when(guessed.isNotNull(), "guess")
+    return out.select("model", F.coalesce("own", "rest", guessed).alias("tokenizer"), origin.alias("origin"))

@@ -51,3 +51,12 @@ def alerts(stream: DataFrame, checkpoint: str, handler: Callable[[DataFrame, int
 
 def warn_once(warnings: DataFrame) -> DataFrame:
     return warnings.dropDuplicates(["key"])
+
+
+def keep_state(stream: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
+    """Appends each micro-batch's states under its number, which a repeated batch replaces; sources.files.read_state reads the newest."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
