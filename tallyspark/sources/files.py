@@ -128,12 +128,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def write_calibration(tables: dict[str, DataFrame], path: str | None) -> None:
-    """scores, gaps, margins and meta, each replaced as a whole. A path is needed."""
+def _put(tables: dict[str, DataFrame], path: str | None, mode: str) -> None:
     if not path:
         raise ValueError("a calibration needs a path to be written to")
     for name, df in tables.items():
-        df.select(*[c.split()[0] for c in CALIBRATION[name].split(", ")]).write.mode("overwrite").parquet(f"{path}/{name}")
+        df.select(*[c.split()[0] for c in CALIBRATION[name].split(", ")]).write.mode(mode).parquet(f"{path}/{name}")
+
+
+def write_calibration(tables: dict[str, DataFrame], path: str | None) -> None:
+    """scores, gaps, margins and meta, each replaced as a whole. A path is needed."""
+    _put(tables, path, "overwrite")
+
+
+def append_calibration(tables: dict[str, DataFrame], path: str | None) -> None:
+    """Adds rows to tables of a calibration."""
+    _put(tables, path, "append")
 
 
 def read_calibration(spark: SparkSession, path: str | None) -> dict[str, DataFrame]:

@@ -211,3 +211,26 @@ def test_calibration_files(spark, tmp_path):
     assert small["warning"] == "never_rejects"
     meta = spark.createDataFrame([("k", "t", None, 1.0, 1.0, None), ("k", "u", None, 1.0, 1.0, None), ("l", "t", None, 1.0, 1.0, None)], files.CALIBRATION["meta"])
     assert [r["key"] for r in calibration.conflicts(meta).collect()] == ["k"]
+
+
+def test_facade(spark, tmp_path):
+    """Calibrated on honest responses, a padded one is rejected and an honest one passes; counts are calibrated from the audit."""
+    from tallyspark.facade import Ledger
+
+    def scorer(ids):
+        return ids.select("model", "token_id", F.when(F.col("token_id") < 256, -4.0).otherwise(-5.0).alias("logprob"))
+
+    own = Ledger(spark, config="", tokenizers={"m": SPEC}, calibration_path=f"file://{tmp_path}/cal", scorer=scorer, scorer_name="s", alpha=0.1)
+    fair = ("the", [entry("th"), entry("e")], "stop", None, False)
+    assert own.calibrate(captured(spark, [fair] * 20, usage=40)) == 20
+    padded = ("the", [entry("t"), entry("h"), entry("e")], "stop", None, False)
+    a = own.audit(captured(spark, [padded, fair], usage=5)).cache()
+    assert [c["verdict"] for c in a.first()["choices"]] == ["reject", "pass"] and a.first()["findings"] == ["likelihood_reject"]
+    assert own.report(a).first()["responses"] == 1
+    m = own.monitor(a).first()
+    assert (m["key"], m["tested"], m["rejected"], m["extra"]) == ("h|m", 2, 1, 1)
+    one = own.audit(captured(spark, [fair], usage=2))
+    rule = own.calibrate_counts(one, None, None, 0.0, 10.0).first()
+    assert (rule["key"], rule["n"], rule["max_gap"]) == ("m|latin", 1, 0)
+    with pytest.raises(ValueError, match="different settings"):
+        own.calibrate(captured(spark, [fair], temperature=0.2))
