@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link (proportional odds) regression on graded ratings over hashed text.
 
 P(grade > k) = sigmoid(w . x - t_k) with one weight vector for all grades and ordered thresholds t_0 < t_1 < ... The
-features x are hashed from the whole text: words and pairs of neighbouring words, character trigrams of words, shapes of
+features x are hashed from the whole text: words and pairs of neighbouring words, character trigrams, shapes of
 blank-separated tokens and of neighbours, repeats of the token just before or of a recent one, and length. Each group's
 counts are damped and scaled to a fixed length, so long texts do not dominate.
 A row gets its expected grade and the tail probability P(grade >= select_grade); rows below `least_tail` are rejected.
@@ -17,7 +17,6 @@ grades everything gets the grade that exists (0 if none) and is kept; other colu
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -67,70 +66,54 @@ def _runs(token: str) -> str:
     return "".join(out)
 
 
+#: Multiplier that joins the hashes of neighbours, and that of the trigrams' multiplicative hash.
+JOIN, SPREAD = 1_000_003, 2_654_435_761
+
+
+def _hash(text: str) -> int:
+    return crc32(text.encode("utf-8", "surrogatepass"))
+
+
 class Hasher:
-    """Texts to hashed features; keeps the shapes and hashes of words seen before."""
+    """Texts to hashed features; keeps the shapes of tokens seen before."""
 
     def __init__(self):
         self.shapes: dict[str, str] = {}
-        self.words: dict[str, np.ndarray] = {}
-
-    def _word(self, w: str) -> np.ndarray:
-        """Hashes of a word (first) and of its trigrams."""
-        h = self.words.get(w)
-        if h is None:
-            if len(self.words) > CACHED:
-                self.words.clear()
-            framed = f" {w} ".encode("utf-8", "surrogatepass")
-            h = self.words[w] = np.array([crc32(framed), *(crc32(framed[i : i + 3]) for i in range(len(framed) - 2))], np.int64)
-        return h
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(feature numbers, values)."""
+        """(feature numbers, values). Distinct tokens are hashed once, neighbours and repeats are array operations."""
         tokens = text.split() if text else []
-        words = text.lower().split() if text else []
-        n = max(1, len(tokens))
-        ids, values, at = [], [], 0
-        counts = Counter(words)
-        hashed = [self._word(w) for w in counts]
-        times = np.fromiter(counts.values(), float, len(counts))
-        pairs = Counter(zip(words, words[1:]))
-        pair_ids = np.fromiter((crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in pairs), np.int64, len(pairs))
-        shapes = self._shapes(tokens)
-        shape_ids = np.fromiter((crc32(k.encode("utf-8", "surrogatepass")) for k in shapes), np.int64, len(shapes))
-        empty = np.zeros(0, np.int64)
+        words = [t.lower() for t in tokens]
+        n = len(tokens)
+        of_word = {w: _hash(w) for w in set(words)}
+        of_shape = {t: _hash(shape(t, self.shapes)) for t in set(tokens)}
+        numbers = {t: i for i, t in enumerate(of_shape)}
+        w = np.fromiter(map(of_word.__getitem__, words), np.int64, n)
+        s = np.fromiter(map(of_shape.__getitem__, tokens), np.int64, n)
+        t = np.fromiter(map(numbers.__getitem__, tokens), np.int64, n)
+        last = np.zeros(n, bool)
+        last[1:] = t[1:] == t[:-1]
+        recent = np.zeros(n, bool)
+        for k in range(2, min(RECENT, n - 1) + 1):
+            recent[k:] |= t[k:] == t[:-k]
+        before = np.concatenate([[_hash("^")], s[:-1]])[:n]
+        letters = np.frombuffer(f" {' '.join(words)} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
+        three = (letters[:-2] << np.uint64(16)) | (letters[1:-1] << np.uint64(8)) | letters[2:]
         raw = {
-            "shape": (shape_ids, np.fromiter(shapes.values(), float, len(shapes))), "word": (np.array([h[0] for h in hashed], np.int64), times),
-            "pair": (pair_ids, np.fromiter(pairs.values(), float, len(pairs))),
-            "trigram": (np.concatenate([h[1:] for h in hashed]) if hashed else empty, np.repeat(times, [len(h) - 1 for h in hashed])),
+            "shape": np.concatenate([s, before * JOIN + s, np.repeat([_hash("=last"), _hash("=recent")], [last.sum(), (recent & ~last).sum()])]),
+            "word": w, "pair": w[:-1] * JOIN + w[1:], "trigram": ((three * np.uint64(SPREAD) & np.uint64(0xFFFFFFFF)) >> np.uint64(12)).astype(np.int64) if n else w,
         }
+        ids, values, at = [], [], 0
         for name, (size, length) in GROUPS.items():
-            h, c = raw[name]
-            total = np.bincount(h % size, c, size)
-            own = np.flatnonzero(total)
-            v = np.sqrt(total[own] / n)
+            own, counts = np.unique(raw[name] % size, return_counts=True)
+            v = np.sqrt(counts / max(1, n))
             ids.append(own + at)
-            values.append(v * (length / (np.linalg.norm(v) or 1.0)))
+            values.append(v * (length / (math.sqrt(v @ v) or 1.0)))
             at += size
-        ids.append(np.array([at + min(63, int(math.log2(n)))]))
+        ids.append(np.array([at + min(63, int(math.log2(max(1, n))))]))
         values.append(np.array([0.1]))
         return np.concatenate(ids).astype(np.int32), np.concatenate(values).astype(np.float32)
 
-    def _shapes(self, tokens: list[str]) -> dict[str, int]:
-        counts: dict[str, int] = {}
-        last_shape, last, recent = "^", "", [""] * RECENT
-        for i, t in enumerate(tokens):
-            s = shape(t, self.shapes)
-            counts[s] = counts.get(s, 0) + 1
-            pair = last_shape + "\t" + s
-            counts[pair] = counts.get(pair, 0) + 1
-            if t == last:
-                counts["=last"] = counts.get("=last", 0) + 1
-            elif t in recent:
-                counts["=recent"] = counts.get("=recent", 0) + 1
-            recent[i % RECENT] = t
-            last_shape, last = s, t
-        return counts
-
 
 def fit(xs: list[tuple[np.ndarray, np.ndarray]], grades: list[int], rounds: int = 150, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """(weights, thresholds, levels): maximum likelihood of the cumulative-link model by full-batch adaptive gradients."""

@@ -25,23 +25,21 @@ def labels(spark):
 
 
 def plain_features(text):
-    """Group -> hash -> damped value, before hashing into a common range."""
-    tokens, words = (text or "").split(), (text or "").lower().split()
-    n = max(1, len(tokens))
-    shapes = [quality._runs(t) for t in tokens]
-    groups = {
-        "shape": [s for s in shapes] + [f"{a}\t{b}" for a, b in zip(["^", *shapes], shapes)],
-        "word": [f" {w} " for w in words], "pair": [f"{a} {b}" for a, b in zip(words, words[1:])],
-    }
+    """Group -> hash within its range -> how often."""
+    tokens = (text or "").split()
+    words = [t.lower() for t in tokens]
+    h = [crc32(w.encode()) for w in words]
+    s = [crc32(quality._runs(t).encode()) for t in tokens]
+    shapes = s + [a * quality.JOIN + b for a, b in zip([crc32(b"^"), *s], s)]
     for i, t in enumerate(tokens):
         if i and t == tokens[i - 1]:
-            groups["shape"].append("=last")
+            shapes.append(crc32(b"=last"))
         elif t in tokens[max(0, i - quality.RECENT) : i]:
-            groups["shape"].append("=recent")
-    hashed = {k: Counter(crc32(x.encode()) % quality.GROUPS[k][0] for x in v) for k, v in groups.items()}
-    bits = [w.encode()[i : i + 3] for w in groups["word"] for i in range(len(w.encode()) - 2)]
-    hashed["trigram"] = Counter(crc32(b) % quality.GROUPS["trigram"][0] for b in bits)
-    return n, hashed
+            shapes.append(crc32(b"=recent"))
+    data = f" {' '.join(words)} ".encode() if words else b""
+    three = [(int.from_bytes(data[i : i + 3], "big") * quality.SPREAD & 0xFFFFFFFF) >> 12 for i in range(len(data) - 2)]
+    raw = {"shape": shapes, "word": h, "pair": [a * quality.JOIN + b for a, b in zip(h, h[1:])], "trigram": three}
+    return max(1, len(tokens)), {k: Counter(x % quality.GROUPS[k][0] for x in v) for k, v in raw.items()}
 
 
 def plain_score(model, text):
