@@ -34,8 +34,8 @@ MAX_ROWS = 4_000
 LEAST_TAIL = 0.5
 #: Tokens before a token in which its repeat is looked for.
 RECENT = 8
-#: Words, or shapes, that a worker keeps at hand.
-CACHED = 50_000
+#: Shapes that a worker keeps at hand, and rows of the fit that are widened at once.
+CACHED, FIT_ROWS = 50_000, 250
 
 
 def shape(token: str, seen: dict[str, str]) -> str:
@@ -116,15 +116,19 @@ class Hasher:
 
 
 def fit(xs: list[tuple[np.ndarray, np.ndarray]], grades: list[int], rounds: int = 150, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(weights, thresholds, levels): maximum likelihood of the cumulative-link model by full-batch adaptive gradients."""
+    """(weights, thresholds, levels): maximum likelihood of the cumulative-link model by full-batch adaptive gradients. Empties xs."""
     levels = sorted(set(grades))
     if len(levels) < 2:
         return np.zeros(SIZE), np.zeros(0), levels
     y = np.searchsorted(levels, grades)
     n, k = len(xs), len(levels) - 1
-    sizes = [len(h) for h, _ in xs]  # none is 0: every text has its length feature
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    col, val = np.concatenate([h for h, _ in xs]).astype(np.int64), np.concatenate([v for _, v in xs])
+    # kept small: numbers of four bytes, widened for a few hundred rows at a time
+    parts = []
+    for at in range(0, n, FIT_ROWS):
+        of = xs[at : at + FIT_ROWS]
+        sizes = [len(h) for h, _ in of]  # none is 0: every text has its length feature
+        parts.append((np.concatenate([h for h, _ in of]), np.concatenate([v for _, v in of]), np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes, slice(at, at + len(of))))
+    xs.clear()  # what it held is in parts now
     w, gap = np.zeros(SIZE), np.zeros(k)  # thresholds: first, then logs of the steps
     above = np.array([(y > j).mean() for j in range(k)])
     t0 = -np.log(np.clip(above, 1e-3, 1 - 1e-3) / np.clip(1 - above, 1e-3, 1))
@@ -134,14 +138,14 @@ def fit(xs: list[tuple[np.ndarray, np.ndarray]], grades: list[int], rounds: int
     for r in range(1, rounds + 1):
         steps = np.exp(gap[1:])
         t = gap[0] + np.concatenate([[0.0], np.cumsum(steps)])
-        score = np.add.reduceat(val * w[col], starts)
+        score = np.concatenate([np.add.reduceat(val * w[col], starts) for col, val, starts, _, _ in parts])
         c = 1 / (1 + np.exp(np.clip(score[:, None] - t, -40, 40)))  # P(grade <= j)
         c = np.hstack([np.zeros((n, 1)), c, np.ones((n, 1))])
         hi, lo = c[np.arange(n), y + 1], c[np.arange(n), y]
         p = np.maximum(hi - lo, 1e-12)
         dhi, dlo = hi * (1 - hi), lo * (1 - lo)
         ds = (dhi - dlo) / p / n  # of the negative log-likelihood by the score
-        gw = np.bincount(col, val * np.repeat(ds, sizes), len(w)) + l2 * w
+        gw = sum(np.bincount(col, val * np.repeat(ds[at], sizes), len(w)) for col, val, _, sizes, at in parts) + l2 * w
         gt = np.zeros(k)
         np.add.at(gt, y[y < k], -(dhi / p)[y < k] / n)
         np.add.at(gt, y[y > 0] - 1, (dlo / p)[y > 0] / n)
@@ -189,7 +193,9 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "quality", max_rows:
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = sorted((int(g), h, v) for b in batches for h, v, g in zip(b["h"], b["v"], b["grade"]))  # the same order in every run
-        w, t, levels = fit([(np.frombuffer(h, np.int32), np.frombuffer(v, np.float32)) for _, h, v in rows], [g for g, _, _ in rows])
+        grades, xs = [g for g, _, _ in rows], [(np.frombuffer(h, np.int32), np.frombuffer(v, np.float32)) for _, h, v in rows]
+        rows.clear()
+        w, t, levels = fit(xs, grades)
         yield pd.DataFrame({"w": [w], "t": [t], "levels": [levels]})
 
     sample = rated(docs, ratings, grade, max_rows).mapInPandas(hashed, "h binary, v binary, grade int")
