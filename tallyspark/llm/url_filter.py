@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, join_classes, stored
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.8
+#: Urls that a rule is learned from at the least, whatever the table's size.
+LEAST_URLS = 20
 #: Rules up to this number travel in the plan; an antecedent up to SUBSETS tokens is held against all its subsets.
 LITERAL_RULES, SUBSETS = 2_000, 12
 #: Words of a host that label a url as spam, to start with.
@@ -62,11 +64,12 @@ def listed(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> Co
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens of a url: host labels with their distance from the end, words of the host, path segments, extension, query keys; digits as #."""
+    """Distinct tokens of a url: host labels with their distance from the end, words of hyphenated ones, path segments, extension, query keys; digits as #."""
     host, path = host_of(url), path_of(url)
     labels = F.reverse(F.split(host, r"\."))
     hosts = F.transform(labels, lambda x, i: F.concat(F.lit("h"), F.least(i, F.lit(3)).cast("string"), F.lit(":"), x))
-    words = F.transform(F.filter(F.split(host, r"[.\-]"), lambda x: x.rlike("^[a-z]{3,}$")), lambda x: F.concat(F.lit("w:"), x))
+    joined = F.filter(F.split(host, r"\."), lambda x: F.contains(x, F.lit("-")))  # other labels are tokens already
+    words = F.transform(F.flatten(F.transform(joined, lambda x: F.split(x, "-"))), lambda x: F.concat(F.lit("w:"), x))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     segments = F.transform(parts, lambda x, i: F.concat(F.lit("p"), F.least(i, F.lit(3)).cast("string"), F.lit(":"), F.regexp_replace(x, "[0-9]+", "#")))
     query = F.coalesce(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit(""))
@@ -82,13 +85,15 @@ RULE = "tokens array<string>, label string, confidence double, support double"
 def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens, label, confidence, support, key) of the pruned rules from (url, label) rows; label is not null.
 
-    Frequent sets are at most 2^tokens / min_support, however many urls there are. key is the rule's rarest token.
+    Frequent sets are at most 2^tokens / min_support, however many urls there are, and no rule rests on fewer than LEAST_URLS
+    of them: what two or three urls share is no rule, and in a small table there would be no end of such sets. key is the
+    rule's rarest token.
     """
     spark = urls.sparkSession
     rows = urls.select(tokens(F.col("url")).alias("tokens"), F.concat(F.lit("label="), "label").alias("label"))
-    if rows.isEmpty():
+    if not (n_urls := rows.count()):
         return spark.createDataFrame([], RULE + ", key string")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows.select(F.concat("tokens", F.array("label")).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, LEAST_URLS / n_urls)), minConfidence=min_confidence).fit(rows.select(F.concat("tokens", F.array("label")).alias("items")))
     found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("label=")) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("label="))))
     found = stored(found.select(F.array_sort("antecedent").alias("tokens"), F.replace(F.col("consequent")[0], F.lit("label=")).alias("label"), "confidence", "support"))
     # rules that a part of them makes needless; longer ones than SUBSETS stay, which changes no verdict
