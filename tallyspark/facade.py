@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions import bpe
 from tallyspark.operators import audit, calibration, exchange, monitor, report
 from tallyspark.sources import files
 
@@ -31,8 +32,9 @@ class Ledger:
 
     def choices(self, captured: DataFrame) -> DataFrame:
         """A row for each choice of captured exchanges (`exchange` names the row), scored where a scorer is given."""
-        known = files.resolved_tokenizers(audit.projected(captured).select("model"), self.tokenizers, bool(self.settings["guess_hf"])).where("tokenizer is not null")
-        known = known.where("origin = 'user'") if self.tokenizers else known
+        known = files.resolved_tokenizers(audit.projected(captured).select("model"), self.tokenizers, bool(self.settings["guess_hf"]))
+        # names of remote vocabularies count only where there is a way to open them
+        known = known.where((F.col("origin") == "user") | F.split_part("tokenizer", F.lit(":"), F.lit(1)).isin(*bpe.OPENERS))
         c = exchange.choices_of(captured, known).withColumn("scorer", F.lit(self.scorer_name).cast("string"))
         ids = c.where("noncanonical").select("model", F.explode(F.array_union("canonical_ids", F.flatten(F.flatten("candidates")))).alias("token_id")).distinct()
         none = self.spark.createDataFrame([], "model string, token_id int, logprob double")
