@@ -8,7 +8,7 @@ without replacement.
 Gains go back to documents through the dictionary. The most frequent strings, a bounded number of bounded length, travel to
 every task, so a document's share of them is summed where it is read; what is left of it (distinct strings and their counts)
 is joined by string. What is frequent never takes part in that join, so no key of it holds more than a small share of the
-rows: at most 1/HOT of all features, or strings longer than HOT_BYTES, which Spark's skew join splits.
+rows (1.1 / HOT of all features), but for strings longer than HOT_BYTES, which Spark's skew join splits.
 
 Defined results: null texts have no words; a document without features has weight 0 and can't be drawn unless least_words is
 0; null identifiers are drawn like an empty one; rows that repeat an identifier are documents of their own, of which the order
@@ -90,12 +90,27 @@ def with_gains(words: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return words.join(F.broadcast(gains(words, buckets)), "bucket").select("feature", "in_docs", "gain")
 
 
+def frequent(words: DataFrame) -> DataFrame:
+    """The most frequent strings of words (feature, in_docs, ...), HOT of them at most, by a least count.
+
+    Counts are graded in eighths of a power of two, of which there are a few hundred, and whole grades are taken while they fit.
+    So a string that isn't taken has at most 1.1 / HOT of all features.
+    """
+    short = words.where((F.octet_length("feature") <= HOT_BYTES) & (F.col("in_docs") > 0)).withColumn("_grade", F.floor(8 * F.log2(F.col("in_docs").cast("double"))))
+    least, taken = None, 0
+    for r in short.groupBy("_grade").count().orderBy(F.desc("_grade")).collect():  # a row a grade
+        taken += r["count"]
+        if taken > HOT:
+            break
+        least = r["_grade"]
+    return short.where(F.lit(False) if least is None else F.col("_grade") >= least).drop("_grade")
+
+
 def weights(docs: DataFrame, words: DataFrame, max_n: int = MAX_N) -> DataFrame:
     """(row, doc_id, n_words, n_features, weight) of each row of docs (doc_id, text); words has (feature, in_docs, gain)."""
     spark = docs.sparkSession
     small_batches(spark)
-    top = words.where((F.octet_length("feature") <= HOT_BYTES) & (F.col("in_docs") > 0)).orderBy(F.desc("in_docs"), "feature").limit(HOT)
-    hot = spark.sparkContext.broadcast({bytes(r["feature"]): r["gain"] for r in top.select("feature", "gain").collect()})  # HOT rows at most
+    hot = spark.sparkContext.broadcast({bytes(r["feature"]): r["gain"] for r in frequent(words).select("feature", "gain").collect()})  # HOT rows at most
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value
