@@ -2,43 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import bpe
-from tallyspark.operators import audit, calibration, exchange, monitor, report
+from tallyspark.operators import audit, calibration, exchange, likelihood, monitor, report
 from tallyspark.sources import files
-
-#: Scores of token ids for a model's choices: from (model, token_id) to (model, token_id, logprob). Any scorer is one.
-Scorer = Callable[[DataFrame], DataFrame]
+from tallyspark.sources.store import stored
 
 
 class Ledger:
     """Settings, vocabularies by model pattern, a calibration folder and a scorer, with the operators that use them.
 
-    scorer: None leaves noncanonical reports unresolved. `scorer_name` is what calibrations are compared by.
+    scorer: see operators.likelihood; None leaves noncanonical reports unresolved. scorer_name and scoring are what calibrations
+    are compared by. window_path: a folder that keeps scored windows for later runs.
     """
 
     def __init__(
         self, spark: SparkSession, config: str | None = None, tokenizers: dict[str, str] | None = None, calibration_path: str | None = None,
-        scorer: Scorer | None = None, scorer_name: str | None = None, **changes: object,
+        scorer: likelihood.Scorer | None = None, scorer_name: str | None = None, scoring: likelihood.Settings = likelihood.Settings(), window_path: str | None = None, **changes: object,
     ):
         self.spark, self.settings = spark, files.settings(config, **changes)
         self.tokenizers = tokenizers if tokenizers is not None else self.settings["tokenizers"]
         self.path = calibration_path or self.settings.get("calibration")
-        self.scorer, self.scorer_name = scorer, scorer_name
+        self.scorer, self.scoring = scorer, scoring
+        self.fingerprint = scoring.fingerprint(scorer_name) if scorer_name else None
+        self.windows = likelihood.WindowStore(spark, window_path)
 
-    def choices(self, captured: DataFrame) -> DataFrame:
-        """A row for each choice of captured exchanges (`exchange` names the row), scored where a scorer is given."""
+    def _choices(self, captured: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         known = files.resolved_tokenizers(audit.projected(captured).select("model"), self.tokenizers, bool(self.settings["guess_hf"]))
         # names of remote vocabularies count only where there is a way to open them
         known = known.where((F.col("origin") == "user") | F.split_part("tokenizer", F.lit(":"), F.lit(1)).isin(*bpe.OPENERS))
-        c = exchange.choices_of(captured, known).withColumn("scorer", F.lit(self.scorer_name).cast("string"))
-        ids = c.where("noncanonical").select("model", F.explode(F.array_union("canonical_ids", F.flatten(F.flatten("candidates")))).alias("token_id")).distinct()
-        none = self.spark.createDataFrame([], "model string, token_id int, logprob double")
-        return exchange.scored(c, self.scorer(ids) if self.scorer else none)
+        c = exchange.choices_of(captured, known).withColumn("scorer", F.lit(self.fingerprint).cast("string"))
+        if self.scorer is None:
+            return exchange.unscored(c), None
+        readings = exchange.resolved_readings(c, self.windows, self.scorer, self.scoring)
+        return exchange.scored(c, readings, self.windows, self.scorer, self.scoring), readings
+
+    def choices(self, captured: DataFrame) -> DataFrame:
+        """A row for each choice of captured exchanges (`exchange` names the row), scored where a scorer is given."""
+        return self._choices(captured)[0]
 
     def audit(self, captured: DataFrame) -> DataFrame:
         """Audited rows, judged by the calibration of each choice's key."""
@@ -52,9 +55,11 @@ class Ledger:
         o = audit.outcomes(audited).withColumn("p0", F.lit(p0)).withColumnRenamed("time", "seq")
         return monitor.first_flags(o, float(self.settings["confidence"]), float(self.settings["min_overcharge"]))
 
-    def calibrate(self, captured: DataFrame) -> int:
-        """Adds the scores and settings of honest responses to the calibration; how many choices it could use."""
-        c = self.choices(captured)
+    def calibrate(self, captured: DataFrame, batch: str | None = None) -> int:
+        """Adds the scores and settings of honest responses to the calibration, and raises the models' noise margins; how many
+        choices it could use. The same responses again, or a batch of the same name, replace what they had added."""
+        c, readings = self._choices(captured)
+        c = stored(c)
         tables = files.read_calibration(self.spark, self.path)
         scores = exchange.honest_scores(c)
         key = F.concat_ws("|", "model", "language").alias("key")
@@ -62,13 +67,19 @@ class Ledger:
         if not calibration.conflicts(meta).isEmpty():
             raise ValueError("a key would be calibrated with different settings")
         kept = scores.count()
-        files.append_calibration({"scores": scores, "meta": meta.join(tables["meta"].select("key").distinct(), "key", "left_anti")}, self.path)
+        if readings is not None:
+            # one reading a response, and only of those that count
+            usable = exchange.usable(c).where("noncanonical").select("exchange", "index")
+            first = readings.where("reading = 0 and not unclear").join(usable, ["exchange", "index"])
+            files.upsert_calibration("margins", likelihood.margins(first, self.windows, self.scorer, self.scoring), self.path)
+        files.upsert_calibration("meta", meta, self.path)
+        files.append_calibration({"scores": scores}, self.path, batch)
         return kept
 
-    def calibrate_counts(self, audited: DataFrame, model: str | None, host: str | None, since: float, until: float) -> DataFrame:
-        """The gap rule of each key, from a trusted period; the gaps are kept with the calibration."""
+    def calibrate_counts(self, audited: DataFrame, model: str | None, host: str | None, since: float, until: float, batch: str | None = None) -> DataFrame:
+        """The gap rule of each key, from trusted periods: this one is added to those before. A period that is given again counts once."""
         gaps = calibration.gaps(calibration.trusted(audited, model, host, since, until))
-        files.write_calibration({"gaps": gaps}, self.path)
+        files.append_calibration({"gaps": gaps}, self.path, batch)
         return calibration.gap_rule(files.read_calibration(self.spark, self.path)["gaps"])
 
     def report(self, audited: DataFrame) -> DataFrame:

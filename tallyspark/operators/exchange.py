@@ -1,8 +1,9 @@
 """Captured requests and responses to audited rows: choices with counts, slices, candidate ids, scores and calibrated verdicts.
 
-A captured row is as sources.files.CAPTURED has it. `choices_of` adds what the audit needs of each choice: one pass in Arrow
-batches with the model's tokenizer (a table of model patterns and vocabulary specs), everything else in columns. Unknown stays
-null: a model without a tokenizer has no canonical counts. Scores of ids come as a table, from whatever scorer made them.
+A captured row is as sources.files.CAPTURED has it. `choices_of` adds what the audit needs of each choice. Python sees each
+text once, for the canonical encoding, and of token entries only those with placeholders for partial characters; everything
+else is columns, and candidate ids come from joins with the vocabulary as a table, for the few choices that are not cut as the
+encoder would. Unknown stays null: a model without a tokenizer has no canonical counts.
 """
 
 from __future__ import annotations
@@ -10,133 +11,163 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import bpe
 from tallyspark.functions.tokens import calibration_key, entry_bytes, script_bucket
-from tallyspark.operators import align, audit
+from tallyspark.operators import align, audit, likelihood
 from tallyspark.operators.calibration import applicability, thresholds
+from tallyspark.sources.store import stored
 
-#: Ambiguous positions of a reading that are resolved by scores; with more the choice is unverifiable.
-MAX_AMBIGUOUS = 8
 #: Vocabularies with this token write reasoning on a channel of its own, which the returned text doesn't have.
 CHANNEL = "<|channel|>"
-
+READ = "read struct<ids:array<int>,bytes:array<int>,array:string,start:int,end:int,readings:int,pieces:array<array<binary>>>"
 _IDS = pa.list_(pa.int32())
-READING = pa.struct([
-    ("canonical", _IDS), ("array", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("readings", pa.int32()), ("candidates", pa.list_(pa.list_(_IDS))),
-    ("token_mismatch", pa.bool_()), ("noncanonical", pa.bool_()), ("spans", _IDS), ("channels", pa.bool_()), ("reason", pa.string())])
-READ = (
-    "read struct<canonical:array<int>,array:string,start:int,end:int,readings:int,candidates:array<array<array<int>>>,token_mismatch:boolean,"
-    "noncanonical:boolean,spans:array<int>,channels:boolean,reason:string>"
-)
-
-
-def spans_apart(pieces: dict[int, bytes], a: list[int], b: list[int]) -> int:
-    """Stretches between shared byte offsets in which two encodings of the same bytes differ."""
-    left, right = [0], [0]
-    for ids, at in ((a, left), (b, right)):
-        for i in ids:
-            at.append(at[-1] + len(pieces[i]))
-    shared = sorted(set(left) & set(right))
-    cut_a, cut_b = {p: n for n, p in enumerate(left)}, {p: n for n, p in enumerate(right)}
-    return sum(a[cut_a[p] : cut_a[q]] != b[cut_b[p] : cut_b[q]] for p, q in zip(shared, shared[1:]))
-
-
-def _read(vocabulary: bpe.Vocabulary | None, text: str, entries: list | None, raws: list | None, tools: bool, capped: bool) -> tuple:
-    data = text.encode("utf-8", "surrogatepass")
-    canonical, channels = None, vocabulary is not None and CHANNEL in vocabulary.special
-    if vocabulary is not None:
+_READ = pa.struct([("ids", _IDS), ("bytes", _IDS), ("array", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("readings", pa.int32()), ("pieces", pa.list_(pa.list_(pa.binary())))])
+
+
+def _read(text: str, spec: str | None, tokens: list | None, raws: list | None, special: list | None) -> dict:
+    """The canonical encoding of a text, with the bytes of its ids, and how entries with placeholders (where given) spell it."""
+    data, out = text.encode("utf-8", "surrogatepass"), {}
+    if spec is not None:
+        v = bpe.vocabulary(spec)
         try:
-            canonical = vocabulary.canonical(data)
+            out["ids"] = v.canonical(data)
+            out["bytes"] = [len(v.pieces[i]) for i in out["ids"]]
         except bpe.Unverifiable:
             pass
-    none = (canonical, None, None, None, 0, None, False, False, None, channels)
-    if entries is None or tools:
-        return (*none, None)
-    forms = [align.spelling(e["token"] or "", None if align.PLACEHOLDER in (e["token"] or "") and e["bytes"] is None and not e["token"].startswith("bytes:") else r) for e, r in zip(entries, raws)]
-    special = [vocabulary is not None and vocabulary.is_special(e["token"] or "", e["token_id"]) for e in entries]
-    array, start, end, found = align.text_slice(forms, data, special)
-    if array is None:
-        return (*none, "the entries do not spell the text")
-    read = (canonical, array, start, end, None if found is None else len(found))
-    if found is None or canonical is None or capped:
-        return (*read, None, False, False, None, channels, "too many readings" if found is None else None)
-    candidates = []
-    for pieces in found:
-        ids = [vocabulary.ids_of(e["token"] or "", e["token_id"], p) for e, p in zip(entries[start:end], pieces)]
-        if None not in ids:
-            candidates.append(ids)
-    if not candidates:
-        return (*read, None, True, False, None, channels, "an entry is not a token of the vocabulary")
-    same = any(len(r) == len(canonical) and all(c in of for c, of in zip(canonical, r)) for r in candidates)
-    spans = [spans_apart(vocabulary.pieces, [of[0] for of in r], canonical) for r in candidates]
-    return (*read, candidates, False, not same, spans, channels, None)
-
-
-def read_choices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the entries and their bytes by what the vocabulary makes of them; other columns pass as they are."""
-    names = [f.name for f in READING]
+    if tokens is not None:
+        forms = [align.spelling(t, r) for t, r in zip(tokens, raws)]
+        out["array"], out["start"], out["end"], out["pieces"] = align.spelt_part(forms, data, special)
+        out["readings"] = None if out["array"] and out["pieces"] is None else len(out["pieces"] or [])
+    return out
+
+
+def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds read; other columns pass as they are."""
     for b in batches:
-        given = [b.column(c).to_pylist() for c in ("tokenizer", "text", "entries", "raws", "tools", "capped")]
-        rows = [dict(zip(names, _read(bpe.vocabulary(spec) if spec else None, *rest))) for spec, *rest in zip(*given)]
-        kept = [c for c in b.schema.names if c not in ("entries", "raws")]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(rows, READING)], names=[*kept, "read"])
+        rows = [_read(*x) for x in zip(*(b.column(c).to_pylist() for c in ("text", "tokenizer", "hole_tokens", "hole_raws", "hole_special")))]
+        yield b.append_column("read", pa.array(rows, _READ))
 
 
 def choices_of(captured: DataFrame, tokenizers: DataFrame) -> DataFrame:
-    """(exchange, host, time, model, ..., index, language, reported, answer, canonical, ...): a row for each choice.
+    """(exchange, host, time, model, ..., index, language, reported, answer, canonical, ...): a row for each choice, written once.
 
     captured has an `exchange` that names the row. tokenizers has (model, tokenizer): a spec for each model that has one.
     Responses without choices have no rows here; `records` brings them back.
     """
+    known = tokenizers.select("model", "tokenizer").where("tokenizer is not null")
+    traits = known.join(bpe.traits(known), "tokenizer")
     flat = audit.projected(captured, "exchange", "language", F.col("response.choices").alias("choice_list"))
-    flat = flat.join(tokenizers.select("model", "tokenizer"), "model", "left")
-    c = flat.select("*", F.explode("choice_list").alias("c")).drop("choice_list")
-    text = F.coalesce("c.message.content", F.lit(""))
+    cols = [x for x in flat.columns if x not in ("choice_list", "language")]
+    c = flat.join(traits, "model", "left").select("*", F.explode("choice_list").alias("c")).drop("choice_list")
     entries = F.col("c.logprobs.content")
     tools = F.coalesce(F.size("c.message.tool_calls") > 0, F.lit(False))
-    capped = F.coalesce(F.col("c.finish_reason") == "length", F.lit(False))
     reasoning = (F.coalesce("c.message.reasoning", F.lit("")) != "") | (F.coalesce("c.message.reasoning_content", F.lit("")) != "")
-    c = c.withColumns({"text": text, "tools": tools, "capped": capped, "entries": entries, "raws": F.transform(entries, entry_bytes)})
-    c = c.withColumn("reported", F.when(entries.isNotNull(), F.size(entries)).cast("long")).withColumn("index", F.coalesce("c.index", F.lit(0))).withColumn("reasoning", reasoning).drop("c")
-    kept = [f for f in c.schema if f.name not in ("entries", "raws")]
-    c = c.mapInArrow(read_choices, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), READ]))
-    cols = [x for x in flat.columns if x not in ("choice_list", "language")]
-    return c.select(
-        *cols, "index", F.coalesce("language", script_bucket(F.col("text"))).alias("language"), "reported", (F.col("read.end") - F.col("read.start")).cast("long").alias("answer"),
-        F.when(F.col("read.canonical").isNotNull(), F.size("read.canonical")).cast("long").alias("canonical"), F.col("read.array").alias("array"),
-        F.col("reasoning"), F.col("capped"), F.col("tools").alias("tool_calls"), F.col("read.readings").alias("readings"),
-        F.col("read.token_mismatch").alias("token_mismatch"), F.col("read.noncanonical").alias("noncanonical"), F.col("read.canonical").alias("canonical_ids"),
-        F.col("read.candidates").alias("candidates"), F.col("read.spans").alias("reading_spans"), F.coalesce("read.channels", F.lit(False)).alias("channels"),
-        F.col("read.reason").alias("reason"))
-
-
-def scored(choices: DataFrame, scores: DataFrame) -> DataFrame:
-    """Adds llr and spans to noncanonical choices: the best reading's log probability less the canonical one's.
-
-    scores has (model, token_id, logprob). An ambiguous position takes its most probable id (the first on ties); a reading
-    with more than MAX_AMBIGUOUS of them can't be resolved, which makes the choice unverifiable, as missing scores do.
-    Positions are joined by (model, id), never gathered by choice.
+    c = c.select(
+        *cols, "tokenizer", "special_tokens", "special_ids", "newline", F.coalesce("c.index", F.lit(0)).alias("index"), F.coalesce("c.message.content", F.lit("")).alias("text"), "language",
+        F.when(entries.isNotNull(), F.size(entries)).cast("long").alias("reported"), reasoning.alias("reasoning"), F.coalesce(F.col("c.finish_reason") == "length", F.lit(False)).alias("capped"),
+        tools.alias("tool_calls"), F.when(~tools, entries).alias("e"))
+    c = c.withColumns({"special": F.transform("e", _is_special), "raws": F.transform("e", entry_bytes), "hole": F.coalesce(align.has_hole(F.col("e")), F.lit(False))})
+    holed = lambda x: F.when(F.col("hole"), x)
+    only = F.transform("e", lambda e: F.when(~_holed(e), entry_bytes(e)))
+    c = c.withColumns({"hole_tokens": holed(F.transform("e", lambda e: F.coalesce(e["token"], F.lit("")))), "hole_raws": holed(only), "hole_special": holed(F.col("special"))})
+    c = c.mapInArrow(_read_batches, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema), READ]))
+    c = c.withColumn("cut", F.when(~F.col("hole") & F.col("e").isNotNull(), align.slice_of(F.col("e"), F.col("text"), F.col("special"))))
+    c = c.withColumns({k: F.coalesce(f"cut.{k}", f"read.{k}") for k in ("array", "start", "end")})
+    aligned = F.col("array").isNotNull()
+    answer = F.slice("e", F.col("start") + 1, F.col("end") - F.col("start"))
+    whole = F.array(F.slice("raws", F.col("start") + 1, F.col("end") - F.col("start")))
+    given = F.transform(answer, lambda e: F.coalesce(e["token_id"], F.regexp_extract(e["token"], "^token_id:([0-9]+)$", 1).try_cast("bigint")))
+    c = c.withColumns({
+        "readings": F.when(F.col("e").isNotNull() & ~aligned, 0).when(F.col("hole"), F.col("read.readings")).when(aligned, 1),
+        "pieces": F.when(F.col("hole"), F.col("read.pieces")).when(aligned, whole), "given": given, "tokens": F.transform(answer, lambda e: F.coalesce(e["token"], F.lit("")))})
+    sizes = F.transform("pieces", lambda r: F.transform(r, lambda b: F.octet_length(b)))
+    agree = F.forall(F.arrays_zip("given", "read.ids"), lambda x: F.coalesce(x["given"] == x["ids"], F.lit(True)))
+    same = F.exists("sizes", lambda r: r == F.col("read.bytes")) & agree
+    judged = aligned & F.col("read.ids").isNotNull() & ~F.col("capped") & F.coalesce(F.size("pieces") > 0, F.lit(False))
+    c = c.withColumn("sizes", sizes).withColumn("other", F.coalesce(judged & ~same, F.lit(False)))
+    kept = lambda x: F.when(F.col("other"), x)
+    c = stored(c.select(
+        *cols, "tokenizer", "newline", "index", F.coalesce("language", script_bucket(F.col("text"))).alias("language"), "reported", (F.col("end") - F.col("start")).cast("long").alias("answer"),
+        F.when(F.col("read.ids").isNotNull(), F.size("read.ids")).cast("long").alias("canonical"), "array", "reasoning", "capped", "tool_calls",
+        F.when(F.col("e").isNotNull(), F.col("readings")).alias("readings"), F.col("read.ids").alias("canonical_ids"), F.col("read.bytes").alias("canonical_bytes"),
+        F.coalesce(F.array_contains("special_tokens", CHANNEL), F.lit(False)).alias("channels"), "other", kept(F.col("pieces")).alias("pieces"), kept(F.col("sizes")).alias("reading_bytes"),
+        kept(F.col("given")).alias("given"), kept(F.col("tokens")).alias("tokens")))
+    c = c.join(_candidates(c.where("other"), known), ["exchange", "index"], "left")
+    mismatch = F.col("other") & F.col("candidates").isNull()
+    reason = (
+        F.when(F.col("tool_calls") | F.col("reported").isNull(), F.lit(None)).when(F.col("array").isNull(), "the entries do not spell the text")
+        .when(F.col("readings").isNull(), "too many readings").when(mismatch, "an entry is not a token of the vocabulary"))
+    return c.withColumns({"token_mismatch": mismatch, "noncanonical": F.col("other") & ~mismatch, "reason": reason}).drop("other", "pieces", "given", "tokens", "reading_bytes")
+
+
+def _holed(e: Column) -> Column:
+    return e["bytes"].isNull() & ~F.startswith(e["token"], F.lit("bytes:")) & F.contains(e["token"], F.lit(align.PLACEHOLDER))
+
+
+def _is_special(e: Column) -> Column:
+    by_id = F.array_contains("special_ids", e["token_id"].cast("int"))
+    return F.coalesce(F.when(e["token_id"].isNotNull(), by_id).otherwise(F.array_contains("special_tokens", F.coalesce(e["token"], F.lit("")))), F.lit(False))
+
+
+def _candidates(others: DataFrame, tokenizers: DataFrame) -> DataFrame:
+    """(exchange, index, candidates, candidate_bytes): of each reading with an id for every entry, the ids each entry may stand for.
+
+    An entry with an id stands for it if the bytes agree; else for all ids of its bytes, the encoder's own first; else for the
+    control token of its name. Distinct entries are looked up once.
+    """
+    r = others.select("exchange", "index", "tokenizer", "given", "tokens", F.posexplode("pieces").alias("reading", "p"))
+    r = r.select("exchange", "index", "reading", "tokenizer", F.posexplode(F.arrays_zip("p", "given", "tokens")).alias("at", "x"))
+    r = r.select("exchange", "index", "reading", "tokenizer", "at", F.col("x.p").alias("bytes"), F.col("x.given").cast("int").alias("given"), F.col("x.tokens").alias("token"))
+    r = r.withColumn("entry", F.concat_ws("|", "tokenizer", F.hex("bytes"), F.coalesce(F.col("given").cast("string"), F.lit("-")), "token"))
+    v = stored(bpe.vocabularies(tokenizers))
+    by_bytes = v.where("special is null").groupBy("tokenizer", "bytes").agg(F.sort_array(F.collect_list(F.struct("rank", "token_id"))).alias("of"))
+    by_bytes = by_bytes.select("tokenizer", "bytes", F.transform("of", lambda x: x["token_id"]).alias("same_bytes"))
+    by_id = v.select("tokenizer", F.col("token_id").alias("given"), F.col("bytes").alias("given_bytes"))
+    by_name = v.where("special is not null").select("tokenizer", F.col("special").alias("token"), F.array("token_id").alias("control"))
+    each = r.groupBy("entry").agg(F.first(F.struct("tokenizer", "bytes", "given", "token")).alias("e")).select("entry", "e.*")
+    each = each.join(by_bytes, ["tokenizer", "bytes"], "left").join(by_id, ["tokenizer", "given"], "left").join(by_name, ["tokenizer", "token"], "left")
+    ids = F.when(F.col("given").isNotNull(), F.when(F.col("given_bytes") == F.col("bytes"), F.array("given"))).otherwise(F.coalesce("same_bytes", "control"))
+    found = r.select("exchange", "index", "reading", "at", "bytes", "entry").join(each.select("entry", ids.alias("ids")), "entry")
+    per = found.groupBy("exchange", "index", "reading").agg(F.array_sort(F.collect_list(F.struct("at", "ids", F.octet_length("bytes").alias("n")))).alias("x"), F.bool_and(F.col("ids").isNotNull()).alias("whole"))
+    per = per.where("whole").select("exchange", "index", F.struct("reading", F.transform("x", lambda e: e["ids"]).alias("ids"), F.transform("x", lambda e: e["n"]).alias("bytes")).alias("r"))
+    g = per.groupBy("exchange", "index").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    return g.select("exchange", "index", F.transform("rs", lambda r: r["ids"]).alias("candidates"), F.transform("rs", lambda r: r["bytes"]).alias("candidate_bytes"))
+
+
+def readings_of(choices: DataFrame) -> DataFrame:
+    """(id, exchange, index, reading, model, candidates, bytes, canonical_ids, canonical_bytes, newline): a row for each reading of noncanonical choices."""
+    own = choices.where("noncanonical").select("exchange", "index", "model", "canonical_ids", "canonical_bytes", "newline", F.posexplode(F.arrays_zip("candidates", "candidate_bytes")).alias("reading", "x"))
+    name = F.concat_ws(":", "exchange", "index", "reading")
+    return own.select(name.alias("id"), "exchange", "index", "reading", "model", F.col("x.candidates").alias("candidates"), F.col("x.candidate_bytes").alias("bytes"), "canonical_ids", "canonical_bytes", "newline")
+
+
+def resolved_readings(choices: DataFrame, store: likelihood.WindowStore, scorer: likelihood.Scorer, settings: likelihood.Settings = likelihood.Settings()) -> DataFrame:
+    """readings_of with ids and unclear, written once."""
+    return stored(likelihood.resolved(readings_of(choices), store, scorer, settings))
+
+
+def scored(choices: DataFrame, readings: DataFrame, store: likelihood.WindowStore, scorer: likelihood.Scorer, settings: likelihood.Settings = likelihood.Settings()) -> DataFrame:
+    """Adds llr, spans and unresolved to choices, from their resolved readings: those of the reading with the highest ratio.
+
+    A choice with a reading that can't be resolved or scored can't be judged.
     """
-    own = choices.where("noncanonical").select("exchange", "index", "model", "canonical_ids", "candidates", "reading_spans")
-    each = own.select("exchange", "index", "model", F.posexplode("candidates").alias("reading", "ids"), "reading_spans")
-    unclear = F.size(F.filter("ids", lambda x: F.size(x) > 1)) > MAX_AMBIGUOUS
-    each = each.select("exchange", "index", "model", "reading", unclear.alias("unclear"), F.get("reading_spans", F.col("reading")).alias("spans"), F.posexplode("ids").alias("at", "of"))
-    each = each.select("exchange", "index", "model", "reading", "unclear", "spans", "at", F.posexplode("of").alias("nth", "token_id"))
-    pick = each.join(scores, ["model", "token_id"], "left").groupBy("exchange", "index", "reading", "unclear", "spans", "at").agg(F.max("logprob").alias("logprob"))
-    reading = pick.groupBy("exchange", "index", "reading", "unclear", "spans").agg(F.sum("logprob").alias("p"), (F.count("logprob") == F.count(F.lit(1))).alias("known"))
-    base = own.select("exchange", "index", "model", F.explode("canonical_ids").alias("token_id")).join(scores, ["model", "token_id"], "left")
-    base = base.groupBy("exchange", "index").agg(F.when(F.count("logprob") == F.count(F.lit(1)), F.sum("logprob")).alias("base"))
-    llr = F.col("p") - F.col("base")
-    best = reading.join(base, ["exchange", "index"]).groupBy("exchange", "index").agg(
-        F.max_by(F.struct(llr.alias("llr"), "spans"), llr).alias("best"), F.bool_or(F.col("unclear") | ~F.col("known") | F.col("base").isNull()).alias("unclear"))
+    llr = likelihood.ratios(readings.where(~F.col("unclear")), store, scorer, settings)
+    each = readings.select("id", "exchange", "index", "reading", "unclear").join(llr, "id", "left")
+    best = each.groupBy("exchange", "index").agg(
+        F.max_by(F.struct("llr", "spans"), F.struct("llr", -F.col("reading"))).alias("best"), F.bool_or(F.col("unclear") | F.col("llr").isNull()).alias("unclear"))
     out = choices.join(best, ["exchange", "index"], "left")
     fine = ~F.coalesce("unclear", F.lit(False))
     return out.withColumns({"llr": F.when(fine, F.col("best.llr")), "spans": F.when(fine, F.col("best.spans")), "unresolved": F.coalesce(F.col("noncanonical") & ~fine, F.lit(False))}).drop("best", "unclear")
 
 
+def unscored(choices: DataFrame) -> DataFrame:
+    """The same without a scorer: noncanonical choices can't be judged."""
+    return choices.withColumns({"llr": F.lit(None).cast("double"), "spans": F.lit(None).cast("int"), "unresolved": F.col("noncanonical")})
+
+
 def calibrated(choices: DataFrame, scores: DataFrame, meta: DataFrame, margins: DataFrame, alpha: float) -> DataFrame:
     """Adds tau, margin and mismatch: the threshold of a choice's key, the model's noise margin (0 by default), and why the
     calibration does not apply, if so. choices also have tokenizer, scorer, temperature, top_p, system."""
@@ -167,12 +198,15 @@ def scorer_is_audited(captured: DataFrame, scorers: DataFrame) -> DataFrame:
     return own.join(scorers, "model").where(F.parse_url("url", F.lit("HOST")) == F.col("host")).select("host", "model")
 
 
-def honest_scores(choices: DataFrame) -> DataFrame:
-    """(key, score) that calibrate the test, from scored choices of honest responses: 0 for canonical reports, else the ratio;
-    cut, unaligned and unverifiable ones are left out."""
+def usable(choices: DataFrame) -> DataFrame:
+    """Scored choices of honest responses that can calibrate the test: cut, unaligned and unverifiable ones are left out."""
     c = choices.where("not capped and not tool_calls and reported is not null and array is not null and readings is not null and canonical is not null")
-    c = c.where("not token_mismatch and not unresolved")
-    return c.select(calibration_key(F.col("model"), F.col("language")).alias("key"), F.when(F.col("noncanonical"), F.col("llr")).otherwise(0.0).alias("score"))
+    return c.where("not token_mismatch and not unresolved")
+
+
+def honest_scores(choices: DataFrame) -> DataFrame:
+    """(key, score) of usable choices: 0 for canonical reports, else the ratio."""
+    return usable(choices).select(calibration_key(F.col("model"), F.col("language")).alias("key"), F.when(F.col("noncanonical"), F.col("llr")).otherwise(0.0).alias("score"))
 
 
 def topics_by_templates(topics: DataFrame, templates: DataFrame, first: int, second: int, seed: int = 0) -> DataFrame:

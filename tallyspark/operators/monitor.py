@@ -1,15 +1,14 @@
 """Sequential endpoint tests over outcomes (key, seq, rejected, extra, tokens, p0), in arrival order of seq.
 
 With p0 constant the evidence depends on the counts alone, so a running sum replaces the loop; a change of p0 starts a new
-epoch with fresh counts. There are few endpoints and one may hold a third of all rows, so a key's range of seq is cut into
-parts of about PART_ROWS rows: counts run within a part, in a window by (key, part), and start from the sums of the parts
-before, of which there is one row each.
+epoch with fresh counts. There are few endpoints and one may hold a third of all rows, so a key is cut at quantiles of seq, taken
+from a mergeable sketch, into parts of about PART_ROWS rows: counts run within a part, in a window by (key, part), and start
+from the sums of the parts before, of which there is one row each.
 """
 
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +19,24 @@ from pyspark.sql import functions as F
 from tallyspark.functions import stats
 
 
-#: Rows of a key that are ordered in one task, about, where seq is spread evenly over its range.
-PART_ROWS = 1_000_000
+#: Rows of a key that are ordered in one task, about; a key has GRID parts at most, which grow with it beyond GRID * PART_ROWS rows.
+PART_ROWS, GRID = 1_000_000, 1_000
+#: Rank error of the sketch is one in this many rows: a fifth of the smallest part's share.
+ACCURACY = 5_000
 
 
 def parted(outcomes: DataFrame) -> DataFrame:
-    """Adds part: a number that grows with seq, per key."""
-    per = outcomes.groupBy("key").agg(F.min("seq").alias("_low"), F.max("seq").alias("_high"), F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("_parts"))
-    share = (F.col("seq") - F.col("_low")) / F.greatest((F.col("_high") - F.col("_low")).cast("double"), F.lit(1e-9))
-    part = F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
-    return outcomes.join(per, "key").withColumn("part", part).drop("_low", "_high", "_parts")
+    """Adds part: a number that grows with seq, per key. Cuts are quantiles, so bursts of seq are cut as finely as they are dense."""
+    grid = [i / GRID for i in range(1, GRID)]
+    per = outcomes.groupBy("key").agg(F.percentile_approx("seq", grid, ACCURACY).alias("_q"), F.ceil(F.count("seq") / PART_ROWS).alias("_n"))
+    parts = F.least(F.greatest(F.col("_n"), F.lit(1)), F.lit(GRID)).cast("int")
+    cuts = F.transform(F.sequence(F.lit(1), parts - 1), lambda i: F.get("_q", F.round(i * GRID / parts).cast("int") - 1))
+    per = per.select("key", F.when(parts > 1, F.array_distinct(cuts)).otherwise(F.slice("_q", 1, 0)).alias("_cuts"))
+    # every 32nd cut first, then those between: few comparisons a row for any number of parts
+    per = per.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % 32 == 31))
+    block = F.size(F.filter("_coarse", lambda c: c < F.col("seq"))) * 32
+    part = block + F.size(F.filter(F.slice("_cuts", block + 1, F.lit(31)), lambda c: c < F.col("seq")))
+    return outcomes.join(per, "key").withColumn("part", F.when(F.col("seq").isNull(), -1).otherwise(part).cast("long")).drop("_cuts", "_coarse")
 
 
 def before(parts: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
@@ -103,37 +110,48 @@ def batch_excess(batches: DataFrame, rule: DataFrame) -> DataFrame:
     return j.select("key", "host", "batch", "n", "gap", "canonical", F.greatest(F.lit(0), F.bround(excess, 0)).cast("long").alias("excess"), (F.col("gap") + F.col("canonical")).alias("tokens"))
 
 
-def permutation_p(batch: list[tuple[float, float]], reference: list[float], margin: float, permutations: int = 2000, seed: int = 0) -> float:
+#: Most values that numpy draws from without replacement; beyond, with or without makes no difference that 2,000 draws could show.
+MOST = 10**9 - 1
+#: Counts of distinct values that are drawn at a time.
+CELLS = 1_000_000
+
+
+def permutation_p(batch: list[tuple[float, float]], reference: list[tuple[float, int]], margin: float, permutations: int = 2000, seed: int = 0) -> float:
     """One-sided permutation test that gaps less a share of canonical tokens exceed the reference on average.
 
-    Fixed, so that p-values agree for the same data: the seed, the generator, the order (batch, then reference), one shuffle
-    a permutation of what the last one left, and the tolerance.
+    reference has (gap, how often). A permutation puts as many of all values as the batch has into the first group, so the
+    number of each distinct value there is a multivariate hypergeometric draw: work grows with distinct values, not with rows.
     """
-    own = [g - margin * c for g, c in batch]
-    every, n, m = own + list(map(float, reference)), len(own), len(reference)
-    whole = sum(every)
-    observed = sum(own) / n - sum(every[n:]) / m
-    draw, hits = random.Random(seed), 0
-    for _ in range(permutations):
-        draw.shuffle(every)
-        first = sum(every[:n])
-        hits += first / n - (whole - first) / m >= observed - 1e-12
+    own = np.array([g - margin * c for g, c in batch])
+    distinct, times = (np.array(x) for x in zip(*reference))
+    n, m = len(own), int(times.sum())
+    values = np.concatenate([own, distinct.astype(float)])
+    counts = np.concatenate([np.ones(n, np.int64), times.astype(np.int64)])
+    draw = np.random.default_rng(seed)
+    sums, rows = [], max(1, CELLS // len(counts))
+    for done in range(0, permutations, rows):
+        k = min(rows, permutations - done)
+        first = draw.multivariate_hypergeometric(counts, n, size=k, method="marginals") if n + m <= MOST else draw.multinomial(n, counts / counts.sum(), size=k)
+        sums.append(first @ values)
+    sums = np.concatenate(sums)
+    whole = float(own.sum() + (distinct * times).sum())
+    observed = own.sum() / n - (whole - own.sum()) / m
+    hits = int((sums / n - (whole - sums) / m >= observed - 1e-9 * max(1.0, abs(observed))).sum())
     return (hits + 1) / (permutations + 1)
 
 
 def batch_pvalues(gaps: DataFrame, reference: DataFrame, size: int = 100, margin: float = 0.0005, permutations: int = 2000) -> DataFrame:
     """(key, batch, p_value) of full batches. A batch has `size` rows. The reference is a key's calibration set, held as a
-    count for each distinct gap (gaps are small whole numbers) and laid out in order of the gap where it is used."""
+    count for each distinct gap (gaps are small whole numbers), and is never laid out. Draws are seeded by the batch's number."""
     b = numbered(gaps).withColumn("batch", F.floor((F.col("nth") - 1) / size))
     per = b.groupBy("key", "batch").agg(F.array_sort(F.collect_list(F.struct("seq", "gap", "canonical"))).alias("rows")).where(F.size("rows") == size)
     ref = reference.groupBy("key", "gap").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("gap", "n"))).alias("reference"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            p = []
-            for rows, counts in zip(f["rows"], f["reference"]):
-                whole = [c["gap"] for c in counts for _ in range(c["n"])]
-                p.append(permutation_p([(r["gap"], r["canonical"]) for r in rows], whole, margin, permutations))
+            p = [
+                permutation_p([(r["gap"], r["canonical"]) for r in rows], [(c["gap"], c["n"]) for c in counts], margin, permutations, int(batch))
+                for batch, rows, counts in zip(f["batch"], f["rows"], f["reference"])]
             yield pd.DataFrame({"key": f["key"], "batch": f["batch"], "p_value": p})
 
     return per.join(ref, "key").select("key", "batch", "rows", "reference").mapInPandas(run, "key string, batch long, p_value double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import bpe, stats, tokens
-from tallyspark.operators import align, audit, calibration, exchange, matching, monitor, report
+from tallyspark.operators import align, audit, calibration, exchange, likelihood, matching, monitor, report
 from tallyspark.operators import ledger as lg
 from tallyspark.plans.adapters import BIG, CAPTURED, EXCHANGE_MODELS, LEDGER, OUTCOMES, PAIRS, TOK, big_ledger, captured, exchanges, ledger, outcomes, table
 from tallyspark.streaming import sse
@@ -657,7 +657,9 @@ def q67(spark, d):
     x = exchanges(spark, d)
     known = spark.createDataFrame(EXCHANGE_MODELS, "model string, tokenizer string")
     scores = spark.createDataFrame([(m, i, -5.0 if i < 256 else -6.0) for m, _ in EXCHANGE_MODELS for i in range(256 + len(PAIRS))], "model string, token_id int, logprob double")
-    c = exchange.scored(exchange.choices_of(x, known).withColumn("scorer", F.lit("s")), scores)
+    c, store = exchange.choices_of(x, known).withColumn("scorer", F.lit("s")), likelihood.WindowStore(spark)
+    scorer = likelihood.id_scorer(scores)
+    c = exchange.scored(c, exchange.resolved_readings(c, store, scorer), store, scorer)
     keys = [f"{m}|{lang}" for m, _ in EXCHANGE_MODELS for lang in ("latin", "none", "cjk", "cyrillic", "arabic", "devanagari")]
     honest = spark.createDataFrame([(k, float(-2 if n < 2 else 0)) for k in keys for n in range(120)], "key string, score double")
     meta = spark.createDataFrame([(k, dict(EXCHANGE_MODELS)[k[:2]], "s", 1.0, 1.0, None) for k in keys], "key string, tokenizer string, scorer string, temperature double, top_p double, system string")
@@ -666,3 +668,35 @@ def q67(spark, d):
     r = exchange.records(x, judged)
     one = F.col("choices")[0]
     return r.select("exchange", *[one[k].alias(k) for k in ("reported", "canonical", "array", "noncanonical", "llr", "verdict")], F.col("billed_minus_reported").cast("int").alias("billed_minus_reported"))
+
+
+#: Ids of the vocabulary as hexadecimal bytes, of user turns and of assistant turns; pairs of ids that follow each other in the former.
+IDS = """ids AS (SELECT conv_id, turn, role, list_transform(regexp_extract_all(text, 'th|he|in|er|[\\x00-\\x7F]|[^\\x00-\\x7F]'), lambda x: CASE WHEN length(x) = 1 THEN regexp_extract_all(hex(encode(x)), '..') ELSE [hex(encode(x))] END) AS parts FROM conversations),
+flat AS (SELECT conv_id, turn, role, flatten(parts) AS c FROM ids),
+follow AS (SELECT CASE WHEN k = 1 THEN '0A' ELSE c[k - 1] END AS a, c[k] AS b FROM (SELECT c, unnest(range(1, len(c) + 1)) AS k FROM flat WHERE role = 'user')),
+pairs AS (SELECT a, b, ln(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY a)) AS p FROM follow GROUP BY a, b)"""
+
+
+@query("q68_context_likelihood", f"""WITH {IDS},
+own AS (SELECT conv_id * 100 + turn AS exchange, c FROM flat WHERE role = 'assistant' AND conv_id % 3 = 0 AND conv_id % 5 <> 0 AND conv_id % 11 <> 0 AND turn % 4 <> 3),
+places AS (SELECT exchange, c, k, CASE WHEN k = 1 THEN '0A' ELSE c[k - 1] END AS a, c[k] AS b, c[k + 1] AS z FROM (SELECT exchange, c, unnest(range(1, len(c) + 1)) AS k FROM own) WHERE length(c[k]) = 4),
+steps AS (SELECT exchange, k, unnest([{{'w': 1, 'a': a, 'b': b[1:2]}}, {{'w': 1, 'a': b[1:2], 'b': b[3:4]}}, {{'w': 1, 'a': b[3:4], 'b': z}}, {{'w': -1, 'a': a, 'b': b}}, {{'w': -1, 'a': b, 'b': z}}]) AS s FROM places)
+SELECT exchange, round(sum(s.w * coalesce(p, -9)), 6) AS llr, CAST(count(DISTINCT k) AS INTEGER) AS spans FROM steps LEFT JOIN pairs ON pairs.a = s.a AND pairs.b = s.b WHERE s.b IS NOT NULL GROUP BY exchange""")
+def q68(spark, d):
+    """Responses of a provider that reports byte by byte, judged by a model of pairs of ids that is trained on the user turns."""
+    known = spark.createDataFrame(EXCHANGE_MODELS, "model string, tokenizer string")
+    c = exchange.choices_of(exchanges(spark, d), known)
+    users = table(spark, d, "conversations").where("role = 'user'").select(bpe.canonical_ids(F.encode("text", "UTF-8"), EXCHANGE_MODELS[0][1])["ids"].alias("ids"))
+    follow = users.select(F.posexplode("ids").alias("at", "token_id"), "ids").select(F.when(F.col("at") == 0, 10).otherwise(F.get("ids", F.col("at") - 1)).alias("before"), "token_id")
+    scorer = likelihood.pair_scorer(pair_logprobs(follow, [m for m, _ in EXCHANGE_MODELS]), unseen=-9.0)
+    store = likelihood.WindowStore(spark)
+    scored = exchange.scored(c, exchange.resolved_readings(c, store, scorer), store, scorer)
+    return scored.where("noncanonical").select("exchange", F.round("llr", 6).alias("llr"), "spans")
+
+
+def pair_logprobs(follow: DataFrame, models: list[str]) -> DataFrame:
+    """(model, before, token_id, logprob) from (before, token_id): how often an id follows another, the same for all models."""
+    n = follow.groupBy("before", "token_id").agg(F.count(F.lit(1)).alias("n"))
+    whole = n.groupBy("before").agg(F.sum("n").alias("whole"))
+    p = n.join(whole, "before").withColumn("logprob", F.log(F.col("n") / F.col("whole")))
+    return p.select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), "before", "token_id", "logprob")

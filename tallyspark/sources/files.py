@@ -8,6 +8,8 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.sources import store
+
 CAPTURED = """host STRING, time DOUBLE, language STRING,
 request STRUCT<model: STRING, max_tokens: BIGINT, max_completion_tokens: BIGINT, temperature: DOUBLE, top_p: DOUBLE, stream: BOOLEAN,
   messages: ARRAY<STRUCT<role: STRING, content: STRING>>>,
@@ -24,13 +26,34 @@ POLICY = {"alpha": 0.01, "tolerance": 3.0, "confidence": 1e-6, "min_overcharge":
 SETTINGS = POLICY | {"count_rules": True, "batch_size": 100, "batch_alpha": 0.05, "batch_margin": 0.0005, "guess_hf": True}
 
 
-#: Patterns of model names for which a tokenizer is known (names of public vocabularies, to be opened by an entry of bpe.OPENERS).
+#: Patterns of model names for which a tokenizer is known (fixed values; names of public vocabularies, to be opened by an entry
+#: of bpe.OPENERS).
 BUNDLED = {
     "tokenizers": {
-        "gpt-4o*": "tiktoken:o200k_base", "gpt-4.1*": "tiktoken:o200k_base", "o1*": "tiktoken:o200k_base", "o3*": "tiktoken:o200k_base", "o4*": "tiktoken:o200k_base",
-        "gpt-4*": "tiktoken:cl100k_base", "gpt-3.5*": "tiktoken:cl100k_base", "*gpt-oss*": "tiktoken:o200k_harmony",
+        "gpt-4o*": "tiktoken:o200k_base",
+        "chatgpt-4o*": "tiktoken:o200k_base",
+        "gpt-4.1*": "tiktoken:o200k_base",
+        "gpt-4.5*": "tiktoken:o200k_base",
+        "gpt-5*": "tiktoken:o200k_base",
+        "o1*": "tiktoken:o200k_base",
+        "o3*": "tiktoken:o200k_base",
+        "o4*": "tiktoken:o200k_base",
+        "gpt-4*": "tiktoken:cl100k_base",
+        "gpt-3.5*": "tiktoken:cl100k_base",
+        "openai/gpt-4o*": "tiktoken:o200k_base",
+        "openai/gpt-4.1*": "tiktoken:o200k_base",
+        "openai/gpt-5*": "tiktoken:o200k_base",
+        "openai/o1*": "tiktoken:o200k_base",
+        "openai/o3*": "tiktoken:o200k_base",
+        "openai/o4*": "tiktoken:o200k_base",
+        "openai/gpt-4*": "tiktoken:cl100k_base",
+        "openai/gpt-3.5*": "tiktoken:cl100k_base",
+        "*gpt-oss-*": "tiktoken:o200k_harmony",
+        "meta-llama/meta-llama-3.1-8b-instruct*": "hf:meta-llama/Llama-3.1-8B-Instruct",
+        "meta-llama/llama-3.1-8b-instruct*": "hf:meta-llama/Llama-3.1-8B-Instruct",
+        "accounts/fireworks/models/llama-v3p1-8b-instruct": "hf:meta-llama/Llama-3.1-8B-Instruct",
     },
-}
+}
 
 
 def captured(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +92,7 @@ def append_audit(audit: DataFrame, path: str) -> None:
 
 def read_audit(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An audit log, empty if nothing was written yet."""
-    return spark.read.schema(schema).json(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path) if store.exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def settings(path: str | None = None, variable: str = "TALLYSPARK_CONFIG", **changes: object) -> dict[str, object]:
@@ -123,40 +146,53 @@ CALIBRATION = {
 }
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def _columns(name: str) -> list[str]:
+    return [c.split()[0] for c in CALIBRATION[name].split(", ")]
 
 
-def _put(tables: dict[str, DataFrame], path: str | None, mode: str) -> None:
+def _path(path: str | None) -> str:
     if not path:
         raise ValueError("a calibration needs a path to be written to")
-    for name, df in tables.items():
-        df.select(*[c.split()[0] for c in CALIBRATION[name].split(", ")]).write.mode(mode).parquet(f"{path}/{name}")
+    return path
 
 
 def write_calibration(tables: dict[str, DataFrame], path: str | None) -> None:
     """scores, gaps, margins and meta, each replaced as a whole. A path is needed."""
-    _put(tables, path, "overwrite")
+    for name, df in tables.items():
+        df.select(*_columns(name)).write.mode("overwrite").parquet(f"{_path(path)}/{name}")
+
+
+def append_calibration(tables: dict[str, DataFrame], path: str | None, batch: str | None = None) -> None:
+    """Adds rows to tables of a calibration, as a batch: the same rows again, or another batch of the same name, take its place."""
+    for name, df in tables.items():
+        store.add_batch(df.select(*_columns(name)), f"{_path(path)}/{name}", batch)
+
+
+#: Tables that hold one row a key, which is replaced: the largest by these columns stays.
+KEYED = {"margins": (["model"], ["margin"]), "meta": (["key"], ["key"])}
 
 
-def append_calibration(tables: dict[str, DataFrame], path: str | None) -> None:
-    """Adds rows to tables of a calibration."""
-    _put(tables, path, "append")
+def upsert_calibration(name: str, rows: DataFrame, path: str | None) -> None:
+    """Margins are only ever raised; settings of a key are the same by the time they get here (see calibration.conflicts)."""
+    keys, order = KEYED[name]
+    store.Versioned(rows.sparkSession, f"{_path(path)}/{name}_versions", CALIBRATION[name]).upsert(rows, keys, order)
 
 
 def read_calibration(spark: SparkSession, path: str | None) -> dict[str, DataFrame]:
-    """The four tables; those that were never written are empty."""
-    return {
-        name: spark.read.schema(schema).parquet(f"{path}/{name}") if path and _exists(spark, f"{path}/{name}") else spark.createDataFrame([], schema)
+    """The four tables; those that were never written are empty. A model's margin is the largest that was written."""
+    out = {
+        name: spark.read.schema(schema).parquet(f"{path}/{name}") if path and store.exists(spark, f"{path}/{name}") else spark.createDataFrame([], schema)
         for name, schema in CALIBRATION.items()}
+    for name in KEYED if path else ():
+        out[name] = out[name].unionByName(store.Versioned(spark, f"{path}/{name}_versions", CALIBRATION[name]).read())
+    return out | {"margins": out["margins"].groupBy("model").agg(F.max("margin").alias("margin")), "meta": out["meta"].distinct()}
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """The newest monitor state of each key, from what streaming.endpoint.keep_state has written; empty if nothing was."""
     from tallyspark.streaming.endpoint import OUT
 
-    if not _exists(spark, path):
+    if not store.exists(spark, path):
         return spark.createDataFrame([], OUT)
     rows = spark.read.schema(OUT + ", batch long").parquet(path)
     cols = [c for c in rows.columns if c not in ("key", "batch")]

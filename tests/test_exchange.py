@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import bpe
-from tallyspark.operators import align, audit, calibration, exchange
+from tallyspark.operators import align, audit, calibration, exchange, likelihood
 from tallyspark.plans.adapters import pairs_vocabulary
 from tallyspark.sources import files
 
@@ -63,11 +63,17 @@ def test_unknown_model_has_no_canonical_counts(spark):
     assert (c["canonical"], c["reported"], c["array"]) == (None, 2, "content")
 
 
+def scored_by_id(spark, c, scores):
+    scorer = likelihood.id_scorer(spark.createDataFrame([("m", i, p) for i, p in scores.items()], "model string, token_id int, logprob double"))
+    store = likelihood.WindowStore(spark)
+    return exchange.scored(c, exchange.resolved_readings(c, store, scorer), store, scorer)
+
+
 def judged(spark, given, scores, honest=None, meta=None, margin=0.25):
     known = spark.createDataFrame([("m", SPEC)], "model string, tokenizer string")
     x = captured(spark, given)
     c = exchange.choices_of(x, known).withColumn("scorer", F.lit("s"))
-    s = exchange.scored(c, spark.createDataFrame([("m", i, p) for i, p in scores.items()], "model string, token_id int, logprob double"))
+    s = scored_by_id(spark, c, scores)
     cal = spark.createDataFrame(honest or [], "key string, score double")
     m = spark.createDataFrame(meta or [], files.CALIBRATION["meta"])
     v = exchange.verdicts(exchange.calibrated(s, cal, m, spark.createDataFrame([("m", margin)], "model string, margin double"), 0.1))
@@ -95,7 +101,7 @@ def test_honest_scores_and_scorer_host(spark):
     scores = {i: -4.0 if i < 256 else -5.0 for i in range(261)}
     known = spark.createDataFrame([("m", SPEC)], "model string, tokenizer string")
     x = captured(spark, [("the", [entry("t"), entry("h"), entry("e")], "stop", None, False), ("the", [entry("th"), entry("e")], "stop", None, False), ("the", [entry("th")], "length", None, False), ("q", None, "stop", None, False)])
-    c = exchange.scored(exchange.choices_of(x, known), spark.createDataFrame([("m", i, p) for i, p in scores.items()], "model string, token_id int, logprob double"))
+    c = scored_by_id(spark, exchange.choices_of(x, known), scores)
     assert sorted(tuple(r) for r in exchange.honest_scores(c).collect()) == [("m|latin", -3.0), ("m|latin", 0.0)]
     urls = spark.createDataFrame([("m", "https://h/v1"), ("n", "https://z/v1")], "model string, url string")
     assert [tuple(r) for r in exchange.scorer_is_audited(x, urls).collect()] == [("h", "m")]
@@ -141,9 +147,9 @@ def test_canonical_encoding_of_any_bytes(spark):
         special.canonical(b"\xff")
     with pytest.raises(bpe.Unverifiable, match="spell"):
         bpe.Vocabulary("b", lambda t: [1], {1: b"x"}, {}, {}).canonical(b"y")
-    assert special.ids_of("<e>", None, b"<e>") == [7] and special.ids_of("q", None, b"q") is None and special.is_special("<e>", None) and special.is_special("", 7)
+    assert list(special.rows()) == [(7, b"<e>", "<e>", 0)]
     two = bpe.Vocabulary("t", lambda t: [2], {1: b"a", 2: b"a"}, {}, {})
-    assert two.ids_of("a", None, b"a") == [2, 1] and two.ids_of("a", 1, b"a") == [1] and two.ids_of("a", 1, b"b") is None
+    assert list(two.rows()) == [(1, b"a", None, 1), (2, b"a", None, 0)]
     rows = spark.createDataFrame([(0, b"the"), (1, b"\xff\xfe"), (2, None)], "i int, b binary")
     got = {r["i"]: (r["c"]["ids"], r["c"]["error"]) for r in rows.select("i", bpe.canonical_ids(F.col("b"), SPEC).alias("c")).collect()}
     assert got == {0: ([256, 101], None), 1: ([255, 254], None), 2: ([], None)}
@@ -166,16 +172,8 @@ def test_public_vocabularies_spell_every_text():
                 assert name.endswith(".model")  # it writes a blank in front of words
                 continue
             assert b"".join(v.pieces[i] for i in ids) == data
-            assert all(i in v.by_bytes[v.pieces[i]] for i in ids)
-
-
-def test_ambiguous_readings(spark):
-    """Of two ids with the same bytes the more probable one counts; with too many such places the choice can't be judged."""
-    row = [(1, 0, "m", True, [5], [[[1, 2], [3]]], [1], "k"), (2, 0, "m", True, [5], [[[1, 2]] * 9], [1], "k"), (3, 0, "m", False, [5], None, None, "k")]
-    c = spark.createDataFrame(row, "exchange long, index int, model string, noncanonical boolean, canonical_ids array<int>, candidates array<array<array<int>>>, reading_spans array<int>, key string")
-    scores = spark.createDataFrame([("m", 1, -9.0), ("m", 2, -1.0), ("m", 3, -2.0), ("m", 5, -1.5)], "model string, token_id int, logprob double")
-    got = {r["exchange"]: (r["llr"], r["spans"], r["unresolved"]) for r in exchange.scored(c, scores).collect()}
-    assert got == {1: (-1.5, 1, False), 2: (None, None, True), 3: (None, None, False)}
+            rows = {i: (data, special) for i, data, special, _ in v.rows()}
+            assert all(rows[i] == (v.pieces[i], None) for i in ids)
 
 
 def test_topics_by_templates(spark):
@@ -217,9 +215,7 @@ def test_facade(spark, tmp_path):
     """Calibrated on honest responses, a padded one is rejected and an honest one passes; counts are calibrated from the audit."""
     from tallyspark.facade import Ledger
 
-    def scorer(ids):
-        return ids.select("model", "token_id", F.when(F.col("token_id") < 256, -4.0).otherwise(-5.0).alias("logprob"))
-
+    scorer = likelihood.id_scorer(spark.createDataFrame([("m", i, -4.0 if i < 256 else -5.0) for i in range(261)], "model string, token_id int, logprob double"))
     own = Ledger(spark, config="", tokenizers={"m": SPEC}, calibration_path=f"file://{tmp_path}/cal", scorer=scorer, scorer_name="s", alpha=0.1)
     fair = ("the", [entry("th"), entry("e")], "stop", None, False)
     assert own.calibrate(captured(spark, [fair] * 20, usage=40)) == 20

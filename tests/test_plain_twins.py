@@ -136,11 +136,21 @@ def test_streams_cut_at_any_byte(spark, tmp_path):
 
 def test_caller_view(spark):
     own = 'data: {"choices":[{"index":0,"delta":{"content":"x"},"logprobs":{"content":[{"token":"x","bytes":[1]}]}}],"usage":null}'
-    rows = [(1, own), (2, 'data: {"choices":[],"usage":{"completion_tokens":3,"completion_tokens_details":{"reasoning_tokens":1}}}'), (3, "data: [DONE]")]
+    nested = {"id": "7", "choices": [{"index": k, "delta": {"content": "}{"}, "logprobs": {"content": [{"token": "{", "logprob": -1.5, "top_logprobs": [{"token": '}"', "bytes": [125]}]}]}} for k in (0, 1)], "usage": {"completion_tokens": 4}}
+    rows = [
+        (1, own), (2, 'data: {"choices":[],"usage":{"completion_tokens":3,"completion_tokens_details":{"reasoning_tokens":1}}}'), (3, "data: [DONE]"), (4, "data: " + json.dumps(nested)),
+        (5, 'data: {"choices":[{"index":0,  "logprobs":null}],"usage":null}'), (6, ": ping"), (7, 'data: {"error":{"logprobs":{"x":1}}}'), (8, "data: not json {"), (9, 'data: {"choices":[],"usage":{}}'),
+    ]
     e = spark.createDataFrame(rows, "seq int, raw string")
+    raw = dict(rows)
     seen = {r["seq"]: r["raw"] for r in sse.caller_view(e, F.lit(True), F.lit(True)).collect()}
-    assert sorted(seen) == [1, 3] and '"logprobs":null' in seen[1] and '"content":"x"' in seen[1] and seen[3] == "data: [DONE]"
-    assert {r["seq"]: r["raw"] for r in sse.caller_view(e, F.lit(False), F.lit(False)).collect()} == dict(rows)
+    assert sorted(seen) == [1, 3, 4, 5, 6, 7, 8, 9] and '"logprobs":null' in seen[1] and '"content":"x"' in seen[1]
+    assert all(seen[k] == raw[k] for k in (3, 5, 6, 7, 8))
+    want = nested | {"usage": None, "choices": [c | {"logprobs": None} for c in nested["choices"]]}
+    assert json.loads(seen[4].removeprefix("data: ")) == want
+    some = {r["seq"]: r["raw"] for r in sse.caller_view(e, F.lit(False), F.lit(True)).collect()}
+    assert sorted(some) == [r[0] for r in rows] and json.loads(some[4].removeprefix("data: "))["usage"] == {"completion_tokens": 4}
+    assert {r["seq"]: r["raw"] for r in sse.caller_view(e, F.lit(False), F.lit(False)).collect()} == raw
 
 
 def test_states_alerts_and_warnings(spark, tmp_path):
@@ -236,7 +246,7 @@ def test_reports(spark):
 
 def test_windows_and_readings(spark):
     ids = spark.createDataFrame([(list(range(40)), 35, 37), (list(range(40)), 2, 3)], "ids array<int>, lo int, hi int")
-    got = [tuple(r[0]) for r in ids.select(align.windows_around(F.col("ids"), F.col("lo"), F.col("hi"), 4, 2)).collect()]
+    got = [tuple(r[0]) for r in ids.select(align.window_around(F.col("ids"), F.col("lo"), F.col("hi"), 4, 2)).collect()]
     assert got == [([31, 32, 33, 34], [37, 38]), ([0, 1], [3, 4])]
     s = spark.createDataFrame([(1, 0, -3.0, 2), (1, 1, -1.0, 1), (1, 2, -1.0, 5)], "id long, reading int, llr double, spans int")
     assert [tuple(r) for r in align.best_reading(s).collect()] == [(1, 1, -1.0, 1)]

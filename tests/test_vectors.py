@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -74,12 +75,64 @@ def test_monitor_flags_soon_and_restarts_on_new_p0(spark):
     assert got[0][0] <= 8 and got[0][1] == 10 and got[1][1] == 4
 
 
+def counted(values):
+    return sorted(Counter(values).items())
+
+
 def test_permutation_test():
     draw = random.Random(6)
-    honest = [draw.choice((0, 0, 0, 1, 2)) for _ in range(70)]
+    honest = counted(draw.choice((0, 0, 0, 1, 2)) for _ in range(70))
     fresh = [draw.choice((0, 0, 0, 1, 2)) for _ in range(40)]
     assert monitor.permutation_p([(g, 50) for g in fresh], honest, 0.0, 500) > 0.05
     assert monitor.permutation_p([(g + 2, 50) for g in fresh], honest, 0.001, 500) < 0.01
+    assert monitor.permutation_p([(0, 0)] * 5, [(0, 3)], 0.0, 50) == 1.0
+    assert monitor.permutation_p([(3, 0)] * 100, [(0, 4 * 10**9), (3, 10)], 0.0, 50) == 1 / 51
+
+
+def exact_p(batch, reference, shift):
+    """The chance that a random group of the batch's size has at least its sum, by convolution: one own value is its gap less a constant shift."""
+    n, m = len(batch), sum(t for _, t in reference)
+    ways = {(0, 0): 1}  # (own values, sum of gaps) -> subsets of the batch
+    for g in batch:
+        more = dict(ways)
+        for (k, s), w in ways.items():
+            more[k + 1, s + g] = more.get((k + 1, s + g), 0) + w
+        ways = more
+    rest = {(0, 0): 1}
+    for g, t in reference:
+        more = {}
+        for (k, s), w in rest.items():
+            for j in range(min(t, n - k) + 1):
+                more[k + j, s + j * g] = more.get((k + j, s + j * g), 0) + w * math.comb(t, j)
+        rest = more
+    by_size = {}
+    for (k, s), w in rest.items():
+        by_size.setdefault(k, []).append((s, w))
+    bar = sum(batch) - n * shift
+    hit = sum(w * v for (k, s), w in ways.items() for t, v in by_size.get(n - k, []) if s + t - k * shift >= bar - 1e-9)
+    return hit / math.comb(n + m, n)
+
+
+def test_permutation_test_is_exact_on_average():
+    draw = random.Random(8)
+    for _ in range(6):
+        reference = counted(draw.choices((0, 1, 2), (6, 2, 1), k=50))
+        batch = draw.choices((0, 1, 2), (5, 2, 2), k=12)
+        p = exact_p(batch, reference, 0.05)
+        got = monitor.permutation_p([(g, 100) for g in batch], reference, 0.0005, 20_000)
+        assert abs(got - p) < 4 * math.sqrt(max(p * (1 - p), 1e-4) / 20_000) + 1e-4
+
+
+def test_parts_of_a_burst_are_even(spark, monkeypatch):
+    """99 % of the rows lie within 1 % of the range of seq; ids are unique."""
+    monkeypatch.setattr(monitor, "PART_ROWS", 500)
+    df = spark.range(40_000).select(F.lit("k").alias("key"), F.when(F.col("id") % 100 == 0, F.col("id") * 1_000).otherwise(20_000_000 + F.col("id")).alias("seq"), F.lit(1).alias("x"))
+    p = monitor.parted(df)
+    sizes = [r["count"] for r in p.groupBy("part").count().collect()]
+    assert len(sizes) == 80 and max(sizes) <= 1_000 and sum(sizes) == 40_000
+    assert p.groupBy("part").agg(F.min("seq").alias("a"), F.max("seq").alias("z")).orderBy("part").selectExpr("a > coalesce(lag(z) over (order by part), -1) as ok").where("not ok").count() == 0
+    n = monitor.numbered(df.unionByName(spark.createDataFrame([("one", 5, 1)], "key string, seq long, x int")))
+    assert n.where("key = 'k'").orderBy("seq").select("nth").limit(3).collect() == [(1,), (2,), (3,)] and n.where("key = 'one'").first()["nth"] == 1
 
 
 def test_count_rule(spark):
