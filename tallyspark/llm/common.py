@@ -97,21 +97,13 @@ def split_heavy(classes: DataFrame, key: str, rows: str, total: int, share: int
 def join_classes(left: DataFrame, classes: DataFrame, key: str, rows: str, total: int) -> DataFrame:
     """Left join of many rows to one row per key, where one key may hold a third of the rows.
 
-    Heavy keys (at most 1,000 by count) are joined by broadcast; the rows they matched get a key of their own in the
-    shuffled join of the rest, so that no task gets more than its share. That key is a hash of the whole row: a task that
-    runs again after an executor was lost sends every row where it went before.
+    Rows of heavy keys (at most 1,000 by count) are joined by broadcast and never shuffled, however often a row repeats; the
+    others take a shuffled join, in which no key has more than a thousandth of the rows. left is read for either.
     """
     heavy, light = split_heavy(classes, key, rows, total)
-    cols = [c for c in classes.columns if c != key]
-    h = heavy.select(F.col(key), *[F.col(c).alias(f"_h_{c}") for c in cols])
-    own = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
-    out = left.join(F.broadcast(h), key, "left")
-    out = out.withColumn(
-        "_key", F.when(F.col(f"_h_{rows}").isNull(), F.col(key).cast("string")).otherwise(F.concat(F.lit("~"), own.cast("string")))
-    )
-    lt = light.select(F.col(key).cast("string").alias("_key"), *[F.col(c).alias(f"_l_{c}") for c in cols])
-    out = out.join(lt, "_key", "left")
-    return out.select(*left.columns, *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_l_{c}")).alias(c) for c in cols])
+    keys = F.broadcast(heavy.select(key))
+    return left.join(F.broadcast(heavy), key).select(*[F.col(f"`{c}`") for c in left.columns], *[c for c in classes.columns if c != key]).unionByName(
+        left.join(keys, key, "left_anti").join(light, key, "left"))
 
 
 #: Bits of the largest key filter: 128 MB when broadcast.

@@ -135,7 +135,9 @@ def collisions(docs: DataFrame, state: DataFrame, key: Callable[[Column], Column
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
     texts = maybe_among(with_digest(docs, key).drop("sha"), "digest", multi.select("digest"), groups).where("_maybe").drop("_maybe")
     hits = join_classes(texts, multi, "digest", "group_size", total).where(F.col("group_size").isNotNull())
-    hits = stored(hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")))
+    # a number of its own deals each row, also rows that repeat both identifier and text; it is fixed once it is written
+    dealt = F.pmod(F.xxhash64("locator", F.monotonically_increasing_id()), salts)
+    hits = stored(hits.withColumn("salt", dealt.cast("int")))
     kept = hits.where(F.col("locator") == F.col("keep_locator"))
     kept = kept.groupBy("digest").agg(F.min("norm").alias("kept_norm"), F.max(salts).alias("salts"))
     kept = kept.select("digest", "kept_norm", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))

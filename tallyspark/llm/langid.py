@@ -1,7 +1,7 @@
 """Language identification by compression: the language whose dictionary compresses a text best.
 
-For each language zstandard raw-content dictionaries are cut from training texts drawn by hash whatever their length (at
-most `dict_bytes` per dictionary and text, `dicts` dictionaries per language). A text's letters are encoded block by block, all of it, with every
+For each language zstandard raw-content dictionaries are cut from training texts drawn by hash whatever their length, and of
+each from a block drawn by hash from anywhere in it (`dict_bytes` per dictionary and text, `dicts` dictionaries per language). A text's letters are encoded block by block, all of it, with every
 dictionary of every language; the smallest total wins. The margin is the gap to the second smallest relative to the
 smallest, and `confident` is false where it is below `least_margin`: callers reject those.
 
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import packed, small_batches
 
 DICT_BYTES, DICTS = 24_000, 2
 BLOCK_BYTES = 4_096
@@ -35,15 +35,17 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 def folded(text: str) -> str:
     """Lower-cased words with single blanks between and around them, one of equal neighbours; empty if there is no letter."""
-    words = _OTHER.sub(" ", text.lower()).split()
+    words = [w for w in _OTHER.sub(" ", text.lower()).split() if w.isalpha() or any(map(str.isalpha, w))]
     words = [w for w, before in zip(words, ["", *words]) if w != before]
     return f" {' '.join(words)} " if words else ""
 
 
 def dictionaries(docs: DataFrame, train: Column, dict_bytes: int = DICT_BYTES, dicts: int = DICTS) -> dict[str, list[bytes]]:
     """language -> raw-content dictionaries, from the rows that `train` selects and that name a language."""
-    d = docs.where(train).where("lang is not null and text is not null").select("doc_id", F.left("text", F.lit(dict_bytes)).alias("text"), "lang")
-    d = d.withColumn("_short", F.length("text") < 200)
+    given = docs.where(train).where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    # of a longer text a block that begins anywhere, drawn by hash
+    begin = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.greatest(F.length("text") - dict_bytes, F.lit(0)) + 1)
+    d = given.select("doc_id", "lang", F.substring("text", (begin + 1).cast("int"), F.lit(dict_bytes)).alias("text"), (F.length("text") < 200).alias("_short"))
     # a hash threshold from the counts leaves about 4 x SAMPLE_DOCS rows a language to be ranked, whatever the table's size
     counts = d.groupBy("lang", "_short").agg(F.count(F.lit(1)).alias("_rows"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 32))
@@ -99,6 +101,6 @@ def predict(docs: DataFrame, dictionaries: dict[str, list[bytes]], least_margin:
             rows.append((names[order[0]], margin / (margin + 0.05), margin))
         return pd.DataFrame(rows, columns=["lang_pred", "score", "margin"])
 
-    d = docs.withColumn("_judged", judge(docs["text"]))
+    d = packed(docs).withColumn("judged", judge(F.col("d")["text"]))
     rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "margin", "confident", "doc_id")]
-    return d.select("doc_id", "_judged.*", (F.col("_judged.margin") >= least_margin).alias("confident"), *[F.col(f"`{c}`") for c in rest])
+    return d.select(F.col("d")["doc_id"].alias("doc_id"), "judged.*", (F.col("judged.margin") >= least_margin).alias("confident"), *[F.col("d")[c].alias(c) for c in rest])

@@ -11,8 +11,8 @@ block, and with it every word, is taken at most twice.
 Sources and shards are small tables (a row each); documents are only ever dealt by shard or block, never by source.
 
 Defined results: null and wordless texts have size 0 and take nothing; a null source is a source of its own, last in
-order; an empty table gives no rows; repeated rows are rows of their own (in equal seeded places, ordered by size);
-other columns are ignored. The same seed gives the same result.
+order; an empty table gives no rows; repeated rows, and rows that share an identifier, are rows of their own; other columns
+are ignored. The same seed gives the same result.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
 #: Words in a shard, about (its documents' sizes are ordered in one task), and the largest block.
 SHARD_WORDS, BLOCK_WORDS = 5_000_000, 512
+#: Rows alike in identifier, source and size that one task makes of their count.
+COPIES = 1_000
 
 
 def sizes(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
@@ -35,6 +37,22 @@ def sizes(docs: DataFrame, text_col: str = "text", source_col: str = "source", i
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
 
 
+def numbered(d: DataFrame) -> DataFrame:
+    """Adds copy to (doc_id, source, key, size): a number for each of the rows that are alike, which nothing else tells apart.
+
+    They are counted before the shuffle and made again from their count, so that a third of all rows may be alike, and a rerun
+    numbers them in the same way however the table is split.
+    """
+    alike = stored(d.groupBy("doc_id", "source", "key", "size").agg(F.count(F.lit(1)).alias("_n")))
+    cols = ["doc_id", "source", "key", "size"]
+    few = alike.where(F.col("_n") <= COPIES).select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("copy"))
+    first = (F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES)))).alias("_first")
+    many = alike.where(F.col("_n") > COPIES).select(*cols, "_n", first).repartition("doc_id", "size", "_first")
+    begin = F.col("_first") * COPIES
+    many = many.select(*cols, F.explode(F.sequence(begin + 1, F.least(F.col("_n"), begin + COPIES))).alias("copy"))
+    return few.unionByName(many)
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Adds weight and target to (source, source_size): weights repeat in code-point order, nulls last; a target stops at
     cap times its source and the excess is shared again by weight until none is above."""
@@ -94,7 +112,7 @@ def mix(
     """
     work = shared_dir(docs.sparkSession)
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))  # of a source, also a null one
-    d = stored(sizes(docs).withColumn("key", key), f"{work}/sizes")
+    d = stored(numbered(sizes(docs).withColumn("key", key)), f"{work}/sizes")
     per = d.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     src = stored(targets(per, weights, share, cap), f"{work}/sources")
     tier = F.floor(F.log2(F.greatest(F.lit(1.0), F.least(F.col("source_size") / 1000, F.lit(float(BLOCK_WORDS))))) + 1e-9)
@@ -108,9 +126,9 @@ def mix(
     # documents: end to end within a shard
     named = src.select("key", "docs", "source_size", "target", "shards", "seats", "b")
     placed = join_classes(d, named, "key", "docs", max(1, d.count())).drop("docs", "key")
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("shards")).cast("int"))
-    w = Window.partitionBy("source", "shard").orderBy(order, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("copy"))
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("copy")), F.col("shards")).cast("int"))
+    w = Window.partitionBy("source", "shard").orderBy(order, "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.coalesce(F.sum("size").over(w), F.lit(0).cast("long")))
     placed = stored(placed.withColumn("row", F.monotonically_increasing_id()), f"{work}/placed")
 

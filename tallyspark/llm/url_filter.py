@@ -2,13 +2,15 @@
 
 A listed rule `host/path` fits its host and all subdomains where the url's path starts with the rule's path; the longest
 wins. Urls that no listed rule fits are judged by the mined rules: Spark's FP-growth finds token combinations that go
-with a label. Rules are pruned by support, by confidence, and where some of their tokens alone are as sure of the same
-label; all others are matched, through an inverted index from each rule's rarest token: a literal map inside the scan for
+with a label. Tokens that occur in exactly the same urls are one item, and tokens of every url none, so the sets that are
+mined don't multiply with what urls have in common anyway; a support is the same share of urls in tables of any size. Rules
+are pruned by support, by Laplace's estimate of their confidence, (right + 1) / (urls + 2), for which one or two urls are never
+enough, and where some of their tokens alone are as sure of the same label; all others are matched, through an inverted index from each rule's rarest token: a literal map inside the scan for
 up to LITERAL_RULES rules, a skew-safe join beyond, with equal results.
 
-Labels are the listed rules' verdicts and, for other urls, `block` where a word of the host is on a short list of words
-that only spam uses, else `allow`; so mining finds what else such urls have in common, and drops what it shares with the
-rest.
+Labels come as a table of (url, label). `labelled` makes one where there is none: the listed rules' verdicts and, for other
+urls, `block` where a word of the host is one that spam lives on (a parameter), else `allow`; so mining finds what else such
+urls have in common, and drops what it shares with the rest.
 
 Defined results: a null url, or one without `://`, has empty host and path, no listed rule and the default verdict;
 equal confidence is decided by support, then by size, then by the rule's text; an empty table gives no rows; other columns are ignored.
@@ -23,12 +25,13 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, join_classes, stored
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.8
-#: Urls that a rule is learned from at the least, whatever the table's size.
-LEAST_URLS = 20
 #: Rules up to this number travel in the plan; an antecedent up to SUBSETS tokens is held against all its subsets.
 LITERAL_RULES, SUBSETS = 2_000, 12
 #: Words of a host that label a url as spam, to start with.
-SPAM_WORDS = ("casino", "pills", "viagra", "cialis", "porn", "xxx", "spam", "poker", "payday", "replica", "jackpot", "betting", "escort", "warez", "torrents")
+SPAM_WORDS = tuple(
+    "spam farm casino casinos poker slots jackpot roulette blackjack betting bets lottery bingo wager pills pill viagra cialis levitra xanax valium tramadol phentermine pharmacy "
+    "payday loans loan forex binary replica replicas knockoff porn porno xxx sex escort escorts nude adult webcam dating hookup warez crack cracks keygen serial torrents "
+    "cheap discount coupons giveaway prize winner bitcoin doubler ringtones toolbar seo backlinks traffic clicks".split())
 DEFAULT = "allow"
 #: Fixed rules of the registered query: (verdict, rule).
 LISTED = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -82,19 +85,33 @@ def tokens(url: Column) -> Column:
 RULE = "tokens array<string>, label string, confidence double, support double"
 
 
+def items(rows: DataFrame, n_urls: int) -> DataFrame:
+    """(token, item) of (row, tokens): tokens that occur in exactly the same urls share an item, the first of them; those of every url have none.
+
+    What a token occurs in is known by the number of its rows and two sums of their hashes.
+    """
+    each = rows.select("row", F.explode("tokens").alias("token"))
+    sums = [F.sum(F.xxhash64(F.lit(k), "row").bitwiseAND((1 << 40) - 1)) for k in (1, 2)]
+    per = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), sums[0].alias("a"), sums[1].alias("b")).where(F.col("n") < n_urls)
+    return per.join(per.groupBy("n", "a", "b").agg(F.min("token").alias("item")), ["n", "a", "b"]).select("token", "item", "n")
+
+
 def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens, label, confidence, support, key) of the pruned rules from (url, label) rows; label is not null.
 
-    Frequent sets are at most 2^tokens / min_support, however many urls there are, and no rule rests on fewer than LEAST_URLS
-    of them: what two or three urls share is no rule, and in a small table there would be no end of such sets. key is the
-    rule's rarest token.
+    Frequent sets are at most 2^items / min_support, however many urls there are. key is the rule's rarest token.
     """
     spark = urls.sparkSession
-    rows = urls.select(tokens(F.col("url")).alias("tokens"), F.concat(F.lit("label="), "label").alias("label"))
+    rows = stored(urls.select(tokens(F.col("url")).alias("tokens"), F.concat(F.lit("label="), "label").alias("label")).withColumn("row", F.monotonically_increasing_id()))
     if not (n_urls := rows.count()):
         return spark.createDataFrame([], RULE + ", key string")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, LEAST_URLS / n_urls)), minConfidence=min_confidence).fit(rows.select(F.concat("tokens", F.array("label")).alias("items")))
+    known = stored(items(rows, n_urls))
+    per = rows.select("row", F.explode("tokens").alias("token")).join(known.where("token = item"), "token").groupBy("row").agg(F.collect_list("item").alias("items"))
+    sets = rows.join(per, "row", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array("label")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sets)
     found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("label=")) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("label="))))
+    right = F.col("support") * n_urls
+    found = found.withColumn("confidence", (right + 1) / (right / F.col("confidence") + 2)).where(F.col("confidence") >= min_confidence)
     found = stored(found.select(F.array_sort("antecedent").alias("tokens"), F.replace(F.col("consequent")[0], F.lit("label=")).alias("label"), "confidence", "support"))
     # rules that a part of them makes needless; longer ones than SUBSETS stay, which changes no verdict
     n = F.size("tokens")
@@ -105,8 +122,7 @@ def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: floa
     covered = parts.join(by, ["part", "label"]).where("sure >= confidence").select("tokens", "label").distinct()
     kept = found.join(covered, ["tokens", "label"], "left_anti")
     each = kept.select("tokens", "label", F.explode("tokens").alias("token"))
-    often = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    key = each.join(often, "token").groupBy("tokens", "label").agg(F.min_by("token", F.struct("n", "token")).alias("key"))
+    key = each.join(known.select("token", "n"), "token").groupBy("tokens", "label").agg(F.min_by("token", F.struct("n", "token")).alias("key"))
     return stored(kept.join(key, ["tokens", "label"]).select("tokens", "label", "confidence", "support", "key"))
 
 
@@ -159,10 +175,10 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = LISTED, mined:
         F.array_join("mined.tokens", " ").alias("mined_rule"), F.col("mined.confidence").alias("confidence"))
 
 
-def labelled(pages: DataFrame, rules: tuple[tuple[str, str], ...] = LISTED) -> DataFrame:
+def labelled(pages: DataFrame, rules: tuple[tuple[str, str], ...] = LISTED, spam_words: tuple[str, ...] = SPAM_WORDS) -> DataFrame:
     """(url, label): the listed verdict, else block for hosts with a spam word, else allow; urls without a host have none."""
     host = host_of(F.col("url"))
-    spam = F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*map(F.lit, SPAM_WORDS)))
+    spam = F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*map(F.lit, spam_words)))
     label = F.coalesce(listed(host, path_of(F.col("url")), rules)["verdict"], F.when(spam, "block").otherwise("allow"))
     return pages.where(host != "").select("url", label.alias("label"))
 
