@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import bpe
 from tallyspark.operators import audit, calibration, exchange, likelihood, monitor, report
+from tallyspark.operators import ledger as ledgers
 from tallyspark.sources import files
 from tallyspark.sources.store import stored
+from tallyspark.streaming import endpoint
 
 
 class Ledger:
@@ -49,11 +51,42 @@ class Ledger:
         judged = exchange.verdicts(exchange.calibrated(c, tables["scores"], tables["meta"], tables["margins"], float(self.settings["alpha"])))
         return exchange.records(captured, judged)
 
+    def outcomes(self, audited: DataFrame) -> DataFrame:
+        """What the endpoint tests are fed: outcomes of the likelihood test, of the count rule where no token array came back, and
+        of its full batches, each under its own key with its own p0."""
+        x = self.settings
+        tolerance, cols = float(x["tolerance"]), ("key", "seq", "rejected", "extra", "tokens", "p0")
+        own = audit.outcomes(audited).withColumnRenamed("time", "seq").withColumn("p0", F.lit(min(float(x["alpha"]) * tolerance, 0.5)))
+        if not x["count_rules"]:
+            return own.select(*cols)
+        gaps = files.read_calibration(self.spark, self.path)["gaps"]
+        c = stored(audit.count_outcomes(audited, calibration.gap_rule(gaps)).withColumnRenamed("time", "seq"))
+        requests = c.withColumns({"p0": monitor.alert_level(F.col("level"), tolerance), "extra": F.when(F.col("rejected"), F.col("extra")).otherwise(0), "key": F.concat_ws("|", F.lit("request"), "host", "key")})
+        full = monitor.whole_batches(c, int(x["batch_size"]))
+        batches = endpoint.batch_outcomes(full, gaps, float(x["batch_margin"]), float(x["batch_alpha"]), tolerance)
+        return own.select(*cols).unionByName(requests.select(*cols)).unionByName(batches.select(*cols))
+
     def monitor(self, audited: DataFrame) -> DataFrame:
-        """First flags of each endpoint over its tested choices, in order of time."""
-        p0 = min(float(self.settings["alpha"]) * float(self.settings["tolerance"]), 0.5)
-        o = audit.outcomes(audited).withColumn("p0", F.lit(p0)).withColumnRenamed("time", "seq")
-        return monitor.first_flags(o, float(self.settings["confidence"]), float(self.settings["min_overcharge"]))
+        """First flags of each endpoint and kind of test, in order of time."""
+        return monitor.first_flags(self.outcomes(audited), float(self.settings["confidence"]), float(self.settings["min_overcharge"]))
+
+    def thresholds(self) -> DataFrame:
+        """(key, n, k, tau, warning) of the calibrated keys."""
+        scores, alpha = files.read_calibration(self.spark, self.path)["scores"], float(self.settings["alpha"])
+        return calibration.thresholds(scores, alpha).join(calibration.size_warnings(scores, alpha, float(self.settings["tolerance"])).select("key", "warning"), "key")
+
+    def bounds(self, ledger: DataFrame) -> DataFrame:
+        """Simultaneous upper bounds of the padding of a ledger's cells."""
+        return ledgers.simultaneous_bounds(ledger)
+
+    def integrity(self, ledger: DataFrame, expected: int = 200) -> DataFrame:
+        """(check, cell, problem) of a ledger's cells."""
+        return ledgers.integrity(ledger, expected)
+
+    def control(self, ledger: DataFrame, effects: tuple[float, ...] = (0.05, 0.1, 0.28, 1.0, 5.0, 11.2)) -> DataFrame:
+        """How often padding by so many percent would be found in each cell: the positive control. ledger has response_id."""
+        cell = F.concat_ws("/", *ledgers.CELL).alias("cell")
+        return monitor.detection_rate(ledger.select(cell, F.col("response_id").alias("id"), ledgers.delta().alias("delta"), "billed"), list(effects))
 
     def calibrate(self, captured: DataFrame, batch: str | None = None) -> int:
         """Adds the scores and settings of honest responses to the calibration, and raises the models' noise margins; how many
@@ -76,8 +109,13 @@ class Ledger:
         files.append_calibration({"scores": scores}, self.path, batch)
         return kept
 
-    def calibrate_counts(self, audited: DataFrame, model: str | None, host: str | None, since: float, until: float, batch: str | None = None) -> DataFrame:
-        """The gap rule of each key, from trusted periods: this one is added to those before. A period that is given again counts once."""
+    def calibrate_counts(self, audited: DataFrame, model: str | None, host: str | None, since: float | str | None = None, until: float | str | None = None, batch: str | None = None) -> DataFrame:
+        """The gap rule of each key, from trusted periods: this one is added to those before. A period that is given again counts once.
+
+        Bounds are seconds since 1970 or ISO 8601 texts; either may be open.
+        """
+        iso = files.period(self.spark, *(x if isinstance(x, str) else None for x in (since, until)))
+        since, until = (at if x is None or isinstance(x, str) else x for x, at in zip((since, until), iso))
         gaps = calibration.gaps(calibration.trusted(audited, model, host, since, until))
         files.append_calibration({"gaps": gaps}, self.path, batch)
         return calibration.gap_rule(files.read_calibration(self.spark, self.path)["gaps"])

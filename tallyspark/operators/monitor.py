@@ -103,6 +103,16 @@ def batches(gaps: DataFrame, size: int = 100) -> DataFrame:
     return sums.where(F.col("n") == size)
 
 
+def whole_batches(gaps: DataFrame, size: int = 100) -> DataFrame:
+    """`batches` with what their test needs: the gaps and canonical counts of their `size` rows, in order of seq."""
+    b = numbered(gaps).withColumn("batch", F.floor((F.col("nth") - 1) / size))
+    rows = F.array_sort(F.collect_list(F.struct("nth", "gap", "canonical")))
+    sums = b.groupBy("key", "batch").agg(
+        F.max_by("host", "nth").alias("host"), F.max("seq").alias("seq"), F.count(F.lit(1)).alias("n"), F.sum("gap").alias("gap"), F.sum("canonical").alias("canonical"), rows.alias("_r"))
+    pick = lambda c: F.transform("_r", lambda r: r[c]).alias(c + "s")
+    return sums.where(F.col("n") == size).select("key", "batch", "host", "seq", "n", "gap", "canonical", pick("gap"), pick("canonical"))
+
+
 def batch_excess(batches: DataFrame, rule: DataFrame) -> DataFrame:
     """Tokens above the honest mean gap, per full batch, rounded half to even."""
     j = batches.join(rule.select("key", "mean_gap"), "key")

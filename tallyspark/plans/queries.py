@@ -11,7 +11,7 @@ from tallyspark.functions import bpe, stats, tokens
 from tallyspark.operators import align, audit, calibration, exchange, likelihood, matching, monitor, report
 from tallyspark.operators import ledger as lg
 from tallyspark.plans.adapters import BIG, CAPTURED, EXCHANGE_MODELS, LEDGER, OUTCOMES, PAIRS, TOK, big_ledger, captured, exchanges, ledger, outcomes, table
-from tallyspark.streaming import sse
+from tallyspark.streaming import endpoint, sse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -700,3 +700,45 @@ def pair_logprobs(follow: DataFrame, models: list[str]) -> DataFrame:
     whole = n.groupBy("before").agg(F.sum("n").alias("whole"))
     p = n.join(whole, "before").withColumn("logprob", F.log(F.col("n") / F.col("whole")))
     return p.select(F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), "before", "token_id", "logprob")
+
+
+@query("q69_config_ambiguity_parts", """SELECT p_brand AS provider, p_type AS model, count(*) AS maps, count(DISTINCT p_size || '/' || split_part(p_name, ' ', 1)) AS variants,
+  CASE WHEN count(DISTINCT p_size || '/' || split_part(p_name, ' ', 1)) > 1 THEN 'problem' ELSE 'note' END AS severity FROM part GROUP BY 1, 2 HAVING count(*) > 1""")
+def q69(spark, d):
+    """Brands and types as cells that several parts map to a size and a colour."""
+    cells = table(spark, d, "part").select(F.col("p_brand").alias("provider"), F.col("p_type").alias("model"), "p_size", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("colour"))
+    return matching.config_ambiguity(cells, ["p_size", "colour"])
+
+
+@query("q70_caller_view", """WITH e AS (SELECT conv_id, turn, text, unnest([1, 2, 3]) AS nth FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, nth, CASE nth WHEN 1 THEN md5(text) END AS content, CASE nth WHEN 1 THEN conv_id % 2 = 1 END AS logs, CASE nth WHEN 1 THEN conv_id % 3 <> 0 END AS usage, CASE nth WHEN 3 THEN 'data: [DONE]' END AS raw
+FROM e WHERE nth <> 2 OR conv_id % 3 <> 0""")
+def q70(spark, d):
+    """Streams of three events (text with token logs and usage, usage alone, the end), from which what was added on the caller's
+    behalf is hidden: logs for even conversations, usage for every third."""
+    c = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
+    log = F.struct(F.array(F.struct(F.lit("{").alias("token"), F.lit(-0.5).alias("logprob"), F.array(F.struct(F.lit('}"').alias("token"))).alias("top_logprobs"))).alias("content"))
+    choice = F.struct(F.lit(0).alias("index"), F.struct(F.col("text").alias("content")).alias("delta"), log.alias("logprobs"))
+    usage = F.struct(F.length("text").alias("completion_tokens"))
+    bodies = [F.to_json(F.struct(F.array(choice).alias("choices"), usage.alias("usage"))), F.to_json(F.struct(F.array().cast("array<string>").alias("choices"), usage.alias("usage"))), F.lit("[DONE]")]
+    e = c.select("conv_id", "turn", F.posexplode(F.array(*[F.concat(F.lit("data: "), b) for b in bodies])).alias("nth", "raw")).withColumn("nth", F.col("nth") + 1)
+    seen = sse.caller_view(e, F.col("conv_id") % 3 == 0, F.col("conv_id") % 2 == 0)
+    data, first = F.substring("raw", 7, 2**30), F.col("nth") == 1
+    has = lambda path: F.when(first, F.get_json_object(data, path).isNotNull())
+    return seen.select(
+        "conv_id", "turn", "nth", F.md5(F.when(first, F.get_json_object(data, "$.choices[0].delta.content"))).alias("content"), has("$.choices[0].logprobs.content[0].token").alias("logs"),
+        has("$.usage.completion_tokens").alias("usage"), F.when(F.col("nth") == 3, F.col("raw")).alias("raw"))
+
+
+@query("q71_batch_test", f"""WITH {OUTCOMES}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n, min(seq) OVER () AS first, max(seq) OVER () AS last FROM outcomes),
+late AS (SELECT key, seq, extra, row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS n FROM o WHERE seq > (first + last) // 2),
+b AS (SELECT key, n // 100 AS batch, max(seq) AS seq, sum(extra) AS gap, count(*) AS size FROM late GROUP BY 1, 2 HAVING count(*) = 100),
+r AS (SELECT key, avg(extra) AS mean FROM o WHERE seq <= (first + last) // 2 GROUP BY 1)
+SELECT 'batch|h|' || key AS key, CAST(seq AS DOUBLE) AS seq, CAST(gap + 10000 AS BIGINT) AS tokens, CAST(greatest(0, round_even(gap - 100 * mean, 0)) AS BIGINT) AS excess FROM b JOIN r USING (key)""")
+def q71(spark, d):
+    """Full batches of the later half against the earlier half as the calibration: their excess, whatever the permutation test says."""
+    o = outcomes(spark, d).select("key", "seq", F.col("extra").alias("gap"), F.col("tokens").alias("canonical"), F.lit("h").alias("host"))
+    first, last = o.agg(F.min("seq"), F.max("seq")).first()
+    middle = ((first or 0) + (last or 0)) // 2
+    full = monitor.whole_batches(o.where(F.col("seq") > middle))
+    return endpoint.batch_outcomes(full, o.where(F.col("seq") <= middle), alpha=1.1).select("key", F.col("seq").cast("double").alias("seq"), "tokens", F.col("extra").alias("excess"))

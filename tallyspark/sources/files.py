@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tomllib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -189,14 +190,23 @@ def read_calibration(spark: SparkSession, path: str | None) -> dict[str, DataFra
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The newest monitor state of each key, from what streaming.endpoint.keep_state has written; empty if nothing was."""
-    from tallyspark.streaming.endpoint import OUT
-
-    if not store.exists(spark, path):
-        return spark.createDataFrame([], OUT)
-    rows = spark.read.schema(OUT + ", batch long").parquet(path)
-    cols = [c for c in rows.columns if c not in ("key", "batch")]
-    return rows.groupBy("key").agg(F.max_by(F.struct(*cols), F.struct("batch", "tested")).alias("s")).select("key", "s.*")
+    """The newest monitor state of each key, from what streaming.endpoint.keep_state keeps; empty if nothing was kept."""
+    from tallyspark.streaming.endpoint import kept_states
+
+    return kept_states(spark, path).read().drop("batch")
+
+
+#: What an ISO 8601 date or date and time may leave out: the time, its seconds, and the zone, which is the session's then.
+ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+
+
+def period(spark: SparkSession, since: str | None, until: str | None) -> tuple[float, float]:
+    """The bounds of a period in seconds since 1970, from ISO 8601 texts; an open end is infinite."""
+    texts = [x or None for x in (since, until)]
+    if bad := [x for x in texts if x and not re.match(ISO, x)]:
+        raise ValueError(f"not an ISO 8601 time: {bad[0]}")
+    at = spark.range(1).select(*[F.unix_micros(F.lit(x).cast("string").cast("timestamp")) / 1e6 for x in texts]).first()
+    return (float("-inf") if at[0] is None else at[0], float("inf") if at[1] is None else at[1])
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:

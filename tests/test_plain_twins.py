@@ -167,8 +167,6 @@ def test_states_alerts_and_warnings(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == ["h|m"]
-    w = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "key string, n int")
-    assert sorted(r["key"] for r in endpoint.warn_once(w).collect()) == ["a", "b"]
 
 
 def test_files(spark, tmp_path, monkeypatch):
