@@ -11,6 +11,7 @@ from tallyspark.functions import bpe, stats, tokens
 from tallyspark.operators import align, audit, calibration, exchange, likelihood, matching, monitor, report
 from tallyspark.operators import ledger as lg
 from tallyspark.plans.adapters import BIG, CAPTURED, EXCHANGE_MODELS, LEDGER, OUTCOMES, PAIRS, TOK, big_ledger, captured, exchanges, ledger, outcomes, table
+from tallyspark.sources import files
 from tallyspark.streaming import endpoint, sse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -430,17 +431,16 @@ LETTERS = "etaoinshrdlu"
 CYRILLIC, HAN = "етаоинсхрдлу", "漢字仮名交文日本語学校生"
 
 
-@query("q43_script_bucket", f"""WITH d AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN translate(text, '{LETTERS}', '{CYRILLIC}') WHEN 1 THEN translate(text, '{LETTERS}', '{HAN}') WHEN 2 THEN regexp_replace(text, '\\p{{L}}', '1', 'g') ELSE text END AS t FROM documents),
-c AS (SELECT doc_id, len(regexp_extract_all(t, '[\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7AF}}]')) AS cjk, len(regexp_extract_all(t, '[\\x{{0400}}-\\x{{04FF}}]')) AS cyr, len(regexp_extract_all(t, '\\p{{L}}')) AS every FROM d)
-SELECT doc_id, CASE WHEN every = 0 THEN 'none' WHEN cjk > every - cjk THEN 'cjk' WHEN cyr > every - cyr THEN 'cyrillic' ELSE 'latin' END AS script FROM c WHERE cjk * 2 <> every AND cyr * 2 <> every OR every = 0""")
+@query("q43_script_bucket", f"""WITH d AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN translate(text, '{LETTERS}', '{CYRILLIC}') WHEN 1 THEN translate(text, '{LETTERS}', '{HAN}') WHEN 2 THEN regexp_replace(text, '\\p{{L}}', '1', 'g') WHEN 3 THEN 'а漢ab' || 'вг語' ELSE text END AS t FROM documents),
+e AS (SELECT doc_id, regexp_extract_all(t, '\\p{{L}}') AS letters FROM d),
+l AS (SELECT doc_id, unnest(list_transform(letters, lambda x: CASE WHEN regexp_matches(x, '[\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7AF}}]') THEN 'cjk' WHEN regexp_matches(x, '[\\x{{0400}}-\\x{{04FF}}]') THEN 'cyrillic' ELSE 'latin' END)) AS script, unnest(range(len(letters))) AS pos FROM e),
+r AS (SELECT doc_id, script, count(*) AS n, min(pos) AS head FROM l GROUP BY 1, 2), b AS (SELECT doc_id, arg_max(script, struct_pack(n := n, head := -head)) AS script FROM r GROUP BY 1)
+SELECT doc_id, coalesce(script, 'none') AS script FROM d LEFT JOIN b USING (doc_id)""")
 def q43(spark, d):
-    """Whole documents, some of their letters written in other scripts; rows with two equally frequent scripts are left to a test."""
+    """Whole documents, some of their letters written in other scripts, and some in which scripts tie: the one seen first counts."""
     k = F.col("doc_id") % 7
-    t = F.when(k == 0, F.translate("text", LETTERS, CYRILLIC)).when(k == 1, F.translate("text", LETTERS, HAN)).when(k == 2, F.regexp_replace("text", r"\p{L}", "1")).otherwise(F.col("text"))
-    x = table(spark, d, "documents").select("doc_id", t.alias("t"))
-    n = {name: F.regexp_count("t", F.lit(p)) for name, p in (("cjk", tokens.SCRIPTS["cjk"]), ("cyr", tokens.SCRIPTS["cyrillic"]), ("every", r"\p{L}"))}
-    clear = (n["cjk"] * 2 != n["every"]) & (n["cyr"] * 2 != n["every"]) | (n["every"] == 0)
-    return x.where(clear).select("doc_id", tokens.script_bucket(F.col("t")).alias("script"))
+    t = F.when(k == 0, F.translate("text", LETTERS, CYRILLIC)).when(k == 1, F.translate("text", LETTERS, HAN)).when(k == 2, F.regexp_replace("text", r"\p{L}", "1")).when(k == 3, F.lit("а漢ab" + "вг語"))
+    return table(spark, d, "documents").select("doc_id", tokens.script_bucket(t.otherwise(F.col("text"))).alias("script"))
 
 
 FORMATS = "CASE conv_id % 5 WHEN 0 THEN 'harmony' WHEN 1 THEN 'simple' WHEN 2 THEN 'think_tags' WHEN 3 THEN 'gemma_thinking' ELSE 'glm_thinking' END"
@@ -742,3 +742,90 @@ def q71(spark, d):
     middle = ((first or 0) + (last or 0)) // 2
     full = monitor.whole_batches(o.where(F.col("seq") > middle))
     return endpoint.batch_outcomes(full, o.where(F.col("seq") <= middle), alpha=1.1).select("key", F.col("seq").cast("double").alias("seq"), "tokens", F.col("extra").alias("excess"))
+
+
+@query("q72_binomial_cdf", """WITH x AS (SELECT c_custkey AS id, c_custkey % 9 AS k, 20 + c_custkey % 30 AS n FROM customer), t AS (SELECT id, n, unnest(generate_series(0, k)) AS i FROM x)
+SELECT id, round(least(1.0, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.2) + (n - i) * ln(0.8)))), 7) AS below FROM t GROUP BY 1""")
+def q72(spark, d):
+    c = F.col("c_custkey")
+    return table(spark, d, "customer").select(c.alias("id"), F.round(stats.binom_cdf(c % 9, 20 + c % 30, F.lit(0.2)), 7).alias("below"))
+
+
+@query("q73_calibration_warnings", """WITH s AS (SELECT o_orderpriority || '|' || (o_custkey % 20) AS key, count(*) AS n FROM orders GROUP BY 1), k AS (SELECT *, CAST(floor(0.01 * (n + 1)) AS BIGINT) AS k FROM s),
+t AS (SELECT key, n, k, unnest(generate_series(0, greatest(k - 1, 0))) AS i FROM k),
+r AS (SELECT key, n, k, CASE WHEN k = 0 THEN 0 ELSE sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.03) + (n - i) * ln(0.97))) END AS risk FROM t GROUP BY key, n, k)
+SELECT key, n, k, round(risk, 7) AS risk, CASE WHEN k = 0 THEN 'never_rejects' WHEN risk > 0.01 THEN 'risky' END AS warning FROM r""")
+def q73(spark, d):
+    """Orders as honest scores: is each key's number of them enough for alpha, and does it risk too many rejections?"""
+    scores = table(spark, d, "orders").select(F.concat_ws("|", "o_orderpriority", F.col("o_custkey") % 20).alias("key"), F.col("o_totalprice").alias("score"))
+    w = calibration.size_warnings(scores, 0.01, 3.0)
+    return w.select("key", "n", F.col("k").cast("long").alias("k"), F.round("risk", 7).alias("risk"), "warning")
+
+
+@query("q74_conflicting_settings", """SELECT o_orderpriority || '|' || (o_custkey % 50) AS key, count(DISTINCT coalesce(o_orderstatus, '-') || '/' || (o_orderkey % 3)) AS settings FROM orders GROUP BY 1 HAVING count(DISTINCT coalesce(o_orderstatus, '-') || '/' || (o_orderkey % 3)) > 1""")
+def q74(spark, d):
+    o = table(spark, d, "orders")
+    none = F.lit(None).cast("string")
+    meta = o.select(F.concat_ws("|", "o_orderpriority", F.col("o_custkey") % 50).alias("key"), F.col("o_orderstatus").alias("tokenizer"), none.alias("scorer"), (F.col("o_orderkey") % 3).cast("double").alias("temperature"), F.lit(1.0).alias("top_p"), none.alias("system"))
+    return calibration.conflicts(meta)
+
+
+@query("q75_pinned_backends", f"""WITH {LEDGER} SELECT block || '-' || (conv_id % 5) AS backend, count(*) AS n, round(avg(billed - canonical), 6) AS mean_delta, min(billed - canonical) AS min_delta, max(billed - canonical) AS max_delta FROM ledger GROUP BY 1""")
+def q75(spark, d):
+    return lg.pinned_summary(ledger(spark, d).withColumn("backend", F.concat_ws("-", "block", F.col("conv_id") % 5)))
+
+
+@query("q76_generation_stats", f"""WITH {LEDGER}, g AS (SELECT conv_id * 100 + turn AS response_id, length(text) AS native_tokens FROM conversations WHERE conv_id % 4 <> 2)
+SELECT response_id, billed, native_tokens FROM ledger LEFT JOIN g USING (response_id)""")
+def q76(spark, d):
+    """Responses with the statistics that were looked up for some of them."""
+    g = table(spark, d, "conversations").where("conv_id % 4 <> 2").select((F.col("conv_id") * 100 + F.col("turn")).alias("response_id"), F.length("text").cast("long").alias("native_tokens"))
+    return matching.with_stats(ledger(spark, d), g).select("response_id", "billed", "native_tokens")
+
+
+@query("q77_usage_shapes", """WITH c AS (SELECT conv_id, turn, length(text) AS n FROM conversations), u AS (SELECT *, unnest(['native', 'messages', 'completions']) AS target FROM c)
+SELECT conv_id, turn, target, n AS prompt, n + turn AS completion, CASE WHEN target <> 'messages' THEN 2 * n + turn END AS total, CASE WHEN target <> 'messages' THEN turn END AS reasoning, target = 'native' AS additive, target = 'messages' AS no_total FROM u""")
+def q77(spark, d):
+    """Usage objects as JSON in the shapes of three vendors, brought into one."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
+    done = F.col("n") + F.col("turn")
+    bodies = {
+        "native": F.struct(F.struct(F.col("n").alias("promptTokenCount"), done.alias("candidatesTokenCount"), (F.col("n") + done).alias("totalTokenCount"), F.col("turn").alias("thoughtsTokenCount")).alias("usageMetadata")),
+        "messages": F.struct(F.struct(F.col("n").alias("input_tokens"), done.alias("output_tokens")).alias("usage")),
+        "completions": F.struct(F.struct(F.col("n").alias("prompt_tokens"), done.alias("completion_tokens"), (F.col("n") + done).alias("total_tokens"), F.struct(F.col("turn").alias("reasoning_tokens")).alias("completion_tokens_details")).alias("usage")),
+    }
+    schemas = {
+        "native": "usageMetadata struct<promptTokenCount:bigint,candidatesTokenCount:bigint,totalTokenCount:bigint,thoughtsTokenCount:bigint>", "messages": "usage struct<input_tokens:bigint,output_tokens:bigint>",
+        "completions": "usage struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint,completion_tokens_details:struct<reasoning_tokens:bigint>>",
+    }
+    each = [files.usage(c.select("conv_id", "turn", F.from_json(F.to_json(body), schemas[v]).alias("u")).select("conv_id", "turn", "u.*"), v, "conv_id", "turn") for v, body in bodies.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("q78_first_prompts", """WITH p AS (SELECT trim(text, ' ') AS prompt, min(conv_id * 100 + turn) AS position FROM conversations WHERE role = 'user' AND length(text) BETWEEN 20 AND 400 GROUP BY 1) SELECT prompt, position FROM p ORDER BY position, prompt LIMIT 50""")
+def q78(spark, d):
+    """The first fifty distinct prompts (a report that is meant to be short), from the table if it has as many."""
+    p = table(spark, d, "conversations").where("role = 'user'").select(F.col("text").alias("prompt"), (F.col("conv_id") * 100 + F.col("turn")).alias("position"))
+    return matching.prompts_or_fallback(p, p.limit(0), 20, 400, 50)
+
+
+@query("q79_endpoint_states", f"""WITH {OUTCOMES}, s AS (SELECT CASE seq % 3 WHEN 0 THEN key WHEN 1 THEN 'request|' || key || '|latin' ELSE 'batch|' || key || '|cjk' END AS key, rejected FROM outcomes),
+t AS (SELECT key, count(*) AS tested, count(*) FILTER (rejected) AS rejected FROM s GROUP BY 1)
+SELECT key, tested, rejected, CASE WHEN starts_with(key, 'request|') THEN 'request' WHEN starts_with(key, 'batch|') THEN 'batch' ELSE 'likelihood' END AS kind,
+  CASE WHEN starts_with(key, 'request|') OR starts_with(key, 'batch|') THEN split_part(key, '|', 2) ELSE split_part(key, '|', 1) END AS host,
+  CASE WHEN starts_with(key, 'request|') OR starts_with(key, 'batch|') THEN split_part(key, '|', 3) ELSE split_part(key, '|', 2) END AS model FROM t""")
+def q79(spark, d):
+    """States of three kinds of tests, taken apart by their keys and joined to the endpoints."""
+    o = outcomes(spark, d)
+    k = F.col("seq") % 3
+    key = F.when(k == 0, F.col("key")).when(k == 1, F.concat_ws("|", F.lit("request"), "key", F.lit("latin"))).otherwise(F.concat_ws("|", F.lit("batch"), "key", F.lit("cjk")))
+    state = o.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("tested"), F.count_if("rejected").alias("rejected"))
+    ends = o.select(F.split_part("key", F.lit("|"), F.lit(1)).alias("host"), F.split_part("key", F.lit("|"), F.lit(2)).alias("model"))
+    return report.endpoint_state(ends, state).select("key", "tested", "rejected", "kind", "host", "model")
+
+
+@query("q80_scorer_hosts", f"""WITH {LEDGER} SELECT DISTINCT 'h' || (conv_id % 2) AS host, model FROM ledger WHERE 'h' || (conv_id % 2) = CASE model WHEN 'm0' THEN 'h0' WHEN 'm1' THEN 'h1' ELSE 'elsewhere' END""")
+def q80(spark, d):
+    """Models whose scorer runs on the host that is audited."""
+    urls = spark.createDataFrame([("m0", "https://h0/v1"), ("m1", "http://h1:8080/x"), ("m2", "https://elsewhere/h2")], "model string, url string")
+    return exchange.scorer_is_audited(exchanges(spark, d), urls)

@@ -122,14 +122,14 @@ def patterns(spark: SparkSession, table: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(table.items())], "pattern string, value string, ord int")
 
 
-def usage(df: DataFrame, vendor: str) -> DataFrame:
-    """Four vendors' usage objects in one shape: prompt, completion, total, reasoning, additive (billed on top), no_total."""
+def usage(df: DataFrame, vendor: str, *keys: str) -> DataFrame:
+    """Four vendors' usage objects in one shape: keys, target, prompt, completion, total, reasoning, additive (billed on top), no_total."""
     none = F.lit(None).cast("long")
 
     def pick(prompt: str, completion: str, total: str | None, reasoning: Column, additive: bool) -> DataFrame:
         t = F.col(total) if total else none
         return df.select(
-            F.lit(vendor).alias("target"), F.col(prompt).alias("prompt"), F.col(completion).alias("completion"), t.alias("total"), reasoning.alias("reasoning"),
+            *keys, F.lit(vendor).alias("target"), F.col(prompt).alias("prompt"), F.col(completion).alias("completion"), t.alias("total"), reasoning.alias("reasoning"),
             F.lit(additive).alias("additive"), F.lit(total is None).alias("no_total"))
 
     if vendor == "native":
