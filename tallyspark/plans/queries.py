@@ -11,7 +11,7 @@ from tallyspark.functions import bpe, stats, tokens
 from tallyspark.operators import align, audit, calibration, exchange, likelihood, matching, monitor, report
 from tallyspark.operators import ledger as lg
 from tallyspark.plans.adapters import BIG, CAPTURED, EXCHANGE_MODELS, LEDGER, OUTCOMES, PAIRS, TOK, big_ledger, captured, exchanges, ledger, outcomes, table
-from tallyspark.sources import files
+from tallyspark.sources import files, store
 from tallyspark.streaming import endpoint, sse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -829,3 +829,119 @@ def q80(spark, d):
     """Models whose scorer runs on the host that is audited."""
     urls = spark.createDataFrame([("m0", "https://h0/v1"), ("m1", "http://h1:8080/x"), ("m2", "https://elsewhere/h2")], "model string, url string")
     return exchange.scorer_is_audited(exchanges(spark, d), urls)
+
+
+PREFIX = "CASE conv_id % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'p99' WHEN 2 THEN 'exp' ELSE 'notes' END"
+
+
+@query("q81_ledger_files", f"""WITH {LEDGER}, f AS (SELECT *, {PREFIX} AS prefix, conv_id % 10 = 7 AS broken FROM ledger),
+ok AS (SELECT prefix AS block, provider, model, CASE WHEN conv_id % 5 = 0 THEN 300 ELSE max_tokens END AS cap, billed FROM f WHERE prefix <> 'notes' AND NOT broken),
+bad AS (SELECT prefix AS block, count(*) AS malformed FROM f WHERE prefix <> 'notes' AND broken GROUP BY 1)
+SELECT block, count(*) AS n, CAST(sum(cap) AS BIGINT) AS caps, CAST(sum(billed) AS BIGINT) AS billed, coalesce(any_value(malformed), 0) AS malformed, count(DISTINCT provider) AS providers FROM ok LEFT JOIN bad USING (block) GROUP BY block""")
+def q81(spark, d):
+    """Study files written as JSON lines, some of them cut off or without a cap, and read again: by the prefix of their name, with the
+    default cap, malformed lines counted, and files of other names left out."""
+    prefix = F.expr(PREFIX)
+    row = F.struct(
+        F.col("provider"), F.col("model").alias("model_short_key"), F.when(F.col("conv_id") % 5 != 0, F.col("max_tokens")).alias("max_tokens"),
+        F.col("billed").alias("billed_completion_tokens"), F.col("response_text"))
+    line = F.when(F.col("conv_id") % 10 == 7, F.substring(F.to_json(row), 1, 20)).otherwise(F.to_json(row))
+    lines = ledger(spark, d).select(prefix.alias("prefix"), line.alias("value"))
+    base = store.shared_dir(spark)
+    for name in ("full", "p99", "exp", "notes"):
+        store.add_text(lines.where(F.col("prefix") == name).select("value"), base, f"{name}_run")
+    r = store.stored(files.ledger(spark, f"{base}/*.jsonl"))
+    whole = r.where("_corrupt_record is null").groupBy("block").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("max_tokens").alias("caps"), F.sum("billed").alias("billed"), F.count_distinct("provider").alias("providers"))
+    return whole.join(files.malformed(r).select("block", "malformed"), "block")
+
+
+@query("q82_audit_log", f"""WITH {CAPTURED}, twice AS (SELECT * FROM rec UNION ALL SELECT * FROM rec)
+SELECT host, model, status, count(*) AS n, CAST(sum(billed) AS BIGINT) AS billed, count(*) FILTER (over_cap) AS over_cap FROM twice GROUP BY 1, 2, 3""")
+def q82(spark, d):
+    """Audited rows appended to a log twice, and read again."""
+    path = store.shared_dir(spark)
+    a = store.stored(audits(spark, d).select("host", "model", "time", "status", "billed", "findings"))
+    for _ in range(2):
+        files.append_audit(a, f"{path}/log")
+    r = files.read_audit(spark, f"{path}/log", "time double, host string, model string, status string, billed long, findings array<string>")
+    return r.groupBy("host", "model", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("billed").alias("billed"), F.count_if(F.array_contains("findings", "over_cap")).alias("over_cap"))
+
+
+@query("q83_monitor_stream", f"""WITH {EVIDENCE}, z AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS back FROM ev)
+SELECT key, n AS tested, CAST(k AS BIGINT) AS rejected, CAST(x AS BIGINT) AS extra, round(log_evidence, 5) AS log_evidence FROM z WHERE back = 1""")
+def q83(spark, d):
+    """Outcomes as a stream, their states merged into a table, of which the newest are read."""
+    path = store.shared_dir(spark)
+    o = outcomes(spark, d)
+    o.repartitionByRange(4, "seq").sortWithinPartitions("seq").write.parquet(f"{path}/in")
+    # files come in the order of their time; a micro-batch holds all of them here, so the order within is that of seq
+    stream = endpoint.monitored(spark.readStream.schema(o.schema).parquet(f"{path}/in"))
+    endpoint.keep_state(stream, f"{path}/state", f"{path}/checkpoint").awaitTermination()
+    return files.read_state(spark, f"{path}/state").select("key", "tested", "rejected", "extra", F.round("log_evidence", 5).alias("log_evidence"))
+
+
+@query("q84_count_batch_stream", f"""WITH {OUTCOMES}, b AS (SELECT *, CAST((row_number() OVER (PARTITION BY key ORDER BY seq) - 1) // 100 AS BIGINT) AS batch FROM outcomes)
+SELECT key, batch, CAST(max(seq) AS DOUBLE) AS seq, CAST(sum(extra) AS BIGINT) AS gap, CAST(sum(tokens) AS BIGINT) AS canonical, md5(string_agg(CAST(extra AS VARCHAR), ',' ORDER BY seq)) AS gaps FROM b GROUP BY 1, 2 HAVING count(*) = 100""")
+def q84(spark, d):
+    """Count gaps as a stream that waits for full batches."""
+    path, name = store.shared_dir(spark), "spark.sql.streaming.stateStore.providerClass"
+    g = outcomes(spark, d).select("key", "seq", F.col("extra").alias("gap"), F.col("tokens").alias("canonical"), F.lit("h").alias("host"))
+    g.write.parquet(f"{path}/in")
+    before = spark.conf.get(name, None)
+    endpoint.keep_in_rocksdb(spark)
+    try:
+        stream = endpoint.count_batches(spark.readStream.schema(g.schema).parquet(f"{path}/in"))
+        q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    out = spark.read.schema(endpoint.BATCH).parquet(f"{path}/out")
+    return out.select("key", "batch", "seq", "gap", "canonical", F.md5(F.array_join(F.col("gaps").cast("array<string>"), ",")).alias("gaps"))
+
+
+NAMES = ("gpt-4o-", "gpt-4.1", "chatgpt-4o-x", "gpt-5-mini-", "o1-", "O3-", "gpt-4-", "gpt-3.5-", "openai/gpt-4o-", "openai/gpt-4-", "openai/o4-", "x/gpt-oss-", "meta-llama/Llama-3.1-8B-Instruct-", "someone/model-", "plain-", "accounts/fireworks/models/llama-v3p1-8b-instruct")
+
+
+@query("q85_bundled_tokenizers", f"""WITH m AS (SELECT DISTINCT [{", ".join(f"'{n}'" for n in NAMES)}][p_partkey % {len(NAMES)} + 1] || CASE WHEN p_partkey % {len(NAMES)} = {len(NAMES) - 1} THEN '' ELSE CAST(p_size AS VARCHAR) END AS model FROM part),
+l AS (SELECT model, lower(model) AS k FROM m)
+SELECT model, CASE WHEN k LIKE '%gpt-oss-%' THEN 'tiktoken:o200k_harmony' WHEN regexp_matches(k, '^(openai/)?(gpt-4o|gpt-4[.]1|gpt-5|o1|o3|o4)') OR k LIKE 'chatgpt-4o%' THEN 'tiktoken:o200k_base'
+  WHEN regexp_matches(k, '^(openai/)?(gpt-4|gpt-3[.]5)') THEN 'tiktoken:cl100k_base' WHEN k LIKE 'meta-llama/llama-3.1-8b-instruct%' OR k = 'accounts/fireworks/models/llama-v3p1-8b-instruct' THEN 'hf:meta-llama/Llama-3.1-8B-Instruct'
+  WHEN contains(model, '/') THEN 'hf:' || model END AS tokenizer FROM l""")
+def q85(spark, d):
+    """Tokenizers of model names by the patterns that come with the package, else a guess by the owner's name."""
+    k = F.col("p_partkey") % len(NAMES)
+    name = F.get(F.array(*map(F.lit, NAMES)), k.cast("int"))
+    names = table(spark, d, "part").select(F.concat(name, F.when(k == len(NAMES) - 1, "").otherwise(F.col("p_size").cast("string"))).alias("model"))
+    return files.resolved_tokenizers(names, {}).select("model", "tokenizer")
+
+
+@query("q86_resolved_ids", """WITH t AS (SELECT conv_id * 100 + turn AS id, role, list_transform(regexp_extract_all(text, '[a-z]'), lambda x: ascii(x)) AS c FROM conversations),
+f AS (SELECT CASE WHEN k = 1 THEN 10 ELSE c[k - 1] END AS a, c[k] AS b FROM (SELECT c, unnest(range(1, len(c) + 1)) AS k FROM t WHERE role = 'user')),
+p AS (SELECT a, b, ln(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY a)) AS p FROM f GROUP BY a, b),
+x AS (SELECT id, c, unnest([4, 9]) AS k FROM t WHERE role = 'assistant' AND len(c) >= 12), y AS (SELECT id, k, c[k - 1] AS a, c[k] AS own, 97 + (c[k] - 96) % 26 AS other, c[k + 1] AS z FROM x),
+s AS (SELECT id, k, own, other, coalesce(p1.p, -9) + coalesce(p2.p, -9) AS s1, coalesce(p3.p, -9) + coalesce(p4.p, -9) AS s2 FROM y
+  LEFT JOIN p p1 ON p1.a = y.a AND p1.b = own LEFT JOIN p p2 ON p2.a = own AND p2.b = z LEFT JOIN p p3 ON p3.a = y.a AND p3.b = other LEFT JOIN p p4 ON p4.a = other AND p4.b = z)
+SELECT id, max(CASE WHEN k = 4 THEN CASE WHEN s2 > s1 THEN other ELSE own END END) AS first, max(CASE WHEN k = 9 THEN CASE WHEN s2 > s1 THEN other ELSE own END END) AS second FROM s GROUP BY id""")
+def q86(spark, d):
+    """Letters as ids, of which the fourth and the ninth of a response could also be the next letter: the more probable one in its
+    context counts, by a model of pairs that is trained on the user turns."""
+    letters = F.transform(F.regexp_extract_all("text", F.lit("[a-z]"), F.lit(0)), F.ascii)
+    t = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "role", letters.alias("ids"))
+    users = t.where("role = 'user'")
+    follow = users.select(F.posexplode("ids").alias("at", "token_id"), "ids").select(F.when(F.col("at") == 0, 10).otherwise(F.get("ids", F.col("at") - 1)).alias("before"), "token_id")
+    own = t.where("role = 'assistant'").where(F.size("ids") >= 12)
+    candidates = F.transform("ids", lambda c, i: F.when(i.isin(3, 8), F.array(c, F.lit(97) + (c - 96) % 26)).otherwise(F.array(c)))
+    readings = own.select("id", F.lit("m").alias("model"), candidates.alias("candidates"), F.array(F.lit(10)).alias("newline"))
+    r = likelihood.resolved(readings, likelihood.WindowStore(spark), likelihood.pair_scorer(pair_logprobs(follow, ["m"]), unseen=-9.0), likelihood.Settings(context=4, suffix=1))
+    return r.select("id", F.get("ids", F.lit(3)).alias("first"), F.get("ids", F.lit(8)).alias("second"))
+
+
+@query("q87_calibration_batches", f"""WITH {LEDGER} SELECT model || '|' || block AS key, count(*) AS n, max(billed - canonical) AS max_gap, round(avg(billed - canonical), 6) AS mean_gap FROM ledger GROUP BY 1""")
+def q87(spark, d):
+    """Gaps of one model after another added to a calibration, each of them twice: a batch that comes again takes its own place."""
+    path = store.shared_dir(spark)
+    g = ledger(spark, d).select(F.concat_ws("|", "model", "block").alias("key"), lg.delta().cast("long").alias("gap"), F.col("canonical").cast("long").alias("canonical"), "model")
+    for model in ("m0", "m1", "m0", "m2", "m1"):
+        files.append_calibration({"gaps": g.where(F.col("model") == model)}, path)
+    return calibration.gap_rule(files.read_calibration(spark, path)["gaps"]).select("key", "n", "max_gap", F.round("mean_gap", 6).alias("mean_gap"))

@@ -93,3 +93,14 @@ def add_batch(rows: DataFrame, path: str, batch: str | None = None) -> str:
     name = batch or digest_of(rows)
     rows.write.mode("overwrite").parquet(f"{path}/batch={name}")
     return name
+
+
+def add_text(lines: DataFrame, path: str, name: str) -> None:
+    """Writes lines (value) as one file path/name.jsonl, for readers that tell files by their names; a few lines only, as one task writes them."""
+    spark = lines.sparkSession
+    work = f"{path}/_{name}"
+    lines.coalesce(1).write.mode("overwrite").text(work)
+    where, fs = _folder(spark, work)
+    part = next(s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-"))
+    fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.jsonl"))
+    fs.delete(where, True)
