@@ -9,7 +9,8 @@ their bytes are classed by the bytes themselves.
 
 Defined results: null text counts as empty; empty texts equal each other; an empty table gives no rows; rows that repeat
 both identifier and text are all reported, as one and the same document (`kept` follows the identifier); other columns
-are ignored, and pass through `drop_copies` whatever their names. A null identifier is smaller than any other.
+are ignored, and pass through `drop_copies` whatever their names. A null identifier is smaller than any other. Identifiers are
+whole numbers (64 bits): others have to be numbered first.
 """
 
 from __future__ import annotations

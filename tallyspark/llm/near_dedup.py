@@ -19,8 +19,8 @@ Defined results: null, empty and wordless texts have no shingles and stay alone;
 shingle; equal word sequences are always one class. A class is named (`class_id`) by its smallest doc_id, and its largest
 doc_id stays (of rows that share it, the one with the largest content locator; rows that repeat identifier and text stay
 or go together). Identifiers may be null (smaller than any other) or shared by different texts: where the smallest doc_id
-is null or names another class too, class_id is a negative number of the class's own. Empty tables give no rows; other
-columns are ignored, and pass through `drop_near_copies` whatever their names.
+is null or names another class too, class_id is a negative number of the class's own. Identifiers are whole numbers (64
+bits): others have to be numbered first. Empty tables give no rows; other columns are ignored, and pass through `drop_near_copies` whatever their names.
 """
 
 from __future__ import annotations

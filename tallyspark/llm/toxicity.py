@@ -192,7 +192,7 @@ def curve(raw: np.ndarray, y: np.ndarray, n_no: int, n_yes: int) -> tuple[float,
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, score, predicted, n_matches) for every row."""
+    """(doc_id, score, predicted) for every row."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")

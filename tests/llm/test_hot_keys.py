@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.llm import exact_dedup, langid, mix, near_dedup, url_filter
+from tallyspark.llm import exact_dedup, langid, mix, near_dedup, toxicity, url_filter
 from tallyspark.llm.common import join_classes
 
 ROWS = 9_000
@@ -130,3 +130,17 @@ def test_mining_against_enumeration(spark):
     want = {k: c for k, c in every.items() if not any(a < k[0] and la == k[1] and sure >= c for (a, la), sure in every.items())}
     got = {(frozenset(r["tokens"]), r["label"]): r["confidence"] for r in url_filter.mine(df, 0.05, 0.8).collect()}
     assert got == {k: pytest.approx(v) for k, v in want.items()} and any(la == "block" for _, la in got)
+
+
+def test_toxicity_of_null_and_repeated_labels(spark):
+    """The largest of a document's labels counts, however often they repeat; null labels and identifiers teach nothing."""
+    docs = spark.createDataFrame([(i, f"plain words of row {i} and blargh {'grumpfing all day' if i % 2 else 'sunshine all day'}") for i in range(40)] + [(None, "grumpfing")], "doc_id long, text string")
+    one = [(i, i % 2) for i in range(40)]
+    odd = one + [(i, i % 2) for i in range(40)] + [(i, 0) for i in range(0, 40)] + [(i, None) for i in range(40)] + [(None, 1), (None, None), (99, 1)]
+    schema = "doc_id long, toxic int"
+    a, b = (toxicity.learn(docs, spark.createDataFrame(x, schema), F.lit(True)) for x in (one, odd))
+    assert (a.weights, a.slope, a.bias) == (b.weights, b.slope, b.bias) and any("grump" in w for w in a.weights)
+    none = toxicity.learn(docs, spark.createDataFrame([(1, None), (None, 1)], schema), F.lit(True))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, a).collect()}
+    assert got[1] == 1 and got[2] == 0 and got[None] == 1
+    assert toxicity.score(docs, none).count() == 41
