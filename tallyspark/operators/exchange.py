@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import bpe
+from tallyspark.functions.bpe import Unverifiable, vocabulary
 from tallyspark.functions.tokens import calibration_key, entry_bytes, script_bucket
 from tallyspark.operators import align, audit, likelihood
+from tallyspark.operators.align import spelling, spelt_part
 from tallyspark.operators.calibration import applicability, thresholds
 from tallyspark.sources.store import stored
 
@@ -31,15 +33,15 @@ def _read(text: str, spec: str | None, tokens: list | None, raws: list | None, s
     """The canonical encoding of a text, with the bytes of its ids, and how entries with placeholders (where given) spell it."""
     data, out = text.encode("utf-8", "surrogatepass"), {}
     if spec is not None:
-        v = bpe.vocabulary(spec)
+        v = vocabulary(spec)
         try:
             out["ids"] = v.canonical(data)
             out["bytes"] = [len(v.pieces[i]) for i in out["ids"]]
-        except bpe.Unverifiable:
+        except Unverifiable:
             pass
     if tokens is not None:
-        forms = [align.spelling(t, r) for t, r in zip(tokens, raws)]
-        out["array"], out["start"], out["end"], out["pieces"] = align.spelt_part(forms, data, special)
+        forms = [spelling(t, r) for t, r in zip(tokens, raws)]
+        out["array"], out["start"], out["end"], out["pieces"] = spelt_part(forms, data, special)
         out["readings"] = None if out["array"] and out["pieces"] is None else len(out["pieces"] or [])
     return out
 

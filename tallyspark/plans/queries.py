@@ -804,9 +804,9 @@ def q77(spark, d):
 
 @query("q78_first_prompts", """WITH p AS (SELECT trim(text, ' ') AS prompt, min(conv_id * 100 + turn) AS position FROM conversations WHERE role = 'user' AND length(text) BETWEEN 20 AND 400 GROUP BY 1) SELECT prompt, position FROM p ORDER BY position, prompt LIMIT 50""")
 def q78(spark, d):
-    """The first fifty distinct prompts (a report that is meant to be short), from the table if it has as many."""
+    """The first fifty distinct prompts (a report that is meant to be short), or those there are."""
     p = table(spark, d, "conversations").where("role = 'user'").select(F.col("text").alias("prompt"), (F.col("conv_id") * 100 + F.col("turn")).alias("position"))
-    return matching.prompts_or_fallback(p, p.limit(0), 20, 400, 50)
+    return matching.prompts_or_fallback(p, p, 20, 400, 50)
 
 
 @query("q79_endpoint_states", f"""WITH {OUTCOMES}, s AS (SELECT CASE seq % 3 WHEN 0 THEN key WHEN 1 THEN 'request|' || key || '|latin' ELSE 'batch|' || key || '|cjk' END AS key, rejected FROM outcomes),
