@@ -35,7 +35,9 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 def folded(text: str) -> str:
     """Lower-cased words with single blanks between and around them, one of equal neighbours; empty if there is no letter."""
-    words = [w for w in _OTHER.sub(" ", text.lower()).split() if w.isalpha() or any(map(str.isalpha, w))]
+    words = _OTHER.sub(" ", text.lower()).split()
+    if not "".join(words).isalpha():  # numerals other than digits, for one
+        words = [w for w in words if any(map(str.isalpha, w))]
     words = [w for w, before in zip(words, ["", *words]) if w != before]
     return f" {' '.join(words)} " if words else ""
 
