@@ -945,3 +945,21 @@ def q87(spark, d):
     for model in ("m0", "m1", "m0", "m2", "m1"):
         files.append_calibration({"gaps": g.where(F.col("model") == model)}, path)
     return calibration.gap_rule(files.read_calibration(spark, path)["gaps"]).select("key", "n", "max_gap", F.round("mean_gap", 6).alias("mean_gap"))
+
+
+@query("q88_request_projection", """WITH c AS (SELECT conv_id, turn, length(text) AS n, conv_id * 100 + turn AS exchange FROM conversations WHERE role = 'user')
+SELECT exchange, CASE WHEN conv_id % 4 = 0 THEN 'asked' ELSE 'served' END AS model, CAST(CASE WHEN turn % 3 = 0 THEN n WHEN turn % 3 = 1 THEN 7 END AS BIGINT) AS max_tokens,
+  CASE WHEN conv_id % 2 = 0 THEN CAST(0.5 AS DOUBLE) ELSE 1 END AS temperature, CASE WHEN conv_id % 3 = 0 THEN CAST(0.25 AS DOUBLE) ELSE 1 END AS top_p,
+  CASE WHEN conv_id % 5 = 0 THEN substr(sha256('be brief' || chr(10) || 'in ' || turn), 1, 16) END AS system, CAST(CASE WHEN turn % 2 = 0 THEN 3 ELSE 0 END AS BIGINT) AS reasoning_tokens FROM c""")
+def q88(spark, d):
+    """Requests and responses as JSON with fields left out, zero or empty, projected to what an audit reads of them."""
+    c = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.length("text").cast("long").alias("n"))
+    k, t = F.col("conv_id"), F.col("turn")
+    said = [F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in (("system", F.lit("be brief")), ("user", F.lit("x")), ("developer", F.concat(F.lit("in "), t)))]
+    request = F.struct(
+        F.when(k % 4 == 0, "asked").otherwise("").alias("model"), F.when(t % 3 == 1, 7).alias("max_tokens"), F.when(t % 3 == 0, F.col("n")).when(t % 3 == 1, 0).alias("max_completion_tokens"),
+        F.when(k % 2 == 0, 0.5).alias("temperature"), F.when(k % 3 == 0, 0.25).alias("top_p"), F.when(k % 5 == 0, F.array(*said)).alias("messages"))
+    usage = F.struct(F.struct(F.when(t % 2 == 0, 3).alias("reasoning_tokens")).alias("completion_tokens_details"))
+    body = F.to_json(F.struct(request.alias("request"), F.struct(F.lit("served").alias("model"), usage.alias("usage")).alias("response")))
+    x = c.select((k * 100 + t).alias("exchange"), F.from_json(body, files.CAPTURED).alias("x")).select("exchange", "x.*")
+    return audit.projected(x, "exchange").select("exchange", "model", "max_tokens", "temperature", "top_p", "system", "reasoning_tokens")
