@@ -36,7 +36,7 @@ def talk(spark, rows):
 
 
 @pytest.mark.parametrize("name", ["op11_chat_format", "op12_resample", "op13_conversation_repair"])
-@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+@pytest.mark.parametrize("size", ["sf0.1"])
 def test_query_matches_sql(spark, name, size):
     d = f"/root/testdata/{size}"
     con = duckdb.connect()
