@@ -181,7 +181,7 @@ def resampled(deltas: DataFrame, draws: int) -> DataFrame:
         held: dict[str, np.ndarray] = {}
 
         def out() -> pd.DataFrame:
-            x = np.concatenate(list(held.values())) if held else np.zeros((0, len(SUMS)))
+            x = np.concatenate(list(held.values()))
             return pd.DataFrame({"cell": np.repeat(list(held), draws), "draw": np.tile(np.arange(draws), len(held)), **{k: x[:, i] for i, k in enumerate(SUMS)}})
 
         for f in frames:
@@ -199,7 +199,8 @@ def resampled(deltas: DataFrame, draws: int) -> DataFrame:
             if len(held) > 1_000:
                 yield out()
                 held.clear()
-        yield out()
+        if held:  # a frame without rows has no type for its cells
+            yield out()
 
     d = deltas.where("delta is not null and billed is not null")
     d = d.select(F.col("cell").cast("string").alias("cell"), "delta", "billed", F.xxhash64("cell", "id").alias("seed"))
