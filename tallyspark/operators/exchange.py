@@ -46,11 +46,17 @@ def _read(text: str, spec: str | None, tokens: list | None, raws: list | None, s
     return out
 
 
+#: Rows that are Python objects at a time.
+READ_ROWS = 100
+
+
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds read; other columns pass as they are."""
-    for b in batches:
-        rows = [_read(*x) for x in zip(*(b.column(c).to_pylist() for c in ("text", "tokenizer", "hole_tokens", "hole_raws", "hole_special")))]
-        yield b.append_column("read", pa.array(rows, _READ))
+    """Adds read; other columns pass as they are. Few rows are Python objects at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, READ_ROWS):
+            b = whole.slice(at, READ_ROWS)
+            rows = [_read(*x) for x in zip(*(b.column(c).to_pylist() for c in ("text", "tokenizer", "hole_tokens", "hole_raws", "hole_special")))]
+            yield b.append_column("read", pa.array(rows, _READ))
 
 
 def choices_of(captured: DataFrame, tokenizers: DataFrame) -> DataFrame:
@@ -63,7 +69,9 @@ def choices_of(captured: DataFrame, tokenizers: DataFrame) -> DataFrame:
     traits = known.join(bpe.traits(known), "tokenizer")
     flat = audit.projected(captured, "exchange", "language", F.col("response.choices").alias("choice_list"))
     cols = [x for x in flat.columns if x not in ("choice_list", "language")]
-    c = flat.join(traits, "model", "left").select("*", F.explode("choice_list").alias("c")).drop("choice_list")
+    # there are few models: dealt by them, rows would go to a few tasks. A row a model with a tokenizer is small. With a plain
+    # explode the optimizer asks of the list whether it is empty before, for which a request would be parsed again.
+    c = flat.join(F.broadcast(traits), "model", "left").select("*", F.posexplode_outer("choice_list").alias("nth", "c")).where("nth is not null").drop("choice_list", "nth")
     entries = F.col("c.logprobs.content")
     tools = F.coalesce(F.size("c.message.tool_calls") > 0, F.lit(False))
     reasoning = (F.coalesce("c.message.reasoning", F.lit("")) != "") | (F.coalesce("c.message.reasoning_content", F.lit("")) != "")
@@ -71,17 +79,19 @@ def choices_of(captured: DataFrame, tokenizers: DataFrame) -> DataFrame:
         *cols, "tokenizer", "special_tokens", "special_ids", "newline", F.coalesce("c.index", F.lit(0)).alias("index"), F.coalesce("c.message.content", F.lit("")).alias("text"), "language",
         F.when(entries.isNotNull(), F.size(entries)).cast("long").alias("reported"), reasoning.alias("reasoning"), F.coalesce(F.col("c.finish_reason") == "length", F.lit(False)).alias("capped"),
         tools.alias("tool_calls"), F.when(~tools, entries).alias("e"))
-    c = c.withColumns({"special": F.transform("e", _is_special), "raws": F.transform("e", entry_bytes), "hole": F.coalesce(align.has_hole(F.col("e")), F.lit(False))})
+    c = c.withColumns({"special": F.transform("e", _is_special), "hole": F.coalesce(align.has_hole(F.col("e")), F.lit(False))})
     holed = lambda x: F.when(F.col("hole"), x)
     only = F.transform("e", lambda e: F.when(~_holed(e), entry_bytes(e)))
     c = c.withColumns({"hole_tokens": holed(F.transform("e", lambda e: F.coalesce(e["token"], F.lit("")))), "hole_raws": holed(only), "hole_special": holed(F.col("special"))})
-    c = c.mapInArrow(_read_batches, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema), READ]))
-    c = c.withColumn("cut", F.when(~F.col("hole") & F.col("e").isNotNull(), align.slice_of(F.col("e"), F.col("text"), F.col("special"))))
+    c = c.mapInArrow(_read_batches, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema), READ])).drop("hole_tokens", "hole_raws", "hole_special")
+    c = c.withColumn("raws", F.transform("e", entry_bytes))
+    c = c.withColumn("hexes", F.transform("raws", lambda b: F.coalesce(F.hex(b), F.lit(""))))
+    c = c.withColumn("cut", F.when(~F.col("hole") & F.col("e").isNotNull(), align.slice_of(F.col("e"), F.col("text"), F.col("special"), F.col("hexes"))))
     c = c.withColumns({k: F.coalesce(f"cut.{k}", f"read.{k}") for k in ("array", "start", "end")})
     aligned = F.col("array").isNotNull()
     answer = F.slice("e", F.col("start") + 1, F.col("end") - F.col("start"))
     whole = F.array(F.slice("raws", F.col("start") + 1, F.col("end") - F.col("start")))
-    given = F.transform(answer, lambda e: F.coalesce(e["token_id"], F.regexp_extract(e["token"], "^token_id:([0-9]+)$", 1).try_cast("bigint")))
+    given = F.transform(answer, lambda e: F.coalesce(e["token_id"], F.when(F.startswith(e["token"], F.lit("token_id:")), _named_id(e["token"]))))
     c = c.withColumns({
         "readings": F.when(F.col("e").isNotNull() & ~aligned, 0).when(F.col("hole"), F.col("read.readings")).when(aligned, 1),
         "pieces": F.when(F.col("hole"), F.col("read.pieces")).when(aligned, whole), "given": given, "tokens": F.transform(answer, lambda e: F.coalesce(e["token"], F.lit("")))})
@@ -109,6 +119,11 @@ def _holed(e: Column) -> Column:
     return e["bytes"].isNull() & ~F.startswith(e["token"], F.lit("bytes:")) & F.contains(e["token"], F.lit(align.PLACEHOLDER))
 
 
+def _named_id(token: Column) -> Column:
+    """The number in `token_id:123`, else null. A failing cast costs an exception, so other tokens are not cast."""
+    return F.nullif(F.regexp_extract(token, "^token_id:([0-9]+)$", 1), F.lit("")).try_cast("bigint")
+
+
 def _is_special(e: Column) -> Column:
     by_id = F.array_contains("special_ids", e["token_id"].cast("int"))
     return F.coalesce(F.when(e["token_id"].isNotNull(), by_id).otherwise(F.array_contains("special_tokens", F.coalesce(e["token"], F.lit("")))), F.lit(False))

@@ -12,6 +12,7 @@ from tallyspark.operators import align, audit, calibration, exchange, likelihood
 from tallyspark.operators import ledger as lg
 from tallyspark.plans.adapters import BIG, CAPTURED, EXCHANGE_MODELS, LEDGER, OUTCOMES, PAIRS, TOK, big_ledger, captured, exchanges, ledger, outcomes, table
 from tallyspark.sources import files, store
+from tallyspark.sources.store import stored
 from tallyspark.streaming import endpoint, sse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -654,7 +655,7 @@ SELECT exchange, CASE WHEN conv_id % 11 <> 0 THEN CAST(entries AS BIGINT) END AS
   CASE WHEN conv_id % 11 = 0 OR "array" IS NULL OR conv_id % 7 = 0 AND "array" = 'content' OR conv_id % 4 <> 1 THEN NULL ELSE 2 END AS billed_minus_reported FROM v""")
 def q67(spark, d):
     """Raw requests and responses to verdicts: canonical ids, slices, candidates, scores, and thresholds of the choice's own key."""
-    x = exchanges(spark, d)
+    x = stored(exchanges(spark, d))
     known = spark.createDataFrame(EXCHANGE_MODELS, "model string, tokenizer string")
     scores = spark.createDataFrame([(m, i, -5.0 if i < 256 else -6.0) for m, _ in EXCHANGE_MODELS for i in range(256 + len(PAIRS))], "model string, token_id int, logprob double")
     c, store = exchange.choices_of(x, known).withColumn("scorer", F.lit("s")), likelihood.WindowStore(spark)

@@ -1,6 +1,9 @@
 """What only shows on larger tables: tasks without rows, and work or memory that grows faster than the input."""
 
-from tallyspark.operators import monitor
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from tallyspark.operators import exchange, monitor
 
 
 def test_detection_rate_with_tasks_without_rows(spark):
@@ -9,3 +12,14 @@ def test_detection_rate_with_tasks_without_rows(spark):
     assert monitor.detection_rate(x.coalesce(1).union(x.where("id < 0")), [1.0]).collect() == want
     assert monitor.detection_rate(x.repartition(4, "cell"), [1.0]).collect() == want
     assert monitor.detection_rate(x.where("id < 0"), [1.0]).collect() == []
+
+
+def test_few_rows_are_python_objects_at_a_time():
+    columns = {"text": ["the"] * 250, "tokenizer": [None] * 250, "hole_tokens": [None] * 250, "hole_raws": [None] * 250, "hole_special": [None] * 250}
+    got = list(exchange._read_batches(iter([pa.record_batch({k: pa.array(v, pa.string()) for k, v in columns.items()})])))
+    assert sum(b.num_rows for b in got) == 250 and max(b.num_rows for b in got) <= exchange.READ_ROWS
+
+
+def test_named_ids(spark):
+    t = spark.createDataFrame([("token_id:12",), ("token_id:",), ("the",), ("token_id:99999999999999999999",), (None,)], "t string")
+    assert [r[0] for r in t.select(exchange._named_id(F.col("t"))).collect()] == [12, None, None, None, None]
