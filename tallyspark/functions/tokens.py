@@ -37,11 +37,15 @@ def tokens(text: Column) -> Column:
 def script_bucket(text: Column) -> Column:
     """Dominant script of the letters; of equally frequent ones the script seen first; none without letters."""
     patterns = SCRIPTS | {"latin": r"[\p{L}&&[^\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{0900}-\x{097F}\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{0400}-\x{04FF}]]"}
+    letters = lambda p: F.char_length(F.array_join(F.regexp_extract_all(text, F.lit(f"{p}+"), F.lit(0)), ""))
     ranked = F.array_max(F.array(*[
         F.struct(
-            F.regexp_count(text, F.lit(p)).alias("n"), (-F.regexp_instr(text, F.lit(p))).alias("first"), F.lit(name).alias("name"))
+            letters(p).alias("n"), (-F.regexp_instr(text, F.lit(p))).alias("first"), F.lit(name).alias("name"))
         for name, p in patterns.items()]))
-    return F.when(ranked["n"] > 0, ranked["name"]).otherwise(F.when(text.isNotNull(), F.lit("none")))
+    # most texts have one script, which a look for any other tells
+    alone = ~F.rlike(text, F.lit("[" + "".join(p[1:].removesuffix("&&\\p{L}]") for p in SCRIPTS.values()) + "&&\\p{L}]"))
+    latin = F.when(F.rlike(text, F.lit(r"\p{L}")), F.lit("latin")).otherwise(F.lit("none"))
+    return F.when(alone, latin).when(ranked["n"] > 0, ranked["name"]).otherwise(F.when(text.isNotNull(), F.lit("none")))
 
 
 def system_hash(messages: Column) -> Column:

@@ -441,7 +441,7 @@ def q43(spark, d):
     """Whole documents, some of their letters written in other scripts, and some in which scripts tie: the one seen first counts."""
     k = F.col("doc_id") % 7
     t = F.when(k == 0, F.translate("text", LETTERS, CYRILLIC)).when(k == 1, F.translate("text", LETTERS, HAN)).when(k == 2, F.regexp_replace("text", r"\p{L}", "1")).when(k == 3, F.lit("а漢ab" + "вг語"))
-    return table(spark, d, "documents").select("doc_id", tokens.script_bucket(t.otherwise(F.col("text"))).alias("script"))
+    return table(spark, d, "documents").select("doc_id", t.otherwise(F.col("text")).alias("t")).select("doc_id", tokens.script_bucket(F.col("t")).alias("script"))
 
 
 FORMATS = "CASE conv_id % 5 WHEN 0 THEN 'harmony' WHEN 1 THEN 'simple' WHEN 2 THEN 'think_tags' WHEN 3 THEN 'gemma_thinking' ELSE 'glm_thinking' END"

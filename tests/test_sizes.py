@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyspark.operators import exchange, monitor
+from tallyspark.plans.queries import QUERIES
 
 
 def test_detection_rate_with_tasks_without_rows(spark):
@@ -23,3 +24,8 @@ def test_few_rows_are_python_objects_at_a_time():
 def test_named_ids(spark):
     t = spark.createDataFrame([("token_id:12",), ("token_id:",), ("the",), ("token_id:99999999999999999999",), (None,)], "t string")
     assert [r[0] for r in t.select(exchange._named_id(F.col("t"))).collect()] == [12, None, None, None, None]
+
+
+def test_a_changed_text_is_made_once_for_its_script(spark, sf):
+    plan = QUERIES["q43_script_bucket"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 2
