@@ -507,9 +507,10 @@ def q49(spark, d):
 s AS (SELECT id, span, median(l_discount + rep * 0.001) AS r, median(l_tax + rep * 0.002) AS c FROM w GROUP BY 1, 2) SELECT id, round(sum(r - c), 6) AS llr, count(*) AS spans FROM s GROUP BY 1""")
 def q50(spark, d):
     sides = F.array(F.struct(F.lit("reported").alias("side"), F.col("l_discount").alias("base"), F.lit(0.001).alias("step")), F.struct(F.lit("canonical").alias("side"), F.col("l_tax").alias("base"), F.lit(0.002).alias("step")))
-    w = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("span"), F.inline(sides))
-    w = w.select("id", "span", "side", "base", "step", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("repeat"))
-    s = align.window_scores(w.withColumn("score", F.col("base") + F.col("repeat") * F.col("step")))
+    w = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax").repartition("l_orderkey")  # before they are unfolded
+    w = w.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("span"), F.inline(sides))
+    repeats = F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda n: F.col("base") + n * F.col("step"))
+    s = align.window_scores(w.select("id", "span", "side", repeats.alias("scores")))
     return align.likelihood_ratio(s).select("id", F.round("llr", 6).alias("llr"), "spans")
 
 

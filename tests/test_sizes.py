@@ -3,8 +3,9 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyspark.operators import exchange, monitor
+from tallyspark.operators import align, exchange, monitor
 from tallyspark.plans.queries import QUERIES
+from tallyspark.streaming import endpoint
 
 
 def test_detection_rate_with_tasks_without_rows(spark):
@@ -29,3 +30,28 @@ def test_named_ids(spark):
 def test_a_changed_text_is_made_once_for_its_script(spark, sf):
     plan = QUERIES["q43_script_bucket"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == 2
+
+
+def test_window_scores_of_lists_are_medians_and_move_rows_once(spark, sf):
+    rows = [(1, 1, "reported", [3.0, None, 1.0]), (1, 1, "reported", [2.0, 8.0]), (1, 2, "canonical", [5.0, 1.0, 9.0]), (2, 1, "reported", [None])]
+    w = spark.createDataFrame(rows, "id long, span int, side string, scores array<double>")
+    long = w.select("id", "span", "side", F.explode("scores").alias("score"))
+    assert sorted(align.window_scores(w).collect()) == sorted(align.window_scores(long).collect())
+    plan = QUERIES["q50_windowed_llr"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_aligned_texts_leave_in_bounded_batches(spark, monkeypatch):
+    t = spark.createDataFrame([(i, "aé" * 40, ["a", "�", "�"] * 40) for i in range(300)], "id long, text string, tokens array<string>").coalesce(1)
+    sizes = align.align_holes(t).groupBy(F.spark_partition_id()).count().collect()
+    assert [r["count"] for r in sizes] == [300]
+    assert {(r["state"], len(r["readings"][0])) for r in align.align_holes(t).collect()} == {("ok", 120)}
+    assert "MapInArrow" in align.align_holes(t)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_batches_are_tested_by_all_tasks(spark):
+    gaps = spark.createDataFrame([("k", i, i % 3, 100, "h") for i in range(4_000)], "key string, seq long, gap long, canonical long, host string")
+    ref = gaps.select("key", "gap")
+    n = endpoint.batch_outcomes(monitor.whole_batches(gaps), ref).select(F.spark_partition_id()).distinct().count()
+    assert n > 4
+    assert monitor.batch_pvalues(gaps, ref).select(F.spark_partition_id()).distinct().count() > 4
