@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +151,12 @@ def permutation_p(batch: list[tuple[float, float]], reference: list[tuple[float,
     return (hits + 1) / (permutations + 1)
 
 
+def dealt(batches: DataFrame) -> DataFrame:
+    """Batches over all tasks. They are few bytes and much work, so partitions that are merged by bytes would leave a few tasks all of it."""
+    spark = batches.sparkSession
+    return batches.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "key", "batch")
+
+
 def batch_pvalues(gaps: DataFrame, reference: DataFrame, size: int = 100, margin: float = 0.0005, permutations: int = 2000) -> DataFrame:
     """(key, batch, p_value) of full batches. A batch has `size` rows. The reference is a key's calibration set, held as a
     count for each distinct gap (gaps are small whole numbers), and is never laid out. Draws are seeded by the batch's number."""
@@ -157,14 +164,15 @@ def batch_pvalues(gaps: DataFrame, reference: DataFrame, size: int = 100, margin
     per = b.groupBy("key", "batch").agg(F.array_sort(F.collect_list(F.struct("seq", "gap", "canonical"))).alias("rows")).where(F.size("rows") == size)
     ref = reference.groupBy("key", "gap").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("gap", "n"))).alias("reference"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            p = [
-                permutation_p([(r["gap"], r["canonical"]) for r in rows], [(c["gap"], c["n"]) for c in counts], margin, permutations, int(batch))
-                for batch, rows, counts in zip(f["batch"], f["rows"], f["reference"])]
-            yield pd.DataFrame({"key": f["key"], "batch": f["batch"], "p_value": p})
+    def run(whole: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole:
+            p = []
+            for batch, rows, counts in zip(*(b.column(c) for c in ("batch", "rows", "reference"))):  # one at a time is Python objects
+                own, of = rows.as_py(), counts.as_py()
+                p.append(permutation_p([(r["gap"], r["canonical"]) for r in own], [(c["gap"], c["n"]) for c in of], margin, permutations, batch.as_py()))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("batch"), pa.array(p, pa.float64())], ["key", "batch", "p_value"])
 
-    return per.join(ref, "key").select("key", "batch", "rows", "reference").mapInPandas(run, "key string, batch long, p_value double")
+    return dealt(per.join(ref, "key").select("key", "batch", "rows", "reference")).mapInArrow(run, "key string, batch long, p_value double")
 
 
 #: Chances of a Poisson variable of mean 1 to be at most 0, 1, 2, ...

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyspark.functions.stats import BETS
-from tallyspark.operators.monitor import permutation_p
+from tallyspark.operators.monitor import dealt, permutation_p
 from tallyspark.sources.store import Versioned
 
 STATE = "p0 double, tested long, rejected long, extra long, tokens long, flagged boolean"
@@ -116,7 +116,7 @@ def batch_outcomes(batches: DataFrame, reference: DataFrame, margin: float = 0.0
         each = zip(gaps, canonicals, counts, nth)
         return pd.Series([permutation_p(list(zip(g, c)), [(r["gap"], r["n"]) for r in of], margin, seed=int(b)) for g, c, of, b in each], dtype=float)
 
-    j = batches.join(per, "key").withColumn("p_value", p_value("gaps", "canonicals", "reference", "batch"))
+    j = dealt(batches.join(per, "key")).withColumn("p_value", p_value("gaps", "canonicals", "reference", "batch"))
     rejected = F.col("p_value") < alpha
     excess = F.greatest(F.lit(0).cast("long"), F.bround(F.col("gap") - F.col("n") * F.col("mean")).cast("long"))
     return j.select(
