@@ -89,7 +89,8 @@ def entry_bytes(entry: Column) -> Column:
     hexes = F.regexp_extract_all(token, F.lit(r"\\x([0-9a-fA-F]{2})"), F.lit(1))
     plain = F.split(F.substring(token, 7, 2**30), r"\\x[0-9a-fA-F]{2}", -1)
     parts = F.transform(plain, lambda p, i: F.concat(F.hex(F.encode(p, "UTF-8")), F.coalesce(F.get(hexes, i), F.lit(""))))
-    escaped = F.unhex(F.array_join(parts, ""))
+    mixed = F.unhex(F.array_join(parts, ""))
+    escaped = F.when(F.rlike(token, F.lit(r"^bytes:(?:\\x[0-9a-fA-F]{2})*+\z")), F.unhex(F.replace(F.substring(token, 7, 2**30), F.lit("\\x"), F.lit("")))).otherwise(mixed)
     return F.coalesce(field, F.when(F.startswith(token, F.lit("bytes:")), escaped).otherwise(F.encode(token, "UTF-8")))
 
 

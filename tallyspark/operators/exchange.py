@@ -20,7 +20,7 @@ from tallyspark.functions.tokens import calibration_key, entry_bytes, script_buc
 from tallyspark.operators import align, audit, likelihood
 from tallyspark.operators.align import spelling, spelt_part
 from tallyspark.operators.calibration import applicability, thresholds
-from tallyspark.sources.store import stored
+from tallyspark.sources.store import dealt, stored
 
 #: Vocabularies with this token write reasoning on a channel of its own, which the returned text doesn't have.
 CHANNEL = "<|channel|>"
@@ -79,24 +79,26 @@ def choices_of(captured: DataFrame, tokenizers: DataFrame) -> DataFrame:
         *cols, "tokenizer", "special_tokens", "special_ids", "newline", F.coalesce("c.index", F.lit(0)).alias("index"), F.coalesce("c.message.content", F.lit("")).alias("text"), "language",
         F.when(entries.isNotNull(), F.size(entries)).cast("long").alias("reported"), reasoning.alias("reasoning"), F.coalesce(F.col("c.finish_reason") == "length", F.lit(False)).alias("capped"),
         tools.alias("tool_calls"), F.when(~tools, entries).alias("e"))
-    c = c.withColumns({"special": F.transform("e", _is_special), "hole": F.coalesce(align.has_hole(F.col("e")), F.lit(False))})
+    # entries are looked through once, for all that is asked of each. What passes through Python has no lists inside of them: Spark
+    # measures a batch after each row, and null lists all over again
+    c = c.withColumn("e", F.transform("e", _entry))
+    c = c.withColumns({"special": F.col("e.special"), "hole": F.coalesce(F.array_contains("e.holed", True), F.lit(False))})
     holed = lambda x: F.when(F.col("hole"), x)
-    only = F.transform("e", lambda e: F.when(~_holed(e), entry_bytes(e)))
-    c = c.withColumns({"hole_tokens": holed(F.transform("e", lambda e: F.coalesce(e["token"], F.lit("")))), "hole_raws": holed(only), "hole_special": holed(F.col("special"))})
+    only = F.transform("e", lambda e: F.when(~e["holed"], e["raw"]))
+    c = c.withColumns({"hole_tokens": holed(F.col("e.token")), "hole_raws": holed(only), "hole_special": holed(F.col("special"))})
     c = c.mapInArrow(_read_batches, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema), READ])).drop("hole_tokens", "hole_raws", "hole_special")
-    c = c.withColumn("raws", F.transform("e", entry_bytes))
+    c = c.withColumn("raws", F.col("e.raw"))
     c = c.withColumn("hexes", F.transform("raws", lambda b: F.coalesce(F.hex(b), F.lit(""))))
     c = c.withColumn("cut", F.when(~F.col("hole") & F.col("e").isNotNull(), align.slice_of(F.col("e"), F.col("text"), F.col("special"), F.col("hexes"))))
     c = c.withColumns({k: F.coalesce(f"cut.{k}", f"read.{k}") for k in ("array", "start", "end")})
     aligned = F.col("array").isNotNull()
-    answer = F.slice("e", F.col("start") + 1, F.col("end") - F.col("start"))
-    whole = F.array(F.slice("raws", F.col("start") + 1, F.col("end") - F.col("start")))
-    given = F.transform(answer, lambda e: F.coalesce(e["token_id"], F.when(F.startswith(e["token"], F.lit("token_id:")), _named_id(e["token"]))))
+    answer = lambda x: F.slice(x, F.col("start") + 1, F.col("end") - F.col("start"))
+    whole = F.array(answer("raws"))
     c = c.withColumns({
         "readings": F.when(F.col("e").isNotNull() & ~aligned, 0).when(F.col("hole"), F.col("read.readings")).when(aligned, 1),
-        "pieces": F.when(F.col("hole"), F.col("read.pieces")).when(aligned, whole), "given": given, "tokens": F.transform(answer, lambda e: F.coalesce(e["token"], F.lit("")))})
+        "pieces": F.when(F.col("hole"), F.col("read.pieces")).when(aligned, whole), "given": answer("e.given"), "tokens": answer("e.token")})
     sizes = F.transform("pieces", lambda r: F.transform(r, lambda b: F.octet_length(b)))
-    agree = F.forall(F.arrays_zip("given", "read.ids"), lambda x: F.coalesce(x["given"] == x["ids"], F.lit(True)))
+    agree = F.array_max("given").isNull() | F.forall(F.arrays_zip("given", "read.ids"), lambda x: F.coalesce(x["given"] == x["ids"], F.lit(True)))
     same = F.exists("sizes", lambda r: r == F.col("read.bytes")) & agree
     judged = aligned & F.col("read.ids").isNotNull() & ~F.col("capped") & F.coalesce(F.size("pieces") > 0, F.lit(False))
     c = c.withColumn("sizes", sizes).withColumn("other", F.coalesce(judged & ~same, F.lit(False)))
@@ -107,7 +109,7 @@ def choices_of(captured: DataFrame, tokenizers: DataFrame) -> DataFrame:
         F.when(F.col("e").isNotNull(), F.col("readings")).alias("readings"), F.col("read.ids").alias("canonical_ids"), F.col("read.bytes").alias("canonical_bytes"),
         F.coalesce(F.array_contains("special_tokens", CHANNEL), F.lit(False)).alias("channels"), "other", kept(F.col("pieces")).alias("pieces"), kept(F.col("sizes")).alias("reading_bytes"),
         kept(F.col("given")).alias("given"), kept(F.col("tokens")).alias("tokens")))
-    c = c.join(_candidates(c.where("other"), known), ["exchange", "index"], "left")
+    c = c.join(stored(_candidates(c.where("other"), known)), ["exchange", "index"], "left")
     mismatch = F.col("other") & F.col("candidates").isNull()
     reason = (
         F.when(F.col("tool_calls") | F.col("reported").isNull(), F.lit(None)).when(F.col("array").isNull(), "the entries do not spell the text")
@@ -119,6 +121,13 @@ def _holed(e: Column) -> Column:
     return e["bytes"].isNull() & ~F.startswith(e["token"], F.lit("bytes:")) & F.contains(e["token"], F.lit(align.PLACEHOLDER))
 
 
+def _entry(e: Column) -> Column:
+    given = F.coalesce(e["token_id"], F.when(F.startswith(e["token"], F.lit("token_id:")), _named_id(e["token"])))
+    return F.struct(
+        F.coalesce(e["token"], F.lit("")).alias("token"), given.alias("given"), entry_bytes(e).alias("raw"), _is_special(e).alias("special"),
+        F.coalesce(_holed(e), F.lit(False)).alias("holed"))
+
+
 def _named_id(token: Column) -> Column:
     """The number in `token_id:123`, else null. A failing cast costs an exception, so other tokens are not cast."""
     return F.nullif(F.regexp_extract(token, "^token_id:([0-9]+)$", 1), F.lit("")).try_cast("bigint")
@@ -133,21 +142,26 @@ def _candidates(others: DataFrame, tokenizers: DataFrame) -> DataFrame:
     """(exchange, index, candidates, candidate_bytes): of each reading with an id for every entry, the ids each entry may stand for.
 
     An entry with an id stands for it if the bytes agree; else for all ids of its bytes, the encoder's own first; else for the
-    control token of its name. Distinct entries are looked up once.
+    control token of its name. Distinct entries are looked up once; where they are few they travel to all tasks, and the entries
+    of a choice are not moved: choices are dealt before they are unfolded.
     """
-    r = others.select("exchange", "index", "tokenizer", "given", "tokens", F.posexplode("pieces").alias("reading", "p"))
-    r = r.select("exchange", "index", "reading", "tokenizer", F.posexplode(F.arrays_zip("p", "given", "tokens")).alias("at", "x"))
-    r = r.select("exchange", "index", "reading", "tokenizer", "at", F.col("x.p").alias("bytes"), F.col("x.given").cast("int").alias("given"), F.col("x.tokens").alias("token"))
-    r = r.withColumn("entry", F.concat_ws("|", "tokenizer", F.hex("bytes"), F.coalesce(F.col("given").cast("string"), F.lit("-")), "token"))
+
+    def unfolded(rows: DataFrame) -> DataFrame:
+        r = rows.select("exchange", "index", "tokenizer", "given", "tokens", F.posexplode("pieces").alias("reading", "p"))
+        r = r.select("exchange", "index", "reading", "tokenizer", F.posexplode(F.arrays_zip("p", "given", "tokens")).alias("at", "x"))
+        r = r.select("exchange", "index", "reading", "tokenizer", "at", F.col("x.p").alias("bytes"), F.col("x.given").cast("int").alias("given"), F.col("x.tokens").alias("token"))
+        return r.withColumn("entry", F.concat_ws("|", "tokenizer", F.hex("bytes"), F.coalesce(F.col("given").cast("string"), F.lit("-")), "token"))
+
     v = stored(bpe.vocabularies(tokenizers))
     by_bytes = v.where("special is null").groupBy("tokenizer", "bytes").agg(F.sort_array(F.collect_list(F.struct("rank", "token_id"))).alias("of"))
     by_bytes = by_bytes.select("tokenizer", "bytes", F.transform("of", lambda x: x["token_id"]).alias("same_bytes"))
     by_id = v.select("tokenizer", F.col("token_id").alias("given"), F.col("bytes").alias("given_bytes"))
     by_name = v.where("special is not null").select("tokenizer", F.col("special").alias("token"), F.array("token_id").alias("control"))
-    each = r.groupBy("entry").agg(F.first(F.struct("tokenizer", "bytes", "given", "token")).alias("e")).select("entry", "e.*")
+    each = unfolded(others).groupBy("entry").agg(F.first(F.struct("tokenizer", "bytes", "given", "token")).alias("e")).select("entry", "e.*")
     each = each.join(by_bytes, ["tokenizer", "bytes"], "left").join(by_id, ["tokenizer", "given"], "left").join(by_name, ["tokenizer", "token"], "left")
     ids = F.when(F.col("given").isNotNull(), F.when(F.col("given_bytes") == F.col("bytes"), F.array("given"))).otherwise(F.coalesce("same_bytes", "control"))
-    found = r.select("exchange", "index", "reading", "at", "bytes", "entry").join(each.select("entry", ids.alias("ids")), "entry")
+    own = unfolded(dealt(others.select("exchange", "index", "tokenizer", "given", "tokens", "pieces"), "exchange", "index"))
+    found = own.select("exchange", "index", "reading", "at", "bytes", "entry").join(stored(each.select("entry", ids.alias("ids"))), "entry")
     per = found.groupBy("exchange", "index", "reading").agg(F.array_sort(F.collect_list(F.struct("at", "ids", F.octet_length("bytes").alias("n")))).alias("x"), F.bool_and(F.col("ids").isNotNull()).alias("whole"))
     per = per.where("whole").select("exchange", "index", F.struct("reading", F.transform("x", lambda e: e["ids"]).alias("ids"), F.transform("x", lambda e: e["n"]).alias("bytes")).alias("r"))
     g = per.groupBy("exchange", "index").agg(F.array_sort(F.collect_list("r")).alias("rs"))
@@ -163,7 +177,7 @@ def readings_of(choices: DataFrame) -> DataFrame:
 
 def resolved_readings(choices: DataFrame, store: likelihood.WindowStore, scorer: likelihood.Scorer, settings: likelihood.Settings = likelihood.Settings()) -> DataFrame:
     """readings_of with ids and unclear, written once."""
-    return stored(likelihood.resolved(readings_of(choices), store, scorer, settings))
+    return likelihood.resolved(readings_of(choices), store, scorer, settings)
 
 
 def scored(choices: DataFrame, readings: DataFrame, store: likelihood.WindowStore, scorer: likelihood.Scorer, settings: likelihood.Settings = likelihood.Settings()) -> DataFrame:

@@ -9,9 +9,10 @@ repeat, score); a null or missing score makes what depends on it unverifiable an
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from tallyspark.sources import store as files
 Scorer = Callable[[DataFrame], DataFrame]
 #: Ambiguous positions of a reading that are resolved by scores; with more the choice is unverifiable.
 MAX_AMBIGUOUS = 8
+BOUNDS = "spans array<struct<start:bigint,a_lo:int,a_hi:int,b_lo:int,b_hi:int>>"
 WINDOW = "key string, replicate int, repeat int, score double"
 
 
@@ -58,13 +60,13 @@ class WindowStore:
         """Scores what is not known yet of windows (key, model, context, body), each window once however often it comes."""
         each = windows.groupBy("key").agg(F.first(F.struct("model", "context", "body")).alias("w")).select("key", "w.*")
         calls = each.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        new = calls.join(self.scores().select("key", "replicate", "repeat"), ["key", "replicate", "repeat"], "left_anti")
+        new = calls.join(self.scores().select("key", "replicate", "repeat"), ["key", "replicate", "repeat"], "left_anti") if files.exists(self.spark, self.path) else calls
         got = scorer(files.stored(new)).select("key", F.col("replicate").cast("int"), F.col("repeat").cast("int"), F.col("score").cast("double")).where("score is not null")
         files.add_batch(got, self.path)
 
     def medians(self) -> DataFrame:
         """(key, replicate, score): the median over repeats. A call that two batches have made counts once."""
-        one = self.scores().groupBy("key", "replicate", "repeat").agg(F.min("score").alias("score"))
+        one = self.scores().repartition("key").groupBy("key", "replicate", "repeat").agg(F.min("score").alias("score"))  # dealt once
         return one.groupBy("key", "replicate").agg(F.median("score").alias("score"))
 
 
@@ -82,9 +84,9 @@ def pair_scorer(scores: DataFrame, unseen: float | None = None) -> Scorer:
     """A scorer by the id before each one, from (model, before, token_id, logprob); pairs it doesn't have score `unseen`."""
 
     def score(windows: DataFrame) -> DataFrame:
-        ids = windows.select("key", "replicate", "repeat", "model", "context", "body", F.posexplode("body").alias("at", "token_id"))
-        before = F.when(F.col("at") == 0, F.try_element_at("context", F.lit(-1))).otherwise(F.get("body", F.col("at") - 1))
-        ids = ids.select("key", "replicate", "repeat", "model", before.alias("before"), "token_id")
+        last = F.try_element_at("context", F.lit(-1))
+        pairs = F.transform("body", lambda x, at: F.struct(F.when(at == 0, F.col("_last")).otherwise(F.get("body", at - 1)).alias("before"), x.alias("token_id")))
+        ids = windows.withColumn("_last", last).select("key", "replicate", "repeat", "model", F.inline(pairs))  # rows of ids leave their window behind
         return _summed(ids.join(scores, ["model", "before", "token_id"], "left").withColumn("logprob", F.coalesce("logprob", F.lit(unseen).cast("double"))))
 
     return score
@@ -108,7 +110,7 @@ def resolved(readings: DataFrame, store: WindowStore, scorer: Scorer, settings:
     """
     open_ = F.filter(F.transform("candidates", lambda c, i: F.when(F.size(c) > 1, i)), lambda i: i.isNotNull())
     state = readings.withColumns({"ids": F.transform("candidates", lambda c: c[0]), "_open": open_})
-    state = state.withColumn("unclear", F.size("_open") > limit)
+    state = files.stored(state.withColumn("unclear", F.size("_open") > limit))
     rounds = state.where(~F.col("unclear")).agg(F.max(F.size("_open"))).first()[0] or 0
     for k in range(rounds):
         at = F.get("_open", F.lit(k))
@@ -130,28 +132,28 @@ def resolved(readings: DataFrame, store: WindowStore, scorer: Scorer, settings:
     return state.drop("_open")
 
 
+def _with_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.append_column("spans", align.divergent_bounds(*(b.column(c) for c in ("ids", "bytes", "canonical_ids", "canonical_bytes"))))
+
+
 def windows(reports: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(id, span, side, key, model, context, body): two windows for each divergent span of reports.
 
     reports has (id, model, ids, bytes, canonical_ids, canonical_bytes, newline): ids of either encoding of the same bytes, the
-    number of bytes of each, and the ids of a line break, which stand for an empty context. Spans are found in rows of ids; what
-    comes back to a report is their bounds, and only slices of it leave it again.
+    number of bytes of each, and the ids of a line break, which stand for an empty context. Spans are found within the row, and
+    only slices of it leave it.
     """
-    sides = [reports.select("id", F.lit(s).alias("side"), F.posexplode(F.arrays_zip(i, b)).alias("nth", "x")) for s, i, b in (("a", "ids", "bytes"), ("b", "canonical_ids", "canonical_bytes"))]
-    tokens = [t.select("id", "side", F.col("nth").cast("long").alias("nth"), F.col(f"x.{i}").alias("token_id"), F.col(f"x.{b}").alias("bytes")) for t, i, b in zip(sides, ("ids", "canonical_ids"), ("bytes", "canonical_bytes"))]
-    spans = align.divergent_spans(tokens[0].unionByName(tokens[1]))
-    per = spans.groupBy("id").agg(F.collect_list(F.struct("start", "a_lo", "a_hi", "b_lo", "b_hi")).alias("spans"))
-
-    def cut(s: Column) -> Column:
-        w = align.window_around(F.col("canonical_ids"), s["b_lo"], s["b_hi"], settings.context, settings.suffix)
-        part = lambda ids, lo, hi: F.slice(ids, (s[lo] + 1).cast("int"), (s[hi] - s[lo]).cast("int"))
-        return F.struct(
-            s["start"].alias("span"), F.when(F.size(w["context"]) > 0, w["context"]).otherwise(F.col("newline")).alias("context"),
-            F.concat(part("ids", "a_lo", "a_hi"), w["tail"]).alias("reported"), F.concat(part("canonical_ids", "b_lo", "b_hi"), w["tail"]).alias("canonical"))
-
-    w = reports.join(per, "id").select("id", "model", F.explode(F.transform("spans", cut)).alias("s"))
-    both = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"s.{side}").alias("body")) for side in ("reported", "canonical")])
-    w = w.select("id", "model", "s.span", "s.context", F.inline(both))
+    own = reports.select("id", "model", "newline", "ids", "bytes", "canonical_ids", "canonical_bytes")
+    own = own.mapInArrow(_with_bounds, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", " + BOUNDS)
+    own = own.select("id", "model", "ids", "canonical_ids", "newline", F.inline("spans"))
+    part = lambda ids, lo, hi: F.slice(ids, F.col(lo) + 1, F.col(hi) - F.col(lo))
+    w = own.withColumn("w", align.window_around(F.col("canonical_ids"), F.col("b_lo"), F.col("b_hi"), settings.context, settings.suffix))
+    w = w.select(
+        "id", "model", F.col("start").alias("span"), F.when(F.size("w.context") > 0, F.col("w.context")).otherwise(F.col("newline")).alias("context"),
+        F.concat(part("ids", "a_lo", "a_hi"), "w.tail").alias("reported"), F.concat(part("canonical_ids", "b_lo", "b_hi"), "w.tail").alias("canonical"))
+    both = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("body")) for side in ("reported", "canonical")])
+    w = w.select("id", "model", "span", "context", F.inline(both))
     return w.withColumn("key", window_key(F.col("model"), F.col("context"), F.col("body")))
 
 
@@ -164,9 +166,9 @@ def ratios(reports: DataFrame, store: WindowStore, scorer: Scorer, settings: Set
     store.fill(w, scorer, settings.repeats)
     known = store.medians().where("replicate = 0").select("key", "score")
     scores = w.join(known, "key", "left")
-    whole = scores.groupBy("id").agg((F.count("score") == F.count(F.lit(1))).alias("_whole"))
-    out = align.likelihood_ratio(scores).join(whole, "id")
-    return out.select("id", F.when(F.col("_whole"), F.col("llr")).alias("llr"), F.col("spans").cast("int").alias("spans"))
+    signed = F.when(F.col("side") == "reported", F.col("score")).otherwise(-F.col("score"))
+    whole = F.count("score") == F.count(F.lit(1))
+    return scores.groupBy("id").agg(F.when(whole, F.sum(signed)).alias("llr"), F.count_if(F.col("side") == "reported").cast("int").alias("spans"))
 
 
 def margins(reports: DataFrame, store: WindowStore, scorer: Scorer, settings: Settings = Settings()) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import stats
+from tallyspark.sources import store
 
 
 #: Rows of a key that are ordered in one task, about; a key has GRID parts at most, which grow with it beyond GRID * PART_ROWS rows.
@@ -152,9 +153,8 @@ def permutation_p(batch: list[tuple[float, float]], reference: list[tuple[float,
 
 
 def dealt(batches: DataFrame) -> DataFrame:
-    """Batches over all tasks. They are few bytes and much work, so partitions that are merged by bytes would leave a few tasks all of it."""
-    spark = batches.sparkSession
-    return batches.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "key", "batch")
+    """Batches over all tasks."""
+    return store.dealt(batches, "key", "batch")
 
 
 def batch_pvalues(gaps: DataFrame, reference: DataFrame, size: int = 100, margin: float = 0.0005, permutations: int = 2000) -> DataFrame:

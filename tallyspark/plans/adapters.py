@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import bpe
 from tallyspark.functions.tokens import token_count
 from tallyspark.sources.files import CAPTURED as CAPTURED_SCHEMA
+from tallyspark.sources.store import dealt
 
 TOK = r"\p{L}+|\p{N}|[^\p{L}\p{N} \n]+| |\n"
 
@@ -168,13 +169,17 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns as JSON of requests and responses, read with the reader's schema: a provider that reports tokens as its
     vocabulary cuts them, byte by byte (every third conversation), without its last token (every fifth), with a reasoning
     text in front (every seventh) or not at all (every eleventh). Model m2 has no known tokenizer."""
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    c = dealt(table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text"), "conv_id", "turn")
     k = F.col("conv_id")
     cut = F.when(k % 3 == 0, F.lit("[\\x00-\\x7F]|[^\\x00-\\x7F]")).otherwise(F.lit("|".join(PAIRS) + "|[\\x00-\\x7F]|[^\\x00-\\x7F]"))
-    chars = F.regexp_extract_all(F.col("text"), cut, F.lit(0))
-    hexed = F.transform(chars, lambda x: F.when(F.octet_length(x) > F.char_length(x), F.regexp_extract_all(F.hex(F.encode(x, "UTF-8")), F.lit("(..)"), F.lit(1))))
-    entries = F.flatten(F.zip_with(chars, hexed, lambda x, h: F.when(h.isNull(), F.array(x)).otherwise(F.transform(h, lambda b: F.concat(F.lit("bytes:\\x"), F.lower(b))))))
-    entries = F.when(k % 5 == 0, F.slice(entries, F.lit(1), F.greatest(F.size(entries) - 1, F.lit(0)))).when(k % 7 == 0, F.concat(F.array(F.lit("hm"), F.lit(".")), entries)).otherwise(entries)
+    # columns of their own: an expression is made anew wherever it stands
+    c = c.withColumn("chars", F.regexp_extract_all(F.col("text"), cut, F.lit(0)))
+    hexed = F.transform("chars", lambda x: F.when(F.octet_length(x) > F.char_length(x), F.regexp_extract_all(F.lower(F.hex(F.encode(x, "UTF-8"))), F.lit("(..)"), F.lit(1))))
+    entries = F.flatten(F.zip_with("chars", hexed, lambda x, h: F.when(h.isNull(), F.array(x)).otherwise(F.transform(h, lambda b: F.concat(F.lit("bytes:\\x"), b)))))
+    plain = F.octet_length("text") == F.char_length("text")
+    c = c.withColumn("entries", F.when(plain, F.col("chars")).otherwise(entries)).drop("chars")
+    entries = F.col("entries")
+    c = c.withColumn("entries", F.when(k % 5 == 0, F.slice(entries, F.lit(1), F.greatest(F.size(entries) - 1, F.lit(0)))).when(k % 7 == 0, F.concat(F.array(F.lit("hm"), F.lit(".")), entries)).otherwise(entries))
     logged = F.when(k % 11 != 0, F.struct(F.transform(entries, lambda t: F.struct(t.alias("token"))).alias("content")))
     choice = F.struct(
         F.lit(0).alias("index"), F.when(F.col("turn") % 4 == 3, "length").otherwise("stop").alias("finish_reason"),

@@ -12,7 +12,7 @@ from tallyspark.operators import align, audit, calibration, exchange, likelihood
 from tallyspark.operators import ledger as lg
 from tallyspark.plans.adapters import BIG, CAPTURED, EXCHANGE_MODELS, LEDGER, OUTCOMES, PAIRS, TOK, big_ledger, captured, exchanges, ledger, outcomes, table
 from tallyspark.sources import files, store
-from tallyspark.sources.store import stored
+from tallyspark.sources.store import dealt, stored
 from tallyspark.streaming import endpoint, sse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -688,14 +688,20 @@ def q68(spark, d):
     """Responses of a provider that reports byte by byte, judged by a model of pairs of ids that is trained on the user turns."""
     known = spark.createDataFrame(EXCHANGE_MODELS, "model string, tokenizer string")
     c = exchange.choices_of(exchanges(spark, d), known)
-    users = table(spark, d, "conversations").where("role = 'user'").select(bpe.canonical_ids(F.encode("text", "UTF-8"), EXCHANGE_MODELS[0][1])["ids"].alias("ids"))
-    follow = users.select(F.posexplode("ids").alias("at", "token_id"), "ids").select(F.when(F.col("at") == 0, 10).otherwise(F.get("ids", F.col("at") - 1)).alias("before"), "token_id")
-    scorer = likelihood.pair_scorer(pair_logprobs(follow, [m for m, _ in EXCHANGE_MODELS]), unseen=-9.0)
+    users = dealt(table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text"), "conv_id", "turn")
+    users = users.select(bpe.canonical_ids(F.encode("text", "UTF-8"), EXCHANGE_MODELS[0][1])["ids"].alias("ids"))
+    scorer = likelihood.pair_scorer(stored(pair_logprobs(following(users), [m for m, _ in EXCHANGE_MODELS])), unseen=-9.0)
     store = likelihood.WindowStore(spark)
     scored = exchange.scored(c, exchange.resolved_readings(c, store, scorer), store, scorer)
     return scored.where("noncanonical").select("exchange", F.round("llr", 6).alias("llr"), "spans")
 
 
+def following(texts: DataFrame) -> DataFrame:
+    """(before, token_id) of each place of texts (ids); before the first is a line break. A row of two ids leaves its text behind."""
+    before = F.concat(F.array(F.lit(10)), F.slice("ids", F.lit(1), F.greatest(F.size("ids") - 1, F.lit(0))))
+    return texts.withColumn("_before", before).select(F.inline(F.arrays_zip("_before", "ids"))).where("ids is not null").toDF("before", "token_id")
+
+
 def pair_logprobs(follow: DataFrame, models: list[str]) -> DataFrame:
     """(model, before, token_id, logprob) from (before, token_id): how often an id follows another, the same for all models."""
     n = follow.groupBy("before", "token_id").agg(F.count(F.lit(1)).alias("n"))
@@ -931,11 +937,10 @@ def q86(spark, d):
     letters = F.transform(F.regexp_extract_all("text", F.lit("[a-z]"), F.lit(0)), F.ascii)
     t = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "role", letters.alias("ids"))
     users = t.where("role = 'user'")
-    follow = users.select(F.posexplode("ids").alias("at", "token_id"), "ids").select(F.when(F.col("at") == 0, 10).otherwise(F.get("ids", F.col("at") - 1)).alias("before"), "token_id")
     own = t.where("role = 'assistant'").where(F.size("ids") >= 12)
     candidates = F.transform("ids", lambda c, i: F.when(i.isin(3, 8), F.array(c, F.lit(97) + (c - 96) % 26)).otherwise(F.array(c)))
     readings = own.select("id", F.lit("m").alias("model"), candidates.alias("candidates"), F.array(F.lit(10)).alias("newline"))
-    r = likelihood.resolved(readings, likelihood.WindowStore(spark), likelihood.pair_scorer(pair_logprobs(follow, ["m"]), unseen=-9.0), likelihood.Settings(context=4, suffix=1))
+    r = likelihood.resolved(readings, likelihood.WindowStore(spark), likelihood.pair_scorer(stored(pair_logprobs(following(users), ["m"])), unseen=-9.0), likelihood.Settings(context=4, suffix=1))
     return r.select("id", F.get("ids", F.lit(3)).alias("first"), F.get("ids", F.lit(8)).alias("second"))
 
 

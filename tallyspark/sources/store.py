@@ -42,6 +42,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows over all tasks. They are few bytes and much work, so partitions that are merged by bytes would leave a few tasks all of it."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 class Versioned:
     """A table that is replaced as a whole, by one writer: each version is a folder, and counts once it is complete.
 
@@ -90,6 +96,8 @@ def digest_of(rows: DataFrame) -> str:
 
 def add_batch(rows: DataFrame, path: str, batch: str | None = None) -> str:
     """Adds rows to a table as one batch, named by what it holds unless it is given a name; a batch of the same name is replaced."""
+    if not batch:
+        rows = stored(rows)  # named by the very rows that are written, which are made once
     name = batch or digest_of(rows)
     rows.write.mode("overwrite").parquet(f"{path}/batch={name}")
     return name

@@ -1,9 +1,13 @@
 """What only shows on larger tables: tasks without rows, and work or memory that grows faster than the input."""
 
+import random
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyspark.operators import align, exchange, monitor
+from tallyspark.functions.tokens import entry_bytes
+from tallyspark.operators import align, exchange, likelihood, monitor
+from tallyspark.plans.adapters import exchanges
 from tallyspark.plans.queries import QUERIES
 from tallyspark.streaming import endpoint
 
@@ -55,3 +59,53 @@ def test_batches_are_tested_by_all_tasks(spark):
     n = endpoint.batch_outcomes(monitor.whole_batches(gaps), ref).select(F.spark_partition_id()).distinct().count()
     assert n > 4
     assert monitor.batch_pvalues(gaps, ref).select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_exchanges_are_dealt_over_all_tasks_before_they_are_unfolded(spark, sf):
+    plan = exchanges(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.index("from_json") < plan.index("RepartitionByExpression")
+
+
+def test_scores_are_asked_for_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def score(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b.select(["key", "replicate", "repeat"]).append_column("score", pa.array([1.0] * b.num_rows))
+
+    own = likelihood.WindowStore(spark)
+    windows = spark.createDataFrame([(str(n), "m", [1], [n]) for n in range(20)], "key string, model string, context array<int>, body array<int>")
+    own.fill(windows, lambda w: w.mapInArrow(score, "key string, replicate int, repeat int, score double"), 3)
+    assert made.value == 60 == own.scores().count()
+
+
+def test_spans_within_rows_equal_spans_of_unfolded_rows(spark):
+    draw, rows = random.Random(5), []
+    for n in range(60):
+        data = draw.randrange(12)
+
+        def side():
+            left, ids, sizes = data, [], []
+            while left or draw.random() < 0.2:
+                size = draw.randint(0, min(3, left))
+                left -= size
+                ids.append(draw.randrange(2))
+                sizes.append(size)
+            return ids, sizes
+
+        rows.append((n, *side(), *side()))
+    df = spark.createDataFrame(rows, "id long, ids array<int>, bytes array<int>, other_ids array<int>, other_bytes array<int>")
+    sides = [df.select("id", F.lit(s).alias("side"), F.posexplode(F.arrays_zip(F.col(i).alias("token_id"), F.col(b).alias("bytes")).cast("array<struct<token_id:int,bytes:int>>")).alias("nth", "x")) for s, i, b in (("a", "ids", "bytes"), ("b", "other_ids", "other_bytes"))]
+    flat = sides[0].unionByName(sides[1]).select("id", "side", F.col("nth").cast("long").alias("nth"), "x.token_id", "x.bytes")
+    want = sorted((r["id"], r["start"], r["a_lo"], r["a_hi"], r["b_lo"], r["b_hi"]) for r in align.divergent_spans(flat).collect())
+    columns = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(1, 5)]
+    got = [(n, *s.values()) for n, spans in enumerate(align.divergent_bounds(*columns).to_pylist()) for s in spans]
+    assert got == want and len(got) > 60
+
+
+def test_escaped_tokens(spark):
+    tokens = ["bytes:", r"bytes:\xe2\x80", r"bytes:a\xe2b", r"bytes:\xzz", "bytes:\\xe2\n", "x", None]
+    e = F.struct(F.col("t").alias("token"), F.lit(None).cast("array<int>").alias("bytes"))
+    got = [bytes(r[0]) for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(entry_bytes(e)).collect()]
+    assert got == [b"", b"\xe2\x80", b"a\xe2b", rb"\xzz", b"\xe2\n", b"x", b""]
